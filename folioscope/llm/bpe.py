@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo
+from .common import Memo, key_back, key_text
 
 WORDS_KEPT = 250_000
 
@@ -215,6 +215,8 @@ def bpe_encode_decode(
     for name, (kind, _) in derive.items():
         schema.add(name, kind)
 
+    back = key_back(docs.schema[id_col].dataType)
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokenizer(path)
         for pdf in batches:
@@ -222,7 +224,7 @@ def bpe_encode_decode(
             for key, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
                 ids = tok.encode(text) if isinstance(text, str) else []
                 decoded = tok.decode(ids)
-                rows.append((key, len(ids), *(fn(ids, decoded) for _, fn in derive.values())))
-            yield pd.DataFrame(rows, columns=schema.names)
+                rows.append((back(key), len(ids), *(fn(ids, decoded) for _, fn in derive.values())))
+            yield pd.DataFrame(rows, columns=schema.names, dtype=object)
 
-    return docs.select(id_col, text_col).mapInPandas(run, schema)
+    return docs.select(key_text(id_col), text_col).mapInPandas(run, schema)

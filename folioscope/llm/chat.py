@@ -17,9 +17,10 @@ import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import key_back, key_text
+
 MARKS = ("<|turn|>", "<|text|>", "<|end|>")
 #: Strings that common chat templates treat as control.
 CONTROL = (*MARKS, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>")
@@ -102,10 +103,11 @@ def format_chat(conversations: DataFrame, path: str, trained: tuple[str, ...] =
             rows = []
             for conv, turn, role, text in pdf.itertuples(index=False, name=None):
                 role, text = role if isinstance(role, str) else "", text if isinstance(text, str) else ""
-                rows.append((conv, turn, role, *assemble(role, text, path, trained)))
-            yield pd.DataFrame(rows, columns=SEGMENTS.names)
+                rows.append((back(conv), back(turn), role, *assemble(role, text, path, trained)))
+            yield pd.DataFrame(rows, columns=SEGMENTS.names, dtype=object)
 
-    cols = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")]
+    back = key_back(T.LongType())
+    cols = [key_text(c) for c in ("conv_id", "turn", "role", "text")]
     return conversations.select(*cols).mapInPandas(run, SEGMENTS)
 
 
@@ -116,24 +118,24 @@ def in_order(segments: DataFrame, fold, schema: str, partitions: int | None = No
     of all rows costs time in its task, not memory. `fold()` makes an object with add(row) and result().
     """
 
+    back = key_back(T.LongType())
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, done = None, None, []
-        names = None
         for pdf in batches:
-            names = names or list(pdf.columns)
             for row in pdf.itertuples(index=False):
                 if state is None or row.conv_id != current:
                     if state is not None:
                         done.append(state.result())
-                    current, state = row.conv_id, fold(row.conv_id)
+                    current, state = row.conv_id, fold(back(row.conv_id))
                 state.add(row)
             if len(done) > 1000:
-                yield pd.DataFrame(done)
+                yield pd.DataFrame(done, dtype=object)
                 done = []
         if state is not None:
             done.append(state.result())
         if done:
-            yield pd.DataFrame(done)
+            yield pd.DataFrame(done, dtype=object)
 
     dealt = segments.repartition(partitions, "conv_id") if partitions else segments.repartition("conv_id")
-    return dealt.sortWithinPartitions("conv_id", "turn", "role", "rendered").mapInPandas(run, schema)
+    return dealt.sortWithinPartitions("conv_id", "turn", "role", "rendered").withColumn("conv_id", key_text("conv_id")).mapInPandas(run, schema)

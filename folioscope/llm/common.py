@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -50,6 +52,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def key_text(name: str) -> Column:
+    """An id as text, so that a null among longs does not turn a batch's ids into floats."""
+    return F.col(name).cast("string").alias(name)
+
+
+def key_back(kind: T.DataType) -> Callable[[str | None], object]:
+    """From key_text's form back to the id's own type."""
+    if isinstance(kind, T.IntegralType):
+        return lambda x: None if x is None else int(x)
+    return lambda x: x
+
+
 class Memo(dict):
     """A mapping filled on demand by fn and emptied when it holds `limit` entries: constant memory."""
 
