@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat
+from . import bpe, chat, packing, quality, urls
 from .common import table
 
 
@@ -38,6 +38,11 @@ class ChatDigest:
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
+    return judged.select(F.col("row.doc_id").alias("doc_id"), *(F.col(f"s.{c}").alias(c) for c in quality.STATS), F.col("failed").alias("base_failed"), "kept", "distance")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     fixed = "</s>[INST] ok [/INST]"
@@ -54,9 +59,25 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest)
 
 
+#: Host, path, verdict.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.drop("token_ids")
+
+
 QUERIES = {
+    "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
+    "op8_urls": op8_urls,
+    "op10_packing": op10_packing,
 }
 
 #: Answers that DuckDB can give by itself.
