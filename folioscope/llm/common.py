@@ -84,8 +84,8 @@ def whole_texts(values: Iterable) -> Iterator[str]:
         yield x if isinstance(x, str) else ""
 
 
-def column_batches(batches: Iterable[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Re-cut Arrow batches so that no step holds more than `size` rows at once."""
-    for pdf in batches:
-        for at in range(0, len(pdf), size):
-            yield pdf.iloc[at : at + size]
+def slices(pdf: pd.DataFrame, texts: pd.Series, most: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Parts of a batch with about `most` characters each, so that a step's memory follows text, not rows."""
+    sizes = texts.str.len().fillna(0).cumsum()
+    for _, part in pdf.groupby((sizes // most).to_numpy(), sort=True):
+        yield part

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, packing, quality, urls
+from . import bpe, chat, langid, packing, quality, urls
 from .common import table
 
 
@@ -38,6 +38,18 @@ class ChatDigest:
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted
 
 
+def held_out(modulus: int):
+    """Documents kept from training: crc32 of the id as text leaves 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = langid.train(docs, ~held_out(4))
+    found = langid.identify(docs, models)
+    return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     return judged.select(F.col("row.doc_id").alias("doc_id"), *(F.col(f"s.{c}").alias(c) for c in quality.STATS), F.col("failed").alias("base_failed"), "kept", "distance")
@@ -73,6 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_langid": op3_langid,
     "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
