@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, langid, packing, quality, urls
+from . import bpe, chat, langid, lm, packing, quality, topk, urls
 from .common import table
 
 
@@ -71,6 +71,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out(7))
+    return scored.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: Host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -89,12 +98,26 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
+    "op7_topk": op7_topk,
     "op8_urls": op8_urls,
+    "op9_lm": op9_lm,
     "op10_packing": op10_packing,
 }
 
 #: Answers that DuckDB can give by itself.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10
+    """,
+}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
