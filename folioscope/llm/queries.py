@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, langid, lm, packing, quality, topk, urls
+from . import bpe, chat, langid, lm, neardup, packing, quality, topk, urls
 from .common import table
 
 
@@ -38,6 +38,10 @@ class ChatDigest:
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def held_out(modulus: int):
     """Documents kept from training: crc32 of the id as text leaves 2."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
@@ -94,6 +98,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op3_langid": op3_langid,
     "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
