@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, langid, lm, neardup, packing, quality, topk, urls
+from . import bpe, chat, langid, lm, neardup, packing, quality, suffixes, topk, urls
 from .common import table
 
 
@@ -38,6 +38,12 @@ class ChatDigest:
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long")
+    return left.select(F.col("row.doc_id").alias("doc_id"), size.alias("n_bytes"), (size - F.octet_length("raw")).alias("n_removed"), "n_spans", F.sha2("raw", 256).alias("kept_sha256"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -98,6 +104,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffixes": op1_suffixes,
     "op2_minhash": op2_minhash,
     "op3_langid": op3_langid,
     "op4_quality": op4_quality,
