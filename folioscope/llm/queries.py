@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import importlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
+
 from . import bpe, chat, langid, lm, neardup, packing, quality, suffixes, topk, urls
 from .common import table
 
@@ -114,6 +115,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_lm": op9_lm,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: Answers that DuckDB can give by itself.
@@ -131,6 +133,3 @@ ORACLES: dict[str, str] = {
     """,
 }
 
-
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
