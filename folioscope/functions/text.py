@@ -62,7 +62,7 @@ def distinct_tokens(text: Column) -> Column:
 
 def estimate_prompt_tokens(text: Column) -> Column:
     """CJK characters, and other words or signs."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"[一-鿿]"), F.lit(0))) + F.size(F.regexp_extract_all(F.regexp_replace(text, r"[一-鿿]", " "), F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"), F.lit(0)))
+    return F.greatest(F.lit(1), F.size(F.regexp_extract_all(text, F.lit(r"[一-鿿]"), F.lit(0))) + F.size(F.regexp_extract_all(F.regexp_replace(text, r"[一-鿿]", " "), F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"), F.lit(0))))
 
 
 def estimate_quarter_tokens(text: Column) -> Column:

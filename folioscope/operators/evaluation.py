@@ -82,5 +82,4 @@ def metric_means(scores: DataFrame, cutoffs: tuple[int, ...] = fixed.CUTOFFS) ->
 def failure_report(scores: DataFrame, limit: int = 50) -> DataFrame:
     """The worst questions; of those listed, perfect ones are left out."""
     worst = scores.orderBy("weighted_recall_at_20", "facet_coverage_at_20", "mrr", "question_id").limit(limit)
-    perfect = (F.col("weighted_recall_at_20") >= 1) & (F.col("facet_coverage_at_20") >= 1) & (F.col("mrr") >= 1)
-    return worst.where(~perfect)
+    return worst.where(F.col("weighted_recall_at_20") < 1)

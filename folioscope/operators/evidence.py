@@ -17,9 +17,9 @@ def priority(score: Column, sources: Column) -> Column:
 def seeds(results: DataFrame) -> DataFrame:
     """results with `warning`: what keeps a span from being evidence; null if nothing does."""
     problem = (
-        F.when(F.col("span_id").isNull() | (F.col("span_id") == ""), "missing span id")
+        F.when(F.col("span_id").isNull() | (F.col("span_id") == ""), "missing span_id")
         .when(F.col("span_start_idx").isNull() | F.col("span_end_idx").isNull(), "missing coordinates")
-        .when(F.col("span_start_idx") >= F.col("span_end_idx"), "invalid interval")
+        .when((F.col("span_start_idx") < 0) | (F.col("span_start_idx") >= F.col("span_end_idx")), "invalid coordinate range")
     )
     return results.withColumn("warning", problem)
 
@@ -27,7 +27,7 @@ def seeds(results: DataFrame) -> DataFrame:
 def expand(seeds_: DataFrame, chapters: DataFrame, pre: int = 200, post: int = 300) -> DataFrame:
     """Seeds with context on both sides, clipped to their chapter; `warning` tells those without one."""
     c = chapters.select("document_id", "chapter_id", "chapter_title", F.col("start_idx").alias("c_start"), F.col("end_idx").alias("c_end"))
-    rows = seeds_.join(c, ["document_id", "chapter_id"], "left")
+    rows = seeds_.drop("chapter_title").join(c, ["document_id", "chapter_id"], "left")
     outside = (F.col("span_start_idx") < F.col("c_start")) | (F.col("span_end_idx") > F.col("c_end"))
     warning = F.coalesce("warning", F.when(F.col("c_start").isNull(), "chapter not found").when(outside, "coordinates outside chapter"))
     return rows.withColumns({
@@ -68,12 +68,16 @@ def choose(merged: DataFrame, chars: int = 50_000, blocks: int = 16) -> DataFram
     return kept.withColumn("end_idx", (F.col("start_idx") + F.least(length, room)).cast("int")).drop("first", "place", "used")
 
 
-def cite(chosen: DataFrame, docs: DataFrame) -> DataFrame:
-    """Blocks in order of position with their citation ids and texts."""
+def cite(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """Blocks in order of position with their citation ids and texts.
+
+    texts (document_id, chapter_id, text, start_idx) are chapters: a block needs no more of a document than its own.
+    """
     n = F.row_number().over(Window.partitionBy(*Q).orderBy("start_idx", "end_idx", "chapter_id"))
-    rows = chosen.withColumn("n", n).join(docs.select("document_id", "text"), "document_id")
-    body = F.substring(F.col("text"), F.col("start_idx") + 1, F.col("end_idx") - F.col("start_idx"))
-    return rows.withColumns({"citation_id": F.format_string("[E%03d]", "n"), "block_text": body}).drop("text", "n")
+    of = texts.select("document_id", "chapter_id", "text", F.col("start_idx").alias("base"))
+    rows = chosen.withColumn("n", n).join(of, ["document_id", "chapter_id"])
+    body = F.substring(F.col("text"), F.col("start_idx") - F.col("base") + 1, F.col("end_idx") - F.col("start_idx"))
+    return rows.withColumns({"citation_id": F.format_string("[E%03d]", "n"), "block_text": body}).drop("text", "n", "base")
 
 
 def pack(blocks: DataFrame) -> DataFrame:

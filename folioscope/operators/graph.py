@@ -99,23 +99,23 @@ def member_scores(centers_: DataFrame, spans: DataFrame, vectors: DataFrame | No
         "chapter": proximity(F.abs(chapter_number(F.col("chapter_id")) - chapter_number(F.col("center_chapter_id")))),
         "salience": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("salience_score"))),
     }
-    scored = scored.withColumns({f"{k}_score": v for k, v in parts.items()})
+    scored = scored.withColumns({f"part_{k}": v for k, v in parts.items()})
     is_center = F.col("span_id") == F.col("center_span_id")
-    score = F.when(is_center, 1.0).otherwise(sum((w * F.col(f"{k}_score") for k, w in weights.items()), F.lit(0.0)))
+    score = F.when(is_center, 1.0).otherwise(sum((w * F.col(f"part_{k}") for k, w in weights.items()), F.lit(0.0)))
     reasons = F.array_compact(
         F.array(
             F.when(is_center, "center_span"),
             F.when(F.col("cluster_type") == F.col("of_type"), "same_cluster_type"),
             F.when(F.size("shared") > 0, F.concat(F.lit("shared_entities:"), F.array_join(F.slice("shared", 1, 4), ","))),
-            F.when(F.col("chapter_score") == 1.0, "same_chapter").when(F.col("chapter_score") >= 0.5, "adjacent_chapter"),
-            F.when(F.col("bm25_score") > 0, F.format_string("bm25_overlap:%.3f", "bm25_score")),
-            F.when(F.col("vector_score") > 0, F.format_string("vector_similarity:%.3f", "vector_score")),
+            F.when(F.col("part_chapter") == 1.0, "same_chapter").when(F.col("part_chapter") >= 0.5, "adjacent_chapter"),
+            F.when(F.col("part_bm25") > 0, F.format_string("bm25_overlap:%.3f", "part_bm25")),
+            F.when(F.col("part_vector") > 0, F.format_string("vector_similarity:%.3f", "part_vector")),
         )
     )
     return scored.select(
         "document_id", F.col("of_type").alias("cluster_type"), "type_rank", "center_span_id", "center_summary", "span_id", "entities", "ord",
         F.coalesce("span_start_idx", F.lit(0)).alias("span_start_idx"), "salience_score", is_center.alias("is_center"), F.round(score, 6).alias("score"),
-        *(F.round(f"{k}_score", 6).alias(f"{k}_score") for k in parts), F.when(F.size(reasons) == 0, F.array(F.lit("salience_fallback"))).otherwise(reasons).alias("reasons"),
+        *(F.round(f"part_{k}", 6).alias(f"{k}_component" if k == "salience" else f"{k}_score") for k in parts), F.when(F.size(reasons) == 0, F.array(F.lit("salience_fallback"))).otherwise(reasons).alias("reasons"),
     )
 
 

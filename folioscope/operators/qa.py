@@ -24,7 +24,7 @@ def citation_errors(answer: Column, valid: Column) -> Column:
         F.array(
             F.when(F.size(unknown) > 0, F.concat(F.lit("unknown citations: "), F.array_join(unknown, ", "))),
             F.when((F.size(used) == 0) & (F.size(valid) > 0), "answer contains no citations"),
-            F.when(F.size(valid) == 0, "evidence pack is empty"),
+            F.when(F.size(valid) == 0, "evidence pack contains no citation ids"),
         )
     )
 

@@ -117,7 +117,7 @@ def window_report(windows_: DataFrame, least: int = 300) -> DataFrame:
 
 def window_problems(windows_: DataFrame, chapters_: DataFrame, docs: DataFrame, most: int) -> DataFrame:
     """(window_id, problem) of windows that break an invariant; none are expected."""
-    of = windows_.alias("w").join(chapters_.alias("c"), "chapter_id").join(docs.select("document_id", F.col("text").alias("whole")), F.col("w.document_id") == F.col("document_id"))
+    of = windows_.alias("w").join(chapters_.alias("c"), "chapter_id").join(docs.select(F.col("document_id").alias("of"), F.col("text").alias("whole")), F.col("w.document_id") == F.col("of"))
     n = F.col("w.window_end") - F.col("w.window_start")
     problem = (
         F.when(n <= 0, "invalid interval")
