@@ -53,6 +53,7 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     out: dict[int, np.ndarray] = {}
     for dim, i, j, x in flat.collect():
         out.setdefault(dim, np.zeros((dim, dim)))[i, j] = x
+    out.setdefault(0, np.zeros((0, 0)))
     return {dim: np.linalg.eigh((s + s.T) / 2)[1][:, ::-1] for dim, s in out.items()}
 
 
@@ -169,13 +170,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
                     if best is not None:
                         yield pd.DataFrame(best.rows(), columns=["query_id", "vec_id", "score"])
                     current = r.q_chunk
-                    best = Best(np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vectors).reshape(-1, r.dim), k, turn[r.dim])
+                    best = Best(np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vectors).reshape(len(r.q_ids) // 8, r.dim), k, turn[r.dim])
                     if r.dim in head:  # a floor from the longest vectors of all, which prunes from the first block on
                         start = Best(best.ids, best.vectors, k, turn[r.dim])
                         start.meet(*head[r.dim], turn[r.dim])
                         floor = start.floor()
                         best.floor = lambda own=best, least=floor: np.maximum(Best.floor(own), least)
-                best.meet(np.frombuffer(r.ids, np.int64), np.frombuffer(r.vectors).reshape(-1, r.dim), turn[r.dim])
+                best.meet(np.frombuffer(r.ids, np.int64), np.frombuffer(r.vectors).reshape(len(r.ids) // 8, r.dim), turn[r.dim])
         if best is not None:
             yield pd.DataFrame(best.rows(), columns=["query_id", "vec_id", "score"])
 

@@ -105,8 +105,10 @@ def threshold(scored: DataFrame) -> DataFrame:
     every = Window.partitionBy(F.lit(0))
     good = F.sum("a").over(up) / F.sum("a").over(every) + F.coalesce(F.sum("r").over(down), F.lit(0)) / F.sum("r").over(every)
     both = (F.sum("a").over(every) > 0) & (F.sum("r").over(every) > 0)
-    ranked = bins.select("bin", F.when(both, good).alias("good"))
-    return ranked.agg(F.max(F.when(F.col("good").isNotNull(), F.struct("good", -F.abs(F.col("bin")), "bin"))).alias("best")).select(F.coalesce(F.col("best.bin") / 100, F.lit(0.0)).alias("cut"))
+    middle = (F.col("bin") + F.coalesce(F.lag("bin").over(Window.orderBy("bin")), "bin")) / 2  # of the gap below
+    ranked = bins.select(middle.alias("middle"), F.when(both, good).alias("good"))
+    best = F.max(F.when(F.col("good").isNotNull(), F.struct("good", -F.abs(F.col("middle")), "middle")))
+    return ranked.agg(best.alias("best")).select(F.coalesce(F.col("best.middle") / 100, F.lit(0.0)).alias("cut"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
