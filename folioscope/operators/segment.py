@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import LINE_END, strip
 
-DOC = Window.partitionBy("document_id")
+def _doc():
+    return Window.partitionBy("document_id")
 
 
 def headings(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS) -> DataFrame:
@@ -19,14 +20,14 @@ def headings(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS
     """
     lines = F.regexp_extract_all("text", F.lit(f"[^{LINE_END}]*(?:\r\n|[{LINE_END}])|[^{LINE_END}]+\\z"), F.lit(0))
     each = docs.select("document_id", F.posexplode(lines).alias("line", "raw"))
-    before = DOC.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    before = _doc().orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("offset", F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)))
     title = strip(F.col("raw"))
     match = "(?i)^(?:" + "|".join(patterns) + ")"
     found = each.withColumn("title", title).where((F.length("title") > 0) & (F.length("title") <= 80) & F.col("title").rlike(match))
     lead = F.length("raw") - F.length(F.regexp_replace("raw", r"\A[\s\x1c-\x1f\x85\p{Z}]+", ""))
     found = found.select("document_id", "title", (F.col("offset") + lead).cast("int").alias("start_idx"), F.col("title").rlike(fixed.REAL_CHAPTER).alias("real"))
-    return found.withColumn("any_real", F.max("real").over(DOC)).where(F.col("real") | ~F.col("any_real"))
+    return found.withColumn("any_real", F.max("real").over(_doc())).where(F.col("real") | ~F.col("any_real"))
 
 
 def chapters(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS, max_chapters: int | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def chapters(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS
         raise ValueError("max_chapters must be greater than zero")
     sizes = docs.select("document_id", F.length("text").alias("total"))
     marks = headings(docs, patterns)
-    order = DOC.orderBy("start_idx")
+    order = _doc().orderBy("start_idx")
     split = sizes.join(marks, "document_id", "left").select(
         "document_id",
         F.when(F.col("title").isNull(), 0).otherwise(F.row_number().over(order)).alias("chapter_index"),
@@ -52,7 +53,7 @@ def chapters(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS
 
 def chapter_warnings(chapters_: DataFrame, docs: DataFrame) -> DataFrame:
     """(document_id, chapter_id, warnings): what is odd about each chapter."""
-    order = DOC.orderBy("chapter_index")
+    order = _doc().orderBy("chapter_index")
     of = chapters_.join(docs.select("document_id", F.length("text").alias("total")), "document_id").withColumn("previous_end", F.lag("end_idx").over(order)).withColumn("first", F.row_number().over(order) == 1)
     tell = lambda test, *parts: F.when(test, F.concat(*parts))
     cid, count = F.col("chapter_id"), F.col("char_count").cast("string")
