@@ -49,9 +49,12 @@ def tokens(text: Column) -> Column:
     """Search tokens: of runs of CJK characters all 1-, then 2-, then 3-grams; other words in lower case."""
     runs = F.regexp_extract_all(text, F.lit(r"[一-鿿]+|[A-Za-z0-9_]+"), F.lit(0))
 
+    def of_size(run: Column, n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, F.lit(n)))
+        return F.when(F.length(run) >= n, each).otherwise(F.array().cast("array<string>"))
+
     def grams(run: Column) -> Column:
-        of = [F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i, n=n: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
-        return F.when(run.rlike(r"^[一-鿿]"), F.concat(*of)).otherwise(F.array(F.lower(run)))
+        return F.when(run.rlike(r"^[一-鿿]"), F.concat(*(of_size(run, n) for n in (1, 2, 3)))).otherwise(F.array(F.lower(run)))
 
     return F.flatten(F.transform(runs, grams))
 

@@ -16,20 +16,21 @@ EVIDENCE = {"pre": 200, "post": 300, "gap": 500, "chars": 50_000, "blocks": 16}
 def build(docs: DataFrame, size: int = 1200) -> dict[str, DataFrame]:
     """docs (document_id, text) to chapters, windows, located spans with vectors, clusters and edges.
 
-    The extractor is the deterministic mock; a model's spans can take its place.
+    The extractor is the deterministic mock; a model's spans can take its place. Spans are kept, since every later
+    branch reads them.
     """
     chapters = segment.chapters(docs)
     windows = segment.windows(chapters, docs, size=size)
     spans = extraction.locate_spans(extraction.mock_spans(windows), windows).where("locator_status = 'located'")
     order = F.struct("span_start_idx", "span_id")
-    spans = spans.withColumns({"ord": order, "cluster_type": graph.cluster_type(F.col("span_type"), F.col("summary"), F.col("entities"))})
+    spans = spans.withColumns({"ord": order, "cluster_type": graph.cluster_type(F.col("span_type"), F.col("summary"), F.col("entities"))}).persist()
     vectors = spans.select("span_id", index.hash_embedding(F.col("summary"), 64).alias("vector"))
     return {"docs": docs, "chapters": chapters, "windows": windows, "spans": spans, "vectors": vectors}
 
 
 def with_graph(built: dict[str, DataFrame], use_vectors: bool = True) -> dict[str, DataFrame]:
     spans, vectors = built["spans"], built["vectors"] if use_vectors else None
-    members = graph.members(graph.member_scores(graph.centers(spans, vectors), spans, vectors))
+    members = graph.members(graph.member_scores(graph.centers(spans, vectors), spans, vectors)).persist()
     clusters = graph.clusters(members)
     return built | {"members": members, "clusters": clusters, "edges": graph.edges(clusters, members, built["chapters"])}
 

@@ -57,17 +57,20 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     further keys are kept as JSON in `metadata`.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
+    if lines.isEmpty():
+        raise ValueError(f"no questions in {path}")
     parsed = lines.select("value", F.from_json("value", QUESTION).alias("q"), F.from_json("value", "map<string,string>").alias("m"))
     required = F.when(F.col("q.question_id").isNull() | (F.size("q.expected_chapters") < 1), F.lit(True)).otherwise(F.lit(False))
     checked = parsed.withColumn("bad", F.col("q").isNull() | F.coalesce(required, F.lit(True)))
-    checked = checked.withColumn("ok", F.when(F.col("bad"), F.raise_error(F.concat(F.lit("bad question line: "), F.left("value", F.lit(80))))))
+    told = F.raise_error(F.concat(F.lit("bad question line: "), F.left("value", F.lit(80)))).cast("string")
+    checked = checked.withColumn("ok", F.when(F.col("bad"), told).otherwise(F.col("q.question_id")))
     blank = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("general"))
     gold = F.transform("q.expected_chapters", lambda c: F.struct(c["chapter_id"].alias("chapter_id"), F.coalesce(c["chapter_index"], F.lit(0)).alias("chapter_index"), F.coalesce(c["weight"], F.lit(0.0)).alias("weight"), F.coalesce(c["relevance"], c["weight"], F.lit(0.0)).alias("relevance"), blank(c["facet"]).alias("facet"), F.coalesce(c["reason"], F.lit("")).alias("reason")))
-    out = checked.withColumn("gold", gold).select("ok", "q.*", "m", "gold").drop("expected_chapters").withColumnRenamed("gold", "expected_chapters")
+    out = checked.withColumn("gold", gold).select("ok", "q.*", "m", "gold").drop("expected_chapters").withColumnRenamed("gold", "expected_chapters").drop("question_id").withColumnRenamed("ok", "question_id")
     facets = F.array_distinct(F.transform("expected_chapters", lambda c: c["facet"]))
     asked = F.filter(F.coalesce("required_facets", F.array().cast("array<string>")), lambda f: F.trim(f) != "")
     extra = F.map_filter("m", lambda k, v: ~k.isin(*FIELDS))
-    return out.withColumns({"required_facets": F.when(F.size(asked) > 0, asked).otherwise(facets), "metadata": F.to_json(extra)}).drop("ok", "m")
+    return out.withColumns({"required_facets": F.when(F.size(asked) > 0, asked).otherwise(facets), "metadata": F.to_json(extra)}).drop("m")
 
 
 def gold_rows(questions: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import segment
 
 def documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(document_id, text, path, arrived) of whole UTF-8 files that appear under `path`."""
-    raw = spark.readStream.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    raw = spark.readStream.option("pathGlobFilter", glob).text(path, wholetext=True)
     text = normalize_text(F.col("value"))
     return raw.select(text.alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("arrived")).withColumn("document_id", document_id(F.col("text")))
 
