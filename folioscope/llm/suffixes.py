@@ -257,14 +257,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     differing = differing.unionByName(known)
     want = F.struct("anchor", "h1", "h2", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), F.col("one.off").alias("off"), (F.col("kinds") > large).alias("large"))
     wanted = differing.groupBy(F.col("one.id").alias("id"), F.col("one.t").alias("t")).agg(F.collect_list(want).alias("wanted"))
-    cut = scratch.write("cut", _cut(docs.join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]).select("text", "wanted"), length))
+    cut = scratch.write("cut", _cut(docs.join(wanted.hint("merge"), ["id", "t"]).dropDuplicates(["id", "t"]).select("text", "wanted"), length))
     partly = constructed(cut.where(~F.col("large")), length)
     if cut.where("large").limit(1).count():
         partly = partly.unionByName(_by_hash(cut.where("large"), scratch, length))
     whole = piece.where(F.col("n") > 1).select("h1", "h2", F.array(F.lit(0), F.col("one.windows")).alias("ranges"))
     verdicts = scratch.write("verdicts", partly.join(whole.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(whole))
     scratch.drop("cut", "pieces")
-    found = rows.join(verdicts, ["h1", "h2"]).groupBy("id", "t").agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
+    found = rows.join(verdicts.hint("merge"), ["h1", "h2"]).groupBy("id", "t").agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
     spans = scratch.write("spans", found.mapInPandas(_merge(length), "id string, t long, starts array<int>, ends array<int>"))
     scratch.drop("placed", "verdicts")
     return spans
@@ -282,7 +282,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     text = F.coalesce(docs[text_col], F.lit(""))
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     spans = repeated_spans(keyed.select("id", "t", "text"), scratch, length)
-    both = keyed.join(spans, ["id", "t"], "left")
+    both = keyed.join(spans.hint("merge"), ["id", "t"], "left")
     raw = F.encode("text", "utf-8")
     edges = F.arrays_zip(F.concat(F.array(F.lit(0)), "ends").alias("a"), F.concat("starts", F.array(F.octet_length("text"))).alias("b"))
     left = F.aggregate(edges, F.lit(b""), lambda acc, e: F.concat(acc, F.substring(raw, e["a"] + 1, e["b"] - e["a"])))
