@@ -710,7 +710,7 @@ def evidence_budget(spark, sf):
 
 
 @query("evidence_blocks", f"""WITH {BUDGET_SQL}, ci AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY start_idx, end_idx, brand) AS k FROM bg)
-    SELECT query_id, '[E' || lpad(CAST(k AS VARCHAR), 3, '0') || ']' AS citation_id, CAST(start_idx AS INTEGER) AS start_idx, substring(repeat('0123456789', 100), CAST(start_idx % 10 AS INTEGER) + 1, CAST(end_idx - start_idx AS INTEGER)) AS block_text FROM ci""")
+    SELECT query_id, '[E' || lpad(CAST(k AS VARCHAR), 3, '0') || ']' AS citation_id, CAST(start_idx AS INTEGER) AS start_idx, left(substring(repeat('0123456789', 200), CAST(start_idx % 10 AS INTEGER) + 1, CAST(end_idx - start_idx AS INTEGER)), 1000) AS block_text FROM ci""")
 def evidence_blocks(spark, sf):
     """Blocks over chapters of a repeated pattern: texts of a million digits, made where they are cut."""
     chosen = evidence.choose(merged_evidence(spark, sf), 1200, 3)
