@@ -28,6 +28,8 @@ ORDER = 5
 SAMPLE = 500
 #: One sampled document in so many calibrates instead of being counted.
 CALIBRATE = 5
+#: Languages up to which the shares of the sample are written into the plan; beyond, they are joined.
+MOST_LANGS = 500
 WORDS_KEPT = 150_000
 #: Nats a character above the worst calibration text of a language at which a text is rejected: mixed texts stay.
 MARGIN = 2.0
@@ -206,7 +208,13 @@ def _training(docs: DataFrame, use: Column, sample: int, id_col: str, text_col:
     labelled = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(key_text(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(sizes, "lang").where(draw * F.col("n") < sample).select(F.pmod(F.xxhash64(F.lit("calibrate"), id_col), F.lit(CALIBRATE)).alias("part"), "lang", "text")
+    few = sizes.limit(MOST_LANGS + 1).collect()
+    if len(few) <= MOST_LANGS:  # shares as a constant of the plan: texts are drawn where they are read
+        share = F.create_map(*(F.lit(x) for r in few for x in (r["lang"], float(sample) / r["n"]))) if few else F.lit(None).cast("map<string,double>")
+        drawn = labelled.where(draw < F.try_element_at(share, F.col("lang")))
+    else:
+        drawn = labelled.join(sizes, "lang").where(draw * F.col("n") < sample)
+    return drawn.select(F.pmod(F.xxhash64(F.lit("calibrate"), id_col), F.lit(CALIBRATE)).alias("part"), "lang", "text")
 
 
 def _count_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
