@@ -2,15 +2,16 @@
 
 A document is the sequence of its words' SHINGLE-grams, each labelled with its occurrence number. One sketch of
 Order MinHash takes the ELL labelled grams of least hash and keeps them in text order, so that two documents
-share it with a probability that follows their edit similarity. Documents with an equal sketch are linked to the
-smallest id among them: first within each chunk of documents, then among the chunks' smallest, so that a sketch
-shared by a third of all documents sends one entry a chunk. Links stand if a banded bit-parallel alignment of the
-words finds an edit similarity of at least `similarity`; classes are the connected components. Inside a chunk
-links are aligned at once, and only between documents that are not connected yet.
+share it with a probability that follows their edit similarity. Links stand if a banded bit-parallel alignment of
+the words finds an edit similarity of at least `similarity`; classes are the connected components. Documents with
+an equal sketch are tried in three rounds. The first tries them with the smallest id among them: within each chunk of
+documents, at once, and then among the chunks' smallest. The second tries the smallest of each class so far with each
+other; these two connect the large classes by few links. The third tries every pair that is still unconnected, so each pair that has a sketch in common
+and keeps the bounds below is either aligned or connected already, whatever passages its documents share with others.
 
 Two bounds keep pairs that merely share a passage from being aligned. Lengths may differ by the similarity at
-most. And two texts of similarity s share s of the longer's words, so their word sets' Jaccard similarity is at
-least s / (2 - s); BITS one-bit minima estimate it, and pairs that lie FAR standard deviations below go, which at
+most. And two texts of similarity s share s of the longer's words, so if the shorter has r times as many words, their
+word sets' Jaccard similarity is at least s / (1 + r - s); BITS one-bit minima estimate it, and pairs that lie FAR standard deviations below go, which at
 the very threshold is one in some thousands.
 """
 
@@ -98,10 +99,10 @@ def word_bits(words: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def most_apart(least: float) -> int:
-    """Differing bits beyond which two documents' word sets are too unlike."""
-    differ = (1 - least / (2 - least)) / 2
-    return int(BITS * differ + FAR * (BITS * differ * (1 - differ)) ** 0.5)
+def most_apart(least: float, ratio=1.0):
+    """Differing bits beyond which the word sets of two documents, the shorter `ratio` times the longer, are too unlike."""
+    differ = (1 - least / (1 + np.maximum(ratio, least) - least)) / 2
+    return np.floor(BITS * differ + FAR * (BITS * differ * (1 - differ)) ** 0.5).astype(int)
 
 
 def _stars(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, bits: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +113,7 @@ def _stars(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, bits: np.ndarr
     head = np.repeat(first, np.diff(np.append(first, len(keys))))
     at = np.flatnonzero((d[head] != d) & (np.minimum(n, n[head]) >= least * np.maximum(n, n[head])))
     a, b = order[head[at]], order[at]
-    near = np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= most_apart(least)
+    near = np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= most_apart(least, np.minimum(sizes[a], sizes[b]) / np.maximum(sizes[a], sizes[b]))
     a, b = a[near], b[near]
     _, one = np.unique(np.stack((docs[a], docs[b]), 1), axis=0, return_index=True)
     return np.stack((a[one], b[one]), 1), order[first]
@@ -139,7 +140,7 @@ _SKETCHED = "kind string, bucket int, id long, copy1 long, copy2 long, a binary,
 
 
 def sketched(docs: DataFrame, buckets: int, least: float) -> DataFrame:
-    """One pass over the texts: a row a document with its text's hash, links found inside a chunk, heads by bucket."""
+    """One pass over the texts: a row a document with its text's hash, links found inside a chunk, heads and members by bucket."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = _SKETCHED.replace(",", "").split()[::2]
@@ -155,14 +156,15 @@ def sketched(docs: DataFrame, buckets: int, least: float) -> DataFrame:
                 pairs, heads = _stars(k, d, n, bits[place], least)
                 links = np.array(_linked(place[pairs], ids, split, least), np.int64).reshape(-1, 2)
                 out.append(("links", 0, None, None, None, links[:, 0].tobytes(), links[:, 1].tobytes(), None, None))
-                bucket = (k[heads] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                    if j > i:
-                        at = heads[order[i:j]]
-                        _, of = np.unique(d[at], return_index=True)  # a document's bits travel once a bucket
-                        out.append(("heads", b, None, None, None, k[at].tobytes(), d[at].tobytes(), n[at].tobytes(), bits[place[at[of]]].tobytes()))
+                for kind, these in (("heads", heads), ("members", np.setdiff1d(np.arange(len(k)), heads))):
+                    bucket = (k[these] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                    order = np.argsort(bucket, kind="stable")
+                    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                    for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                        if j > i:
+                            at = these[order[i:j]]
+                            _, of = np.unique(d[at], return_index=True)  # a document's bits travel once a bucket
+                            out.append((kind, b, None, None, None, k[at].tobytes(), d[at].tobytes(), n[at].tobytes(), bits[place[at[of]]].tobytes()))
             seen.clear(), keys.clear(), ids.clear(), bags.clear(), split.clear(), rows.clear()
             return pd.DataFrame(out, columns=names, dtype=object)
 
@@ -203,7 +205,7 @@ def inside(sketches: DataFrame) -> DataFrame:
 
 
 def candidates(sketches: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of documents in different chunks that some sketch brings together."""
+    """Distinct pairs (a, b) of documents in different chunks, one the smallest of a sketch that both have."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, docs, sizes = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]]) for c, kind in (("a", np.uint64), ("b", np.int64), ("c", np.int32)))
@@ -218,6 +220,84 @@ def candidates(sketches: DataFrame, least: float) -> DataFrame:
     return heads.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
 
 
+def _unconnected(keys: np.ndarray, docs: np.ndarray, labels: np.ndarray, sizes: np.ndarray, at: np.ndarray, bits: np.ndarray, least: float, heads: bool) -> np.ndarray:
+    """Distinct pairs of documents with an equal key and different labels that the bounds allow; bits[at] are an
+    entry's. With `heads`, only the smallest document of each label under a key is paired."""
+    order = np.lexsort((docs, sizes, keys))
+    keys, docs = keys[order], docs[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+    order, keys, docs = order[fresh], keys[fresh], docs[fresh]
+    labels, sizes, at = labels[order], sizes[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+    end = np.append(first[1:], len(keys))
+    mixed = np.minimum.reduceat(labels, first) != np.maximum.reduceat(labels, first) if len(first) else np.zeros(0, bool)
+    seen, held = set(), []
+    out, waiting = np.zeros((0, 2), np.int64), 0
+    for i, j in zip(first[mixed].tolist(), end[mixed].tolist()):
+        d = docs[i:j]
+        group = xxhash.xxh3_128_digest(d.tobytes())
+        if group in seen:  # the same documents meet in many sketches
+            continue
+        seen.add(group)
+        take = np.arange(i, j)
+        if heads:
+            by = take[np.lexsort((d, labels[i:j]))]
+            take = np.sort(by[np.concatenate(([True], np.diff(labels[by]) != 0))])
+        d, n, l, b = docs[take], sizes[take], labels[take], bits[at[take]]
+        for h, stop in enumerate(np.searchsorted(n, n / least + 1e-6, "right").tolist()):  # n rises
+            m = slice(h + 1, stop)
+            fits = (l[m] != l[h]) & (n[h] >= least * n[m]) & (np.bitwise_count(b[m] ^ b[h]).sum(1) <= most_apart(least, n[h] / n[m]))
+            if fits.any():
+                x = d[m][fits]
+                held.append(np.stack((np.minimum(x, d[h]), np.maximum(x, d[h])), 1))
+                waiting += len(x)
+        if waiting > 2_000_000:
+            out, held, waiting = np.unique(np.concatenate([out, *held]), axis=0), [], 0
+    return np.unique(np.concatenate([out, *held]), axis=0)
+
+
+def remaining(sketches: DataFrame, labels: DataFrame, buckets: int, least: float, heads: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that have a sketch in common and different labels; with `heads`, only of the
+    smallest documents of each label under the sketch.
+
+    `labels` has (id, first, label) of the documents that are linked: the first of a text's copies stands for all
+    of them, and others bear their own id. Every bucket reads all labels, packed.
+    """
+
+    def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({c: [pdf[x].to_numpy(np.int64).tobytes()] for c, x in (("a", "id"), ("b", "first"), ("c", "label"))})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf["kind"] == "labels"
+        ids, firsts, named = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in pdf.loc[known, c])]) for c in "abc")
+        order = np.argsort(ids)
+        ids, firsts, named = ids[order], firsts[order], named[order]
+        pdf = pdf[~known]
+        keys, docs, sizes = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in pdf[c])]) for c, kind in (("a", np.uint64), ("b", np.int64), ("c", np.int32)))
+        at, bits, n = [np.zeros(0, int)], [np.zeros((0, BITS // 64), np.uint64)], 0
+        for b, d in zip(pdf["b"], pdf["d"], strict=True):
+            _, of = np.unique(np.frombuffer(b, np.int64), return_inverse=True)
+            bits.append(np.frombuffer(d, np.uint64).reshape(-1, BITS // 64))
+            at.append(of + n)
+            n += len(bits[-1])
+        _, of, times = np.unique(keys, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times[of] > 1)
+        keys, docs, sizes, at = keys[shared], docs[shared], sizes[shared], np.concatenate(at)[shared]
+        labels = docs
+        if len(ids):
+            place = np.minimum(np.searchsorted(ids, docs), len(ids) - 1)
+            linked = ids[place] == docs
+            labels, docs = np.where(linked, named[place], docs), np.where(linked, firsts[place], docs)
+        return pd.DataFrame(_unconnected(keys, docs, labels, sizes, at, np.concatenate(bits), least, heads), columns=["a", "b"])
+
+    entries = sketches.where(F.col("kind").isin("heads", "members")).select("kind", "bucket", "a", "b", "c", "d")
+    packed = labels.select("id", "first", "label").mapInPandas(pack, "a binary, b binary, c binary")
+    each = packed.select(F.lit("labels").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "a", "b", "c", F.lit(None).cast("binary").alias("d"))
+    return entries.unionByName(each).groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+
+
 def banded_distance(a: list, b: list, most: int) -> int:
     """Edit distance of two sequences if at most `most`, else most + 1: bit vectors along a band of 2 most + 1 diagonals."""
     if len(a) < len(b):
@@ -281,6 +361,13 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, similarity double")
 
 
+def aligned(docs: DataFrame, pairs: DataFrame, least: float, scratch: Scratch, name: str) -> DataFrame:
+    """verified() of stored pairs, with the texts of their documents stored under `name`."""
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = scratch.write(name, docs.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    return verified(pairs, texts, least)
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, class_id) of every linked id: the smallest id of its component, by least labels and pointer jumping."""
     both = scratch.write("both", links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")))
@@ -301,6 +388,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.toDF("id", "class_id")
 
 
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """`labels` (id, label: the least id of a class) after further links (a, b)."""
+    between = links
+    for end in ("a", "b"):
+        between = between.join(labels.select(F.col("id").alias(end), "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    above = components(between.select("a", "b"), scratch).select(F.col("id").alias("label"), F.col("class_id").alias("higher"))
+    lone = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))
+    return labels.unionByName(lone).join(above, "label", "left").select("id", F.coalesce("higher", "label").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links): each document's class, the smallest id in it, and the number of verified links
     that tie it to others.
@@ -324,12 +421,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         found = found.join(one.select(F.col("b").alias(end), F.col("a").alias("first")), end, "left").withColumn(end, F.coalesce("first", end)).drop("first")
     found = found.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = scratch.write("pairs", found)
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = scratch.write("texts", known.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
-    links = scratch.write("links", verified(pairs, texts, similarity))
+    links = scratch.write("links", aligned(known, pairs, similarity, scratch, "texts"))
+    scratch.drop("texts")
     joined = scratch.write("joined", links.select("a", "b").union(inside(sketches)).union(copies))
-    scratch.drop("texts", "pairs", "sketches")
-    classes = components(joined, scratch)
+    labels = scratch.write("labels", components(joined, scratch).withColumnRenamed("class_id", "label"))
+    firsts = copies.select(F.col("b").alias("id"), F.col("a").alias("first"))
+    for turn, heads in (("heads", True), ("all", False)):
+        named = labels.join(firsts, "id", "left").withColumn("first", F.coalesce("first", "id"))
+        rest = scratch.write(f"rest_{turn}", remaining(sketches, named, buckets, similarity, heads).join(pairs, ["a", "b"], "left_anti"))
+        more = scratch.write(f"more_{turn}", aligned(known, rest, similarity, scratch, "texts").select("a", "b"))
+        scratch.drop("texts")
+        labels = scratch.write(f"labels_{turn}", merged(labels, more, scratch))
+        pairs, joined = pairs.union(rest), joined.union(more)
+    scratch.drop("pairs", "rest_heads", "rest_all", "sketches")
+    classes = labels.withColumnRenamed("label", "class_id")
     degree = joined.union(joined.select("b", "a")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "id")
     out = rows.select("id").join(classes, "id", "left").join(degree, "id", "left")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

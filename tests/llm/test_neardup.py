@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import xxhash
+
 from folioscope.llm import neardup
 
 
@@ -61,3 +64,29 @@ def test_nulls_repeats_and_empty_table(spark):
     got = neardup.near_duplicates(docs).collect()
     assert sorted((r["doc_id"] or -1, r["class_id"] or -1) for r in got) == [(-1, -1), (1, 1), (1, 1), (2, 2)]
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_shared_passage_hides_no_pair(spark):
+    """Most sketches fall into one passage of all documents: every pair of an equal sketch is still tried."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(40)]
+        texts += [" ".join(passage + own), " ".join(passage + [word() if k % 2 else w for k, w in enumerate(own)])]
+    rnd.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    split = [neardup.words_of(t) for t in texts]
+    hashes = [np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)) for w in split]
+    sketches = [neardup.order_minhash(neardup.labelled_grams(h)) for h in hashes]
+    bags = [neardup.word_bits(neardup.labelled_grams(h, 1)) for h in hashes]
+    tried = 0
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            near = np.bitwise_count(bags[a] ^ bags[b]).sum() <= neardup.most_apart(0.8)
+            if near and (sketches[a] == sketches[b]).any() and neardup.edit_similarity(split[a], split[b], 0.8) > 0:
+                tried += 1
+                assert got[a] == got[b]
+    assert tried >= 50
