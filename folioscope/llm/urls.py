@@ -2,9 +2,9 @@
 
 URLs that a rule decides are the labelled ones. Accepted and rejected ones each train a variable-order Markov
 model over characters (contexts of 0 to DEPTH, Witten-Bell smoothing down to add-one); what is scored is the mean
-log ratio a character, at the longest context that was seen with the character. Digits are one symbol to the
-models, so far fewer different sequences than URLs have to be scored. The threshold is the one that best
-separates labelled URLs held out of the models.
+log ratio a character, at the longest context that was seen with the character. Characters are read as they are,
+digits too, since rules may part URLs by a digit; each different host and path is scored once. The threshold is the
+one that best separates labelled URLs held out of the models.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ DEPTH = 4
 #: Symbols that add-one smoothing allows for.
 ALPHABET = 256
 HELD_OUT = 4  # one labelled URL in so many sets the threshold
+#: Grams up to which their ratios are broadcast; beyond, the join is Spark's choice.
+BROADCAST = 1_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -42,8 +44,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def _modelled(host: Column, path: Column) -> Column:
-    """What the models read: host and path between edge marks, digits as one symbol."""
-    return F.concat(F.lit("\x02"), F.regexp_replace(F.concat(host, path), "[0-9]", "0"), F.lit("\x03"))
+    """What the models read: host and path between edge marks."""
+    return F.concat(F.lit("\x02"), host, path, F.lit("\x03"))
 
 
 def _grams(seq: Column) -> Column:
@@ -92,7 +94,8 @@ def scores(seqs: DataFrame, ratios: DataFrame) -> DataFrame:
     may be split there, and each position's rows are combined before they are shuffled again.
     """
     each = seqs.select("h1", "h2", F.length("seq").alias("n"), F.explode(_grams(F.col("seq"))).alias("g")).select("h1", "h2", "n", "g.*")
-    known = each.join(ratios, "gram").groupBy("h1", "h2", "n", "pos").agg(F.max_by("v", "order").alias("v"))
+    small = ratios.limit(BROADCAST + 1).count() <= BROADCAST
+    known = each.join(F.broadcast(ratios) if small else ratios, "gram").groupBy("h1", "h2", "n", "pos").agg(F.max_by("v", "order").alias("v"))
     return known.groupBy("h1", "h2").agg((F.sum("v") / F.first("n")).alias("score"))
 
 

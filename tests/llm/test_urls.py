@@ -68,3 +68,14 @@ def test_smoothed_ratios_equal_brute_force(spark):
     assert got.keys() == {*counts[True], *counts[False]}
     for gram, v in got.items():
         assert abs(v - (log(p(True, gram)) - log(p(False, gram)))) < 1e-9
+
+
+def test_models_tell_digits_apart(spark):
+    """Of one host, /en/1... is blocked and /en/2... allowed by rule: the same paths elsewhere follow them."""
+    rnd = random.Random(4)
+    rows = [f"http://example.org/en/{first}{rnd.randint(100, 999)}" for first in "12" for _ in range(150)]
+    judged = [f"http://example.net/en/{first}{rnd.randint(100, 999)}" for first in "12" for _ in range(50)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(rows + judged)], "page_id int, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, URL_RULES).collect()}
+    right = [got[len(rows) + k] == ("block" if k < 50 else "allow") for k in range(100)]
+    assert sum(right) > 95
