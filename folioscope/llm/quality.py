@@ -23,8 +23,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Least standard deviation of each transformed statistic.
 FLOORS = (0.35, 0.45, 0.35, 0.5, 0.12)
 P = len(FLOORS)
-#: Squared distance beyond which a row is an outlier: a chi-square of 5 degrees exceeds it about once in 10^9.
-CUTOFF = 50.0
+#: Squared distance beyond which a row is an outlier: a chi-square of 5 degrees exceeds it once in 10^5.
+CUTOFF = 30.856
 SHARE, STEPS, LEAST_GROUP = 0.75, 4, 50
 
 

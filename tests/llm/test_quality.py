@@ -58,3 +58,15 @@ def test_verdicts_keep_plain_documents_and_drop_symbol_soup(spark):
     assert all(r["kept"] == (r["doc_id"] < 150) for r in got)
     assert quality.judged(docs.limit(0)).count() == 0
     assert quality.judged(docs).select("row.*").columns == docs.columns
+
+
+def test_cutoff_is_a_quantile_and_drops_thin_soup(spark):
+    assert abs(1 - quality._gamma_p(quality.P / 2, quality.CUTOFF / 2) - 1e-5) < 1e-7
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    good = [" ".join(word() for _ in range(rnd.randint(60, 300))) for _ in range(150)]
+    soup = [" ".join(word() + "|" * (k % 16 < 7) for k in range(96)) for _ in range(10)]  # 8 symbols in 100 characters
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(good + soup)], "doc_id long, text string, lang string, source string")
+    got = quality.judged(docs).select("row.doc_id", "kept", "distance").collect()
+    assert all(r["kept"] == (r["doc_id"] < 150) for r in got)
+    assert all(30 < r["distance"] < 50 for r in got if r["doc_id"] >= 150)
