@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 LINE_END = r"\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
@@ -26,12 +33,16 @@ def normalize_text(text: Column, newlines: bool = True, blank_lines: bool = True
     out = F.regexp_replace(out, rf"(?mdi)^[ \t]*(?:{'|'.join(fixed.AD_LINE_STARTS)}).*$", "")
     if blank_lines:
         out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.when(strip(out) != "", F.concat(strip(out), F.lit("\n"))).otherwise("")
+    return let(strip(out), lambda t: F.when(t != "", F.concat(t, F.lit("\n"))).otherwise(""))
 
 
 def normalization_report(text: Column) -> Column:
-    done = normalize_text(text)
-    return F.struct(F.length(text).alias("raw_chars"), F.length(done).alias("normalized_chars"), (F.length(text) - F.length(done)).alias("chars_removed"))
+    """The normalised text with what normalisation did: (text, raw_chars, normalized_chars, chars_removed)."""
+
+    def tell(done: Column) -> Column:
+        return F.struct(done.alias("text"), F.length(text).alias("raw_chars"), F.length(done).alias("normalized_chars"), (F.length(text) - F.length(done)).alias("chars_removed"))
+
+    return let(normalize_text(text), tell)
 
 
 def document_id(normalized: Column) -> Column:

@@ -80,6 +80,6 @@ def metric_means(scores: DataFrame, cutoffs: tuple[int, ...] = fixed.CUTOFFS) ->
 
 
 def failure_report(scores: DataFrame, limit: int = 50) -> DataFrame:
-    """The worst questions; of those listed, perfect ones are left out."""
-    worst = scores.orderBy("weighted_recall_at_20", "facet_coverage_at_20", "mrr", "question_id").limit(limit)
-    return worst.where(F.col("weighted_recall_at_20") < 1)
+    """The worst questions; of those listed, perfect ones are left out. Scores count to 9 digits."""
+    worst = scores.orderBy(*(F.round(c, 9) for c in ("weighted_recall_at_20", "facet_coverage_at_20", "mrr")), "question_id").limit(limit)
+    return worst.where(F.round("weighted_recall_at_20", 9) < 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import strip
+from ..sources.scratch import settled
 from . import locate
 
 PAYLOAD = "struct<spans:array<struct<span_type:string,summary:string,entities:array<string>,salience_score:double,start_anchor_quote:string,end_anchor_quote:string,key_quote:string>>>"
@@ -91,31 +93,104 @@ class ChatClient(Protocol):
     def complete(self, messages: list[dict[str, str]]) -> tuple[str, dict[str, int]]: ...
 
 
-def extract(windows: DataFrame, make_client: Callable[[], ChatClient], prompt: Callable[[str], list[dict[str, str]]], retries: int = 2) -> DataFrame:
-    """(window_id, raw_output, attempts, input_tokens, output_tokens, error): one model call a window, and repeats
-    while the answer holds no JSON object. The client is made once a task."""
+def extraction_messages(text: str, least: int = 4, most: int = 80) -> list[dict[str, str]]:
+    """What a model is asked for a window: JSON with the spans, each between two anchors quoted from the text."""
+    rules = (
+        "Divide the passage into semantic spans and answer with one JSON object, {\"spans\": [...]}. Each span has span_type "
+        f"(one of {', '.join(fixed.SPAN_TYPES)}), summary, entities, salience_score from 0 to 1, key_quote, start_anchor_quote and "
+        f"end_anchor_quote. Anchors are copied from the passage, {least} to {most} characters each; the end anchor does not stand before the start anchor."
+    )
+    return [{"role": "system", "content": rules}, {"role": "user", "content": text}]
+
+
+def _located(spans: list[dict], text: str, most: int, threshold: float) -> list[str | None]:
+    """Why each span of a parsed answer is not found in its window; None where it is."""
+    find = lambda q: locate.normalized_occurrences(text, q) or locate.fuzzy_occurrences(text, q, threshold)
+    out: list[str | None] = []
+    for s in spans:
+        a, b = str(s.get("start_anchor_quote") or "").strip()[:most], str(s.get("end_anchor_quote") or "").strip()[-most:]
+        starts, ends = find(a) if a else [], find(b) if b else []
+        if not starts or not ends:
+            out.append("start anchor not found" if not starts else "end anchor not found")
+        else:
+            out.append(None if any(e[1] >= x[0] for x in starts for e in ends) else "no ordered start/end anchor pair found")
+    return out
+
+
+def extract(windows: DataFrame, make_client: Callable[[], ChatClient], prompt: Callable[[str], list[dict[str, str]]] = extraction_messages, retries: int = 2, most: int = 80, threshold: float = 0.86) -> DataFrame:
+    """(window_id, raw_output, attempts, input_tokens, output_tokens, error): one model call a window.
+
+    It is repeated while the answer holds no JSON object, or holds spans that RETRYABLE reasons keep from being
+    located; tokens add up over the attempts, and the last answer that parsed is kept. The client is made once a task.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for pdf in batches:
             rows = []
             for window_id, text in zip(pdf["window_id"], pdf["text"], strict=True):
-                used, error, raw = [0, 0], None, None
-                for attempt in range(1, retries + 2):
+                used, error, kept = [0, 0], None, None
+                for attempt in range(1, max(1, retries + 1) + 1):
                     raw, usage = client.complete(prompt(text))
                     used = [used[0] + usage.get("input_tokens", 0), used[1] + usage.get("output_tokens", 0)]
                     try:
-                        json.loads(raw[raw.index("{") : raw.rindex("}") + 1])
-                        error = None
-                        break
+                        payload = json.loads(raw[raw.index("{") : raw.rindex("}") + 1])
                     except ValueError as e:
-                        error = str(e)
-                rows.append((window_id, raw, attempt, *used, error))
+                        error = str(e) if kept is None else None
+                        kept = kept if kept is not None else None
+                        last = raw
+                        continue
+                    kept = last = raw
+                    error = None
+                    spans = [s for s in payload.get("spans") or [] if isinstance(s, dict)]
+                    if not any(reason in RETRYABLE for reason in _located(spans, text, most, threshold)):
+                        break
+                rows.append((window_id, last if kept is None else kept, attempt, *used, error))
             yield pd.DataFrame(rows, columns=["window_id", "raw_output", "attempts", "input_tokens", "output_tokens", "error"])
 
     return windows.select("window_id", "text").mapInPandas(run, "window_id string, raw_output string, attempts int, input_tokens int, output_tokens int, error string")
 
 
+def failed_windows(windows: DataFrame, answers: DataFrame, spans: DataFrame) -> DataFrame:
+    """One synthetic failed span for each answered window without any span: its id, status and reason.
+
+    answers (window_id, raw_output, attempts, error); spans (window_id, ...) are those that were parsed.
+    """
+    lost = answers.join(spans.select("window_id"), "window_id", "left_anti").join(windows.select("window_id", "document_id", "chapter_id", "window_start", "window_end"), "window_id")
+    reason = F.coalesce("error", F.lit("window extraction produced no valid spans"))
+    return lost.select(F.concat(F.lit("span_"), "window_id", F.lit("_001")).alias("span_id"), "document_id", "chapter_id", "window_id", F.lit(1).alias("span_index_in_window"), "window_start", "window_end", F.lit("failed").alias("locator_status"), F.lit(False).alias("parsed"), reason.alias("failure_reason"), "attempts", "raw_output")
+
+
+def with_usage(spans: DataFrame, answers: DataFrame, price_in: float, price_out: float) -> DataFrame:
+    """Spans with the window's tokens and cost on its first span, and none on the others."""
+    first = F.row_number().over(Window.partitionBy("window_id").orderBy("span_id")) == 1
+    of = spans.join(answers.select("window_id", F.col("input_tokens").alias("__in"), F.col("output_tokens").alias("__out")), "window_id", "left").withColumn("__first", first)
+    tokens = {c: F.when(F.col("__first"), F.coalesce(x, F.lit(0))).otherwise(0) for c, x in (("input_tokens", "__in"), ("output_tokens", "__out"))}
+    return of.withColumns(tokens).withColumn("cost", usage_cost(F.col("input_tokens"), F.col("output_tokens"), price_in, price_out)).drop("__in", "__out", "__first")
+
+
+def persisted(results: DataFrame, candidates: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a run writes: its spans, its locator candidates, and a failure for each span that is not located.
+
+    A failure's stage is `locator` where the answer parsed (column `parsed`), else `extraction`.
+    """
+    lost = results.where(F.col("locator_status") != "located")
+    stage = F.when(F.coalesce("parsed", F.lit(True)), "locator").otherwise("extraction")
+    failures = lost.select("window_id", "span_id", stage.alias("stage"), F.coalesce("failure_reason", F.lit("unknown failure")).alias("reason"), "attempts", "raw_output")
+    out = {"spans": results.drop("parsed", "failure_reason", "attempts", "raw_output"), "extraction_failures": failures}
+    return out | ({"locator_candidates": candidates} if candidates is not None else {})
+
+
+def replace_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Locator candidates with those of the spans that `new` holds replaced."""
+    return old.join(new.select("span_id").distinct(), "span_id", "left_anti").unionByName(new)
+
+
+def replace_failures(old: DataFrame, new: DataFrame, windows: DataFrame) -> DataFrame:
+    """Failures with those of the windows extracted again taken out and the new ones appended."""
+    return old.join(windows.select("window_id").distinct(), "window_id", "left_anti").unionByName(new)
+
+
 def batch_requests(windows: DataFrame, model: str, system: str) -> DataFrame:
     """(custom_id, line): one JSON request line a window."""
     message = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
@@ -153,7 +228,7 @@ def batch_rounds(windows: DataFrame, submit: Callable[[DataFrame], DataFrame], l
     small rest goes to `live`, a large one comes back deferred. Only counts reach the driver."""
     done, pending = [], windows
     for _ in range(rounds):
-        applied = batch_apply(pending, submit(pending)).persist()
+        applied = settled(batch_apply(pending, submit(pending)), "applied")
         done.append(applied.where(F.col("retry_reason").isNull()))
         pending = pending.join(applied.where(F.col("retry_reason").isNotNull()).select("window_id"), "window_id", "left_semi")
         left = pending.limit(threshold + 1).count()
@@ -179,6 +254,40 @@ def usage_cost(input_tokens: Column, output_tokens: Column, price_in: float, pri
     return F.round(input_tokens / 1000 * price_in + output_tokens / 1000 * price_out, digits)
 
 
-def extraction_report(spans: DataFrame) -> DataFrame:
+def extraction_report(spans: DataFrame, failures: DataFrame | None = None, samples: int = 5) -> DataFrame:
+    """(document_id, spans, located, rates, tokens and cost if spans bear them, failures, first summaries)."""
     located = F.count_if(F.col("locator_status") == "located")
-    return spans.groupBy("document_id").agg(F.count(F.lit(1)).alias("total_spans"), located.alias("located_spans"), F.round(located / F.count(F.lit(1)), 4).alias("locator_success_rate"))
+    used = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cost") if c in spans.columns]
+    first = F.slice(F.array_sort(F.collect_list(F.struct("span_id", "summary"))), 1, samples)
+    out = spans.groupBy("document_id").agg(F.count(F.lit(1)).alias("total_spans"), located.alias("located_spans"), F.round(located / F.count(F.lit(1)), 4).alias("locator_success_rate"), *used, *([F.transform(first, lambda s: s["summary"]).alias("samples")] if samples and "summary" in spans.columns else []))
+    if failures is None:
+        return out
+    lost = failures.join(spans.select("window_id", "document_id").distinct(), "window_id").groupBy("document_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+    lost = lost.groupBy("document_id").agg(F.sum("n").alias("failure_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "n")))).alias("failures_by_stage"))
+    return out.join(lost, "document_id", "left").na.fill(0, ["failure_count"])
+
+
+#: States in which a batch changes no more.
+TERMINAL = ("completed", "failed", "expired", "cancelled", "cancelling")
+
+
+def poll_batch(status: Callable[[], dict], wait: bool = True, interval: float = 30.0, timeout: float | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """The batch's state once it is terminal, or when waiting ends; a second at least lies between two calls."""
+    began = clock()
+    while True:
+        now = status()
+        if not wait or now["status"] in TERMINAL or (timeout is not None and clock() - began >= timeout):
+            return now
+        sleep(max(1.0, interval))
+
+
+def batch_report(run_id: str, batch: dict, windows: int, rounds: list[dict] | None = None) -> dict:
+    """The report of a batch that has brought nothing yet: counts of zero beside the batch's own state."""
+    counts = dict.fromkeys(("span_count", "extraction_success_count", "extraction_failed_count", "locator_success_count", "locator_failed_count"), 0)
+    rates = dict.fromkeys(("structured_success_rate", "locator_success_rate", "estimated_cost_yuan"), 0)
+    state = {k: batch.get(k) for k in ("batch_id", "status", "input_file_id", "output_file_id", "error_file_id", "request_counts")}
+    return {"run_id": run_id, "mode": "batch", "window_count": windows, **counts, **rates, "usage": usage_total([]), "batch": state, "retry_rounds": rounds or []}
+
+
+def usage_total(parts: list[dict[str, int]]) -> dict[str, int]:
+    return {k: sum(int(p.get(k, 0)) for p in parts) for k in ("input_tokens", "output_tokens", "total_tokens")}

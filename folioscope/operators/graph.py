@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import chapter_number, contains_any, distinct_tokens, uuid5_hex
-from .index import cosine
+from .index import cosine, nearest, top_k
 
 
 def cluster_type(span_type: Column, summary: Column, entities: Column) -> Column:
@@ -26,6 +26,30 @@ def type_bonus(span_type: Column, of_cluster: Column) -> Column:
     return out
 
 
+def normalized_weights(weights: dict[str, float] | None = None, use_vectors: bool = True) -> dict[str, float]:
+    """Weights of a member's component scores that sum to 1; without vectors theirs is 0; the defaults if none is left."""
+    given = fixed.GRAPH_WEIGHTS | {k: float(v) for k, v in (weights or {}).items()}
+    if set(given) != set(fixed.GRAPH_WEIGHTS):
+        raise ValueError(f"unknown weights: {sorted(set(given) - set(fixed.GRAPH_WEIGHTS))}")
+    total = sum(given.values())
+    given = {k: v / total for k, v in given.items()} if total > 0 else dict(fixed.GRAPH_WEIGHTS)
+    if not use_vectors:
+        given["vector"] = 0.0
+        total = sum(given.values())
+        given = {k: v / total for k, v in given.items()} if total > 0 else dict(fixed.GRAPH_WEIGHTS)
+    return given
+
+
+def vector_coverage(spans: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """(document_id, source, requested, loaded, coverage): how many of a document's spans have a vector."""
+    if vectors is None:
+        none = spans.groupBy("document_id").agg(F.count(F.lit(1)).alias("requested"))
+        return none.select("document_id", F.lit("disabled").alias("source"), "requested", F.lit(0).cast("long").alias("loaded"), F.lit(0.0).alias("coverage"))
+    held = spans.select("document_id", "span_id").join(vectors.select("span_id", F.lit(1).alias("there")).dropDuplicates(["span_id"]), "span_id", "left")
+    sums = held.groupBy("document_id").agg(F.count(F.lit(1)).alias("requested"), F.count("there").alias("loaded"))
+    return sums.select("document_id", F.lit("vectors").alias("source"), "requested", "loaded", F.round(F.col("loaded") / F.col("requested"), 6).alias("coverage"))
+
+
 def entity_counts(spans: DataFrame) -> DataFrame:
     """(document_id, entity, n): in how many spans of a document each entity stands."""
     return spans.select("document_id", F.explode(F.array_distinct("entities")).alias("entity")).groupBy("document_id", "entity").agg(F.count(F.lit(1)).alias("n"))
@@ -41,14 +65,14 @@ def type_order(spans: DataFrame) -> DataFrame:
 def medoid_scores(spans: DataFrame, vectors: DataFrame) -> DataFrame:
     """(span_id, medoid): 0.7 of the mean of a span's 8 best cosines to others of its type, 0.3 of its salience.
 
-    Pairs stand inside one document and type only. Unit vectors are computed once, so a pair costs one product.
+    Pairs stand inside one document and type only and are scored as matrix products, 8 kept a block; the work is
+    still quadratic in such a group.
     """
     rows = spans.join(vectors, "span_id").select("document_id", "cluster_type", "span_id", "salience_score", "vector")
-    other = rows.select("document_id", "cluster_type", F.col("span_id").alias("other_id"), F.col("vector").alias("other_vector"))
-    pairs = rows.join(other, ["document_id", "cluster_type"]).where(F.col("span_id") != F.col("other_id"))
-    best = pairs.select("span_id", cosine(F.col("vector"), F.col("other_vector")).alias("c")).groupBy("span_id").agg(F.slice(F.sort_array(F.collect_list("c"), False), 1, 8).alias("top"))
-    mean = F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")
-    score = F.when(F.col("top").isNull(), 0.3 * F.col("salience_score")).otherwise(0.7 * F.greatest(F.lit(0.0), mean) + 0.3 * F.col("salience_score"))
+    scope = ["document_id", "cluster_type"]
+    near = nearest(rows.select(*scope, F.col("span_id").alias("of"), "vector"), rows.select(*scope, "span_id", "vector"), scope, "of", "span_id", 8, others=True)
+    best = top_k(near, ["of"], 8, [F.desc("score"), F.asc("span_id")]).groupBy(F.col("of").alias("span_id")).agg(F.avg("score").alias("mean"))
+    score = F.when(F.col("mean").isNull(), 0.3 * F.col("salience_score")).otherwise(0.7 * F.greatest(F.lit(0.0), F.col("mean")) + 0.3 * F.col("salience_score"))
     return rows.join(best, "span_id", "left").select("span_id", score.alias("medoid"))
 
 
@@ -182,3 +206,22 @@ def walk(edges_: DataFrame, start: DataFrame, hops: int) -> DataFrame:
         front = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(k))
         seen = seen.unionByName(front)
     return seen
+
+
+def nodes(clusters_: DataFrame, spans: DataFrame, chapters: DataFrame, edges_: DataFrame) -> DataFrame:
+    """(document_id, node_id, node_type, name, properties) of all that the edges join: clusters, spans, chapters, entities."""
+    node = lambda df, key, kind, name, props: df.select("document_id", key.alias("node_id"), F.lit(kind).alias("node_type"), name.alias("name"), props.alias("properties"))
+    ends = edges_.select("document_id", F.col("from_id").alias("id"), F.col("from_type").alias("kind")).union(edges_.select("document_id", "to_id", "to_type")).distinct()
+    used = lambda kind, key: ends.where(F.col("kind") == kind).select("document_id", F.col("id").alias(key))
+    c = node(clusters_, F.col("cluster_id"), "CenterSpanCluster", F.col("cluster_name"), F.to_json(F.struct("cluster_type", "summary", "confidence")))
+    s = node(spans.join(used("Span", "span_id"), ["document_id", "span_id"]), F.col("span_id"), "Span", F.col("summary"), F.to_json(F.struct("chapter_id", "span_type", "salience_score", "span_start_idx", "span_end_idx")))
+    h = node(chapters, F.col("chapter_id"), "Chapter", F.col("chapter_title"), F.to_json(F.struct("chapter_index")))
+    e = ends.where("kind = 'Entity'")
+    e = node(e, F.col("id"), "Entity", F.substring_index("id", "::", -1), F.lit("{}"))
+    return c.unionByName(s).unionByName(h).unionByName(e)
+
+
+def write_graph(nodes_: DataFrame, edges_: DataFrame, path: str) -> None:
+    """The property graph as node and edge tables; the subgraphs of the documents written replace those stored."""
+    for name, rows in (("nodes", nodes_), ("edges", edges_)):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(f"{path}/{name}")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import tokens
+from ..functions.text import tokens, uuid5_hex
 
 
 def bm25_text(summary: Column, entities: Column, key_quote: Column) -> Column:
@@ -70,10 +74,68 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     raise ValueError(f"unknown distance: {metric}")
 
 
+def _packed(rows: DataFrame, scope: list[str], id_col: str, name: str, block: int) -> DataFrame:
+    """Blocks of about `block` vectors of one scope: (scope, name_ids, name_vectors), for products as matrices."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    sizes = rows.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = rows.join(sizes, scope).select(*scope, F.pmod(F.xxhash64(id_col), "blocks").alias("block"), F.col(id_col).alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    packed = dealt.groupBy(*scope, "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    ids = F.transform("rows", lambda r: r["id"]).cast(f"array<{kind}>")
+    return packed.select(*scope, ids.alias(f"{name}_ids"), F.transform("rows", lambda r: r["v"]).alias(f"{name}_vectors"))
+
+
+def _scores(metric: str, a: list, b: list) -> np.ndarray:
+    """[a, b] similarities; vectors of unlike length, and under cosine zero ones, are 0 to each other."""
+    sizes_a, sizes_b = (np.array([len(v) for v in x]) for x in (a, b))
+    out = np.zeros((len(a), len(b)))
+    for d in np.intersect1d(sizes_a, sizes_b):
+        if d:
+            i, j = np.flatnonzero(sizes_a == d), np.flatnonzero(sizes_b == d)
+            x, y = np.stack([a[k] for k in i]), np.stack([b[k] for k in j])
+            if metric == "cosine":
+                x, y = (np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0) for m in (x, y))
+            if metric in ("cosine", "dot"):
+                got = x @ y.T
+            else:
+                gaps = x[:, None, :] - y[None, :, :]
+                got = -np.sqrt((gaps**2).sum(2)) if metric == "euclid" else -np.abs(gaps).sum(2)
+            out[np.ix_(i, j)] = got
+    return out
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id: str, id_col: str, k: int, metric: str = "cosine", block: int = 1024, others: bool = False) -> DataFrame:
+    """(query_id, scope, id_col, score): of each block of a query's scope the k nearest, by blocked matrix products.
+
+    Both sides have (scope, id, vector). A pair costs one product of vectors normalised once a block, and a query
+    keeps k candidates a block, so what leaves a block is bounded. `others` leaves out pairs of one id. Scores are
+    rounded to 9 digits, ties go to the smaller id.
+    """
+    if metric not in ("cosine", "dot", "euclid", "manhattan"):
+        raise ValueError(f"unknown distance: {metric}")
+    out = [f"{query_id} {queries.schema[query_id].dataType.simpleString()}", *(f"{c} {queries.schema[c].dataType.simpleString()}" for c in scope), f"{id_col} {vectors.schema[id_col].dataType.simpleString()}", "score double"]
+    names = [query_id, *scope, id_col, "score"]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                q, c = np.asarray(r["q_ids"]), np.asarray(r["c_ids"])
+                s = np.round(_scores(metric, list(r["q_vectors"]), list(r["c_vectors"])), 9) + 0.0
+                by_id = np.argsort(c, kind="stable")
+                s, c = s[:, by_id], c[by_id]
+                if others:
+                    s[q[:, None] == c[None, :]] = -np.inf
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(q)), best.shape[1])
+                got = pd.DataFrame({query_id: q[rows], **{x: [r[x]] * len(rows) for x in scope}, id_col: c[best.ravel()], "score": s[rows, best.ravel()]}, columns=names)
+                yield got[np.isfinite(got["score"])]
+
+    met = _packed(queries, scope, query_id, "q", block).join(_packed(vectors, scope, id_col, "c", block), scope)
+    return met.mapInPandas(run, ", ".join(out))
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, scope: list[str], id_col: str, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, scope, id, score, rank) of the k nearest vectors inside a query's scope, an exact scan."""
-    met = queries.select("query_id", *scope, F.col("vector").alias("q")).join(vectors.select(*scope, id_col, F.col("vector").alias("v")), scope)
-    scored = met.select("query_id", *scope, id_col, distance(metric, F.col("q"), F.col("v")).alias("score"))
+    """(query_id, scope, id, score, rank) of the k nearest vectors inside a query's scope, an exact scan in blocks."""
+    scored = nearest(queries.select("query_id", *scope, "vector"), vectors.select(*scope, id_col, "vector"), scope, "query_id", id_col, k, metric)
     return top_k(scored, ["query_id", *scope], k, [F.desc("score"), F.asc(id_col)])
 
 
@@ -98,3 +160,73 @@ def embed_with_cache(inputs: DataFrame, cache: DataFrame, embed) -> DataFrame:
     new = embed(wanted.join(cache, "cache_key", "left_anti"))
     every = known.withColumn("hit", F.lit(True)).unionByName(new.select("cache_key", "input_text", "vector").withColumn("hit", F.lit(False)))
     return inputs.drop("input_text").join(every, "cache_key")
+
+
+def save_postings(postings_: DataFrame, docs: DataFrame, path: str, scope: list[str], id_col: str) -> None:
+    """The inverted index as two tables: postings by bucket of the token, and the weights of the tokens."""
+    postings_.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(64))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    token_weights(postings_, docs, scope, id_col).write.mode("overwrite").parquet(f"{path}/weights")
+
+
+def load_postings(spark: SparkSession, path: str, asked: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, weights); with the tokens that are asked for, only their buckets are read."""
+    held, weights = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/weights")
+    if asked is not None:
+        buckets = [r["b"] for r in spark.createDataFrame([(t,) for t in asked], "t string").select(F.pmod(F.xxhash64("t"), F.lit(64)).alias("b")).distinct().collect()]
+        held = held.where(F.col("bucket").isin(*buckets) & F.col("token").isin(*asked))
+    return held.drop("bucket"), weights
+
+
+class VectorCollection:
+    """Vectors of one document collection as a table: (point_id, span_id, document_id, vector)."""
+
+    def __init__(self, spark: SparkSession, path: str, size: int, metric: str = "cosine"):
+        if metric not in ("cosine", "dot", "euclid", "manhattan"):
+            raise ValueError(f"unknown distance: {metric}")
+        self.spark, self.path, self.size, self.metric = spark, path, size, metric
+        self.form = "point_id string, span_id string, document_id string, vector array<double>"
+
+    def recreate(self) -> None:
+        self.spark.createDataFrame([], self.form).write.mode("overwrite").partitionBy("document_id").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.form).parquet(self.path)
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Vectors of a span replace those it had; only the documents of `rows` are written anew."""
+        wrong = F.raise_error(F.concat(F.lit("vector size of "), "span_id", F.lit(" is not "), F.lit(str(self.size))))
+        checked = F.when(F.size("vector") == self.size, F.col("vector")).otherwise(wrong.cast("array<double>"))
+        new = rows.select(uuid5_hex(F.col("span_id")).alias("point_id"), "span_id", "document_id", F.transform(checked, lambda x: x.cast("double")).alias("vector")).dropDuplicates(["span_id"])
+        touched = self.read().join(new.select("document_id").distinct(), "document_id", "left_semi").join(new.select("span_id"), "span_id", "left_anti")
+        both = touched.unionByName(new)
+        both.write.mode("overwrite").parquet(f"{self.path}.next")  # a table is not overwritten while it is read
+        self.spark.read.parquet(f"{self.path}.next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(self.path)
+
+    def count(self) -> int:
+        return self.read().count()
+
+    def retrieve(self, wanted: DataFrame) -> DataFrame:
+        """(span_id, vector) of the wanted spans (span_id) that are held."""
+        return self.read().join(wanted.select("span_id").distinct(), "span_id", "left_semi").select("span_id", "vector")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return vector_search(queries, self.read(), ["document_id"], "span_id", k, self.metric)
+
+
+def embedded_in_batches(inputs: DataFrame, make_client, size: int, batch: int = 32) -> DataFrame:
+    """(cache_key, input_text, vector) from an embedding client made once a task, `batch` texts a call; answers of
+    another number or size are errors."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make_client()
+        for pdf in batches:
+            vectors: list[list[float]] = []
+            for at in range(0, len(pdf), batch):
+                texts = pdf["input_text"].iloc[at : at + batch].tolist()
+                got = client.embed(texts)
+                if len(got) != len(texts) or any(len(v) != size for v in got):
+                    raise ValueError(f"{len(got)} vectors for {len(texts)} texts, of sizes {sorted({len(v) for v in got})}")
+                vectors += [[float(x) for x in v] for v in got]
+            yield pdf[["cache_key", "input_text"]].assign(vector=vectors)
+
+    return inputs.select("cache_key", "input_text").mapInPandas(run, "cache_key string, input_text string, vector array<double>")

@@ -11,12 +11,14 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 CANDIDATES = "array<struct<start_idx:int,end_idx:int,confidence:double,strategy:string>>"
 
@@ -24,10 +26,57 @@ CANDIDATES = "array<struct<start_idx:int,end_idx:int,confidence:double,strategy:
 def exact_occurrences(text: Column, quote: Column, window_start: Column | None = None) -> Column:
     """All occurrences, overlapping ones too, as candidates with confidence 1."""
     base = window_start if window_start is not None else F.lit(0)
-    n = F.length(quote)
-    places = F.when((n > 0) & (F.length(text) >= n), F.filter(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n) == quote)).otherwise(F.array().cast("array<int>"))
-    places = F.when(text.contains(quote), places).otherwise(F.array().cast("array<int>"))  # most windows end here
-    return F.transform(places, lambda i: F.struct((base + i - 1).cast("int").alias("start_idx"), (base + i - 1 + n).cast("int").alias("end_idx"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("strategy")))
+    none = F.array().cast("array<int>")
+    literal = F.concat(F.lit("(?=\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    after = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + 1
+    # as many steps as there are occurrences, each from behind the start of the one before
+    walk = F.aggregate(F.sequence(F.lit(1), F.regexp_count(text, literal)), none, lambda acc, _: F.array_append(acc, F.position(quote, text, after(acc))))
+    places = F.when((F.length(quote) > 0) & text.contains(quote), walk).otherwise(none)  # most windows end here
+    candidate = lambda i: F.struct((base + i - 1).cast("int").alias("start_idx"), (base + i - 1 + F.length(quote)).cast("int").alias("end_idx"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("strategy"))
+    return F.transform(places, candidate)
+
+
+#: Characters of all quotes in one automaton; more quotes are searched for in several passes.
+AUTOMATON_CHARS = 20_000_000
+
+
+def quote_occurrences(docs: DataFrame, quotes: DataFrame, id_col: str = "document_id", quote_id: str = "quote_id") -> DataFrame:
+    """(id_col, quote_id, start_idx, end_idx): every occurrence of every quote in every text, overlapping ones too.
+
+    One pass over the texts with an automaton of all quotes (quote_id, quote); quotes are a query set that travels
+    with the tasks, in blocks of a bounded number of characters. Null and empty quotes stand nowhere.
+    """
+    wanted = quotes.where(F.length("quote") > 0).select(quote_id, "quote")
+    total = wanted.agg(F.sum(F.length("quote")).alias("n")).first()["n"] or 0
+    blocks = int(total // AUTOMATON_CHARS) + 1
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {quote_id} {quotes.schema[quote_id].dataType.simpleString()}, start_idx int, end_idx int"
+    out = None
+    for k in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("quote"), F.lit(blocks)) == k).collect() if total else []
+        by_quote: dict[str, list] = {}
+        for r in rows:
+            by_quote.setdefault(r["quote"], []).append(r[quote_id])
+        part = docs.select(id_col, "text").mapInPandas(_automaton_search(by_quote, [id_col, quote_id, "start_idx", "end_idx"]), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _automaton_search(by_quote: dict[str, list], names: list[str]):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for quote, ids in by_quote.items():
+            automaton.add_word(quote, (len(quote), ids))
+        automaton.make_automaton()
+        for pdf in batches:
+            rows = []
+            for key, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
+                if isinstance(text, str) and by_quote:
+                    rows += [(key, q, end + 1 - n, end + 1) for end, (n, ids) in automaton.iter(text) for q in ids]
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
 
 
 def match_form(text: str) -> tuple[str, list[int]]:
@@ -55,21 +104,30 @@ def normalized_occurrences(text: str, quote: str) -> list[tuple[int, int, float,
 
 
 def fuzzy_occurrences(text: str, quote: str, threshold: float) -> list[tuple[int, int, float, str]]:
-    """Fragments whose matching ratio reaches the threshold: the best of each start, the ten best of all."""
+    """Fragments whose matching ratio reaches the threshold: the best of each start, the ten best of all.
+
+    A ratio counts characters in common, whatever their order, at most; so with running counts of the quote's
+    characters along the text, a bound on the ratio of every fragment is a difference of two rows, and only fragments
+    within it meet the sequence matcher.
+    """
     form, source = match_form(text)
     wanted, _ = match_form(quote)
     n = len(wanted)
     if n < 8 or not form:
         return []
+    letters = sorted(set(wanted))
+    codes, have = np.array(list(form)), np.array([wanted.count(c) for c in letters])
+    running = np.zeros((len(form) + 1, len(letters)), np.int32)
+    for k, c in enumerate(letters):
+        running[1:, k] = np.cumsum(codes == c)
     best: dict[int, tuple[int, int, float, str]] = {}
     matcher = SequenceMatcher(None, "", "", autojunk=False)
     for size in range(max(4, math.floor(n * 0.75)), min(len(form), max(n + 24, math.floor(n * 1.25))) + 1):
         if 2 * min(n, size) < threshold * (n + size):
             continue  # even a perfect match of the shorter stays below the threshold
-        for at in range(len(form) - size + 1):
+        common = np.minimum(running[size:] - running[:-size], have).sum(1)
+        for at in np.flatnonzero(2.0 * common / (n + size) >= threshold).tolist():
             matcher.set_seqs(wanted, form[at : at + size])
-            if matcher.real_quick_ratio() < threshold or matcher.quick_ratio() < threshold:
-                continue
             ratio = matcher.ratio()
             if ratio >= threshold:
                 start, score = source[at], round(ratio, 4)
@@ -79,20 +137,28 @@ def fuzzy_occurrences(text: str, quote: str, threshold: float) -> list[tuple[int
 
 
 def with_candidates(rows: DataFrame, quote: str, out: str, threshold: float = 0.86, key: str = "row_id") -> DataFrame:
-    """rows (key, text, window_start, quote...) with the candidates of the first tier that finds any."""
-    exact = rows.withColumn(out, exact_occurrences(F.col("text"), F.col(quote), F.col("window_start")))
+    """rows (text, window_start, quote...) with the candidates of the first tier that finds any.
 
-    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    The exact tier is an expression; the others run in the same pass, in an Arrow map that leaves rows with exact hits
+    as they are. Rows are neither joined nor keyed, so a `key` that repeats does no harm.
+    """
+    import pyarrow as pa
+
+    tried = rows.withColumn(out, exact_occurrences(F.col("text"), F.col(quote), F.col("window_start")))
+    missing = (F.size(out) == 0) & (F.length(strip(F.col(quote))) > 0)
+    packed = tried.select(F.struct(*tried.columns).alias("row"), F.when(missing, F.struct("window_start", "text", F.col(quote).alias("quote"))).alias("open"))
+    kind = pa.list_(pa.struct([("start_idx", pa.int32()), ("end_idx", pa.int32()), ("confidence", pa.float64()), ("strategy", pa.string())]))
+
+    def search(batches):
+        for batch in batches:
             found = []
-            for base, text, wanted in zip(pdf["window_start"], pdf["text"], pdf["quote"], strict=True):
-                hits = normalized_occurrences(text, wanted) or fuzzy_occurrences(text, wanted, threshold)
-                found.append([(int(base) + a, int(base) + b, c, s) for a, b, c, s in hits])
-            yield pd.DataFrame({key: pdf[key], "found": found})
+            for r in batch.column(1).to_pylist():
+                hits = [] if r is None else normalized_occurrences(r["text"], r["quote"]) or fuzzy_occurrences(r["text"], r["quote"], threshold)
+                found.append(None if r is None else [{"start_idx": r["window_start"] + a, "end_idx": r["window_start"] + b, "confidence": c, "strategy": s} for a, b, c, s in hits])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["row", "found"])
 
-    missing = exact.where((F.size(out) == 0) & (F.length(strip(F.col(quote))) > 0)).select(key, "window_start", "text", F.col(quote).alias("quote"))
-    late = missing.mapInPandas(search, f"{key} {rows.schema[key].dataType.simpleString()}, found {CANDIDATES}")
-    return exact.join(late, key, "left").withColumn(out, F.coalesce("found", out)).drop("found")
+    done = packed.mapInArrow(search, T.StructType([packed.schema["row"], T.StructField("found", T.ArrayType(rows.sparkSession.createDataFrame([], f"c {CANDIDATES}").schema["c"].dataType.elementType))]))
+    return done.select(*(F.coalesce("found", F.col(f"row.{c}")).alias(c) if c == out else F.col(f"row.{c}").alias(c) for c in tried.columns))
 
 
 def best_candidate(candidates: Column, window_start: Column, window_end: Column) -> Column:
@@ -125,12 +191,12 @@ def trim_anchor(anchor: Column, role: str, most: int = 80) -> Column:
 def anchor_pairs(starts: Column, ends: Column) -> Column:
     """Every start with every end that does not end before it: the candidates' product inside one window."""
 
-    def with_start(s: Column) -> Column:
+    def with_start(s: Column, ends: Column) -> Column:
         fits = F.filter(ends, lambda e: e["end_idx"] >= s["start_idx"])
         pair = lambda e: F.struct(s["start_idx"].alias("start_idx"), e["end_idx"].alias("end_idx"), F.round((s["confidence"] + e["confidence"]) / 2, 4).alias("confidence"), F.concat(F.lit("anchors:start_"), s["strategy"], F.lit("+end_"), e["strategy"]).alias("strategy"))
         return F.transform(fits, pair)
 
-    return F.flatten(F.transform(starts, with_start))
+    return let(ends, lambda es: F.flatten(F.transform(starts, lambda s: with_start(s, es))))
 
 
 def locate_anchors(rows: DataFrame, threshold: float = 0.86, key: str = "row_id") -> DataFrame:

@@ -2,48 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import LINE_END, strip
+from ..functions.text import LINE_END, let, strip
+
 
 def _doc():
     return Window.partitionBy("document_id")
 
 
-def headings(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS) -> DataFrame:
-    """(document_id, title, start_idx) of the lines that look like headings.
+def _marks(text: Column, patterns: tuple[str, ...]) -> Column:
+    """An array of (title, start_idx, real) of the lines that look like headings, found inside the row.
 
-    Lines become rows with their offset, a running sum of lengths inside the document. Where a document has real
-    chapter headings, only those count.
+    A fold over the lines carries their offset; where a text has real chapter headings, only those count.
     """
-    lines = F.regexp_extract_all("text", F.lit(f"[^{LINE_END}]*(?:\r\n|[{LINE_END}])|[^{LINE_END}]+\\z"), F.lit(0))
-    each = docs.select("document_id", F.posexplode(lines).alias("line", "raw"))
-    before = _doc().orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("offset", F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)))
-    title = strip(F.col("raw"))
+    lines = F.regexp_extract_all(text, F.lit(f"[^{LINE_END}]*(?:\r\n|[{LINE_END}])|[^{LINE_END}]+\\z"), F.lit(0))
     match = "(?i)^(?:" + "|".join(patterns) + ")"
-    found = each.withColumn("title", title).where((F.length("title") > 0) & (F.length("title") <= 80) & F.col("title").rlike(match))
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"\A[\s\x1c-\x1f\x85\p{Z}]+", ""))
-    found = found.select("document_id", "title", (F.col("offset") + lead).cast("int").alias("start_idx"), F.col("title").rlike(fixed.REAL_CHAPTER).alias("real"))
-    return found.withColumn("any_real", F.max("real").over(_doc())).where(F.col("real") | ~F.col("any_real"))
+    none = F.array().cast("array<struct<title:string,start_idx:int,real:boolean>>")
+
+    def step(acc: Column, raw: Column) -> Column:
+        def seen(title: Column) -> Column:
+            lead = F.length(raw) - F.length(F.regexp_replace(raw, r"\A[\s\x1c-\x1f\x85\p{Z}]+", ""))
+            mark = F.struct(title.alias("title"), (acc["offset"] + lead).alias("start_idx"), title.rlike(fixed.REAL_CHAPTER).alias("real"))
+            return F.when((F.length(title) > 0) & (F.length(title) <= 80) & title.rlike(match), F.array_append(acc["found"], mark)).otherwise(acc["found"])
+
+        return F.struct((acc["offset"] + F.length(raw)).alias("offset"), let(strip(raw), seen).alias("found"))
+
+    found = F.aggregate(lines, F.struct(F.lit(0).alias("offset"), none.alias("found")), step, lambda acc: acc["found"])
+    real = lambda ms: F.filter(ms, lambda m: m["real"])
+    marked = F.when(text.rlike("(?i)(?:" + "|".join(patterns) + ")"), found).otherwise(none)  # most texts have none
+    return let(marked, lambda ms: F.when(F.exists(ms, lambda m: m["real"]), real(ms)).otherwise(ms))
 
 
-def chapters(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS, max_chapters: int | None = None) -> DataFrame:
-    """(document_id, chapter_id, chapter_index, chapter_title, start_idx, end_idx, char_count, strategy)."""
+def headings(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS) -> DataFrame:
+    """(document_id, title, start_idx, real) of the lines that look like headings: a narrow plan, without a shuffle."""
+    return docs.select("document_id", F.explode(_marks(F.col("text"), patterns)).alias("m")).select("document_id", "m.*")
+
+
+def chapters(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS, max_chapters: int | None = None, keep_text: bool = False) -> DataFrame:
+    """(document_id, chapter_id, chapter_index, chapter_title, start_idx, end_idx, char_count, strategy).
+
+    With `keep_text`, the document's whole text stays beside its chapters, so that windows are cut without a join.
+    """
     if max_chapters is not None and max_chapters < 1:
         raise ValueError("max_chapters must be greater than zero")
-    sizes = docs.select("document_id", F.length("text").alias("total"))
-    marks = headings(docs, patterns)
-    order = _doc().orderBy("start_idx")
-    split = sizes.join(marks, "document_id", "left").select(
+    whole = F.array(F.struct(F.lit("Whole Document").alias("title"), F.lit(0).alias("start_idx"), F.lit(None).cast("boolean").alias("real")))
+    marks = docs.select("document_id", "text", F.length("text").alias("total"), _marks(F.col("text"), patterns).alias("found"))
+    marks = marks.withColumn("marks", F.when(F.size("found") > 0, F.col("found")).otherwise(whole))
+    each = marks.select("document_id", "text", "total", "marks", F.posexplode("marks").alias("at", "m"))
+    split = each.select(
         "document_id",
-        F.when(F.col("title").isNull(), 0).otherwise(F.row_number().over(order)).alias("chapter_index"),
-        F.coalesce("title", F.lit("Whole Document")).alias("chapter_title"),
-        F.coalesce("start_idx", F.lit(0)).alias("start_idx"),
-        F.coalesce(F.lead("start_idx").over(order), "total").alias("end_idx"),
-        F.when(F.col("title").isNull(), "whole_document_fallback").when(F.col("any_real"), "real_chapter_patterns").otherwise("configured_patterns").alias("strategy"),
+        *(["text"] if keep_text else []),
+        F.when(F.col("m.real").isNull(), 0).otherwise(F.col("at") + 1).alias("chapter_index"),
+        F.col("m.title").alias("chapter_title"),
+        F.col("m.start_idx").alias("start_idx"),
+        F.coalesce(F.try_element_at("marks", F.col("at") + 2)["start_idx"], "total").alias("end_idx"),
+        F.when(F.col("m.real").isNull(), "whole_document_fallback").when(F.col("m.real"), "real_chapter_patterns").otherwise("configured_patterns").alias("strategy"),
     )
     if max_chapters is not None:
         split = split.where(F.col("chapter_index") <= max_chapters)
@@ -84,7 +100,7 @@ def windows(chapters_: DataFrame, docs: DataFrame, mode: str = "auto", size: int
     """Windows of each chapter: all of it (by_chapter), or overlapping slices of `size` characters (sliding).
 
     `auto` slides only over the chapter that stands for a whole document. A last slice shorter than `least` is
-    merged into the one before it.
+    merged into the one before it. Texts come with the chapters if those keep them, else from `docs` by a join.
     """
     check_window_config(size, overlap, least, most)
     if mode not in ("auto", "by_chapter", "sliding"):
@@ -99,13 +115,14 @@ def windows(chapters_: DataFrame, docs: DataFrame, mode: str = "auto", size: int
     each = cut.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     start = F.col("start_idx") + F.col("k") * stride
     last = F.col("k") == F.col("n") - 1
+    kept = ["text"] if "text" in chapters_.columns else []
     placed = each.select(
-        "document_id", "chapter_id", "chapter_index",
+        "document_id", "chapter_id", "chapter_index", *kept,
         (F.col("k") + 1).cast("int").alias("window_index"),
         F.when(F.col("sliding"), start).otherwise(F.col("start_idx")).cast("int").alias("window_start"),
         F.when(F.col("sliding") & ~last, start + size).otherwise(F.col("end_idx")).cast("int").alias("window_end"),
     )
-    texts = placed.join(docs.select("document_id", "text"), "document_id")
+    texts = placed if kept else placed.join(docs.select("document_id", "text"), "document_id")
     window_id = F.concat("chapter_id", F.lit("_win"), F.lpad(F.col("window_index").cast("string"), 4, "0"))
     body = F.substring(F.col("text"), F.col("window_start") + 1, F.col("window_end") - F.col("window_start"))
     return texts.select("document_id", "chapter_id", "chapter_index", window_id.alias("window_id"), "window_index", "window_start", "window_end", (F.col("window_end") - F.col("window_start")).alias("char_count"), body.alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evidence, extraction, graph, index, qa, retrieval, segment
+from ..sources.scratch import settled
 
 RETRIEVAL = {"graph_cluster_top_k": 4, "graph_span_per_cluster": 12, "vector_top_k": 30, "bm25_top_k": 30, "union_max_candidates": 80, "rerank_top_k": 15}
 WIDE = {"graph_cluster_top_k": 8, "graph_span_per_cluster": 20, "vector_top_k": 80, "bm25_top_k": 80, "union_max_candidates": 200, "rerank_top_k": 50}
@@ -16,30 +17,35 @@ EVIDENCE = {"pre": 200, "post": 300, "gap": 500, "chars": 50_000, "blocks": 16}
 def build(docs: DataFrame, size: int = 1200) -> dict[str, DataFrame]:
     """docs (document_id, text) to chapters, windows, located spans with vectors, clusters and edges.
 
-    The extractor is the deterministic mock; a model's spans can take its place. Spans are kept, since every later
+    The extractor is the deterministic mock; a model's spans can take its place. Spans are stored, since every later
     branch reads them.
     """
-    chapters = segment.chapters(docs)
-    windows = segment.windows(chapters, docs, size=size)
+    with_text = segment.chapters(docs, keep_text=True)
+    chapters = with_text.drop("text")
+    windows = segment.windows(with_text, docs, size=size)
     spans = extraction.locate_spans(extraction.mock_spans(windows), windows).where("locator_status = 'located'")
     order = F.struct("span_start_idx", "span_id")
-    spans = spans.withColumns({"ord": order, "cluster_type": graph.cluster_type(F.col("span_type"), F.col("summary"), F.col("entities"))}).persist()
+    spans = spans.withColumns({"ord": order, "cluster_type": graph.cluster_type(F.col("span_type"), F.col("summary"), F.col("entities"))})
+    spans = settled(spans, "spans")
     vectors = spans.select("span_id", index.hash_embedding(F.col("summary"), 64).alias("vector"))
     return {"docs": docs, "chapters": chapters, "windows": windows, "spans": spans, "vectors": vectors}
 
 
 def with_graph(built: dict[str, DataFrame], use_vectors: bool = True) -> dict[str, DataFrame]:
+    """built with members, clusters and edges, with or without the spans' vectors."""
     spans, vectors = built["spans"], built["vectors"] if use_vectors else None
-    members = graph.members(graph.member_scores(graph.centers(spans, vectors), spans, vectors)).persist()
-    clusters = graph.clusters(members)
-    return built | {"members": members, "clusters": clusters, "edges": graph.edges(clusters, members, built["chapters"])}
+    centers = settled(graph.centers(spans, vectors), "centers")
+    weights = graph.normalized_weights(use_vectors=use_vectors)
+    members = settled(graph.members(graph.member_scores(centers, spans, vectors, weights)), "members")
+    clusters = settled(graph.clusters(members), "clusters")
+    return built | {"members": members, "clusters": clusters, "edges": settled(graph.edges(clusters, members, built["chapters"]), "edges")}
 
 
 def retrieve(built: dict[str, DataFrame], questions: DataFrame, reranker: str = "mock", settings: dict[str, int] = RETRIEVAL) -> DataFrame:
     """questions (query_id, document_id, question) to their reranked spans: three branches, one union."""
     spans = built["spans"]
     text = index.bm25_text(F.col("summary"), F.col("entities"), F.col("key_quote"))
-    posted = index.postings(spans, "span_id", text, ["document_id"])
+    posted = settled(index.postings(spans, "span_id", text, ["document_id"]), "postings")
     scores = index.bm25_scores(questions, posted, index.token_weights(posted, spans, ["document_id"], "span_id"), ["document_id"], "span_id")
     hits = retrieval.plain_hits(scores, "bm25", settings["bm25_top_k"])
     asked = questions.withColumn("vector", index.hash_embedding(F.col("question"), 64))
@@ -49,7 +55,7 @@ def retrieve(built: dict[str, DataFrame], questions: DataFrame, reranker: str =
     if "clusters" in built:
         ranked = retrieval.rank_clusters(questions, built["clusters"], settings["graph_cluster_top_k"])
         hits = retrieval.graph_hits(ranked, built["edges"], settings["graph_span_per_cluster"]).unionByName(hits)
-    candidates = retrieval.fuse(hits, questions, spans, settings["union_max_candidates"])
+    candidates = retrieval.fuse(settled(hits, "hits"), questions, spans, settings["union_max_candidates"])
     return retrieval.rerank(candidates, built["chapters"], reranker, settings["rerank_top_k"])
 
 
@@ -64,6 +70,6 @@ def collect_evidence(built: dict[str, DataFrame], results: DataFrame, settings:
 
 def ask(built: dict[str, DataFrame], questions: DataFrame, reranker: str = "mock") -> DataFrame:
     """One validated answer a question, with its pack."""
-    packs = evidence.pack(collect_evidence(built, retrieve(built, questions, reranker)))
+    packs = evidence.pack(collect_evidence(built, settled(retrieve(built, questions, reranker), "results")))
     answered = packs.withColumn("answer", qa.mock_answer(F.transform("blocks", lambda b: b["citation_id"])))
     return qa.validate(answered).join(questions, ["query_id", "document_id"])

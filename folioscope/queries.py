@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .functions import fixed
 from .functions import text as tx
 from .operators import evaluation, evidence, extraction, graph, index, intervals, locate, qa, retrieval, segment
-from .sources import store
+from .sources import reads, store
+from .sources.scratch import settled
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,8 +62,8 @@ NORMAL_SQL = rf"""
 
 @query("normalize_text", f"WITH {NORMAL_SQL} SELECT doc_id, CAST(length(raw) AS INTEGER) AS raw_chars, CAST(length(t) AS INTEGER) AS normalized_chars, CAST(length(raw) - length(t) AS INTEGER) AS chars_removed, md5(t) AS digest FROM n4")
 def normalize_text(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", raw_text().alias("text"))
-    return rows.select("doc_id", tx.normalization_report(F.col("text")).alias("r"), F.md5(F.encode(tx.normalize_text(F.col("text")), "utf-8")).alias("digest")).select("doc_id", "r.*", "digest")
+    rows = table(spark, sf, "documents").select("doc_id", tx.normalization_report(raw_text()).alias("r"))
+    return rows.select("doc_id", "r.raw_chars", "r.normalized_chars", "r.chars_removed", F.md5(F.encode("r.text", "utf-8")).alias("digest"))
 
 
 @query("content_id", f"WITH {NORMAL_SQL} SELECT doc_id, 'doc_' || left(sha256(t), 12) AS document_id FROM n4")
@@ -94,6 +95,19 @@ def tokenize(spark, sf):
     return rows.select("doc_id", F.size("ts").alias("n_tokens"), F.size(F.array_distinct("ts")).alias("n_distinct"), F.md5(F.encode(F.array_join("ts", " "), "utf-8")).alias("digest"))
 
 
+CJK = "历史事件与魔法家族的秘密"
+CJK_SQL = f"left('{CJK}', CAST(doc_id % {len(CJK) + 1} AS INTEGER))"
+
+
+@query("tokenize_cjk", f"""WITH r AS (SELECT doc_id, {CJK_SQL} AS run, text FROM documents), g AS (SELECT doc_id, text, flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, greatest(length(run) - n + 2, 1)), lambda i: substring(run, i, n)))) AS grams FROM r),
+    t AS (SELECT doc_id, list_concat(grams, {TOKENS_SQL.format("text")}) AS ts FROM g) SELECT doc_id, CAST(len(ts) AS INTEGER) AS n_tokens, md5(array_to_string(ts, ' ')) AS digest FROM t""")
+def tokenize_cjk(spark, sf):
+    """A run of CJK characters before each text: its 1-, 2- and 3-grams, then the words."""
+    run = F.substring(F.lit(CJK), F.lit(1), (F.col("doc_id") % (len(CJK) + 1)).cast("int"))
+    rows = table(spark, sf, "documents").select("doc_id", tx.tokens(F.concat(run, F.lit("，"), "text")).alias("ts"))
+    return rows.select("doc_id", F.size("ts").alias("n_tokens"), F.md5(F.encode(F.array_join("ts", " "), "utf-8")).alias("digest"))
+
+
 @query("embedding_inputs", """
     SELECT p_partkey, 'summary: ' || p_type || ' ' || p_name || chr(10) || 'entities: ' || replace(p_name, ' ', ', ') AS input_text,
         sha256('mock:hash:64:' || sha256('summary: ' || p_type || ' ' || p_name || chr(10) || 'entities: ' || replace(p_name, ' ', ', '))) AS cache_key FROM part""")
@@ -169,7 +183,7 @@ WINDOWS_SQL = f"""
 
 def windows(spark, sf) -> DataFrame:
     docs = documents(spark, sf)
-    return segment.windows(segment.chapters(docs), docs, "auto", SIZE, OVERLAP, LEAST, MOST)
+    return segment.windows(segment.chapters(docs, keep_text=True), docs, "auto", SIZE, OVERLAP, LEAST, MOST)
 
 
 @query("sliding_windows", f"WITH {WINDOWS_SQL} SELECT window_id, window_index, window_start, window_end, char_count, md5(text) AS digest FROM w")
@@ -182,11 +196,21 @@ def window_report(spark, sf):
     return segment.window_report(windows(spark, sf))
 
 
-@query("window_problems", f"WITH {WINDOWS_SQL} SELECT window_id, 'longer than allowed' AS problem FROM w WHERE char_count > 450")
+@query("window_problems", f"""WITH {WINDOWS_SQL}, bw AS (SELECT document_id, window_id, length(whole) AS total, whole, window_index % 5 AS kind, window_start AS ws, window_end AS we FROM w4),
+    br AS (SELECT window_id, whole, total, CASE kind WHEN 1 THEN we ELSE ws END AS a, CASE kind WHEN 1 THEN ws WHEN 2 THEN total + 1 ELSE we END AS b, substring(whole, ws + 1, we - ws) || (CASE kind WHEN 3 THEN '!' ELSE '' END) AS t FROM bw)
+    SELECT window_id, problem FROM (SELECT window_id, CASE WHEN b - a <= 0 THEN 'invalid interval' WHEN b > total THEN 'outside chapter' WHEN t <> substring(whole, a + 1, b - a) THEN 'text does not match its slice' WHEN b - a > 350 THEN 'longer than allowed' END AS problem FROM br) WHERE problem IS NOT NULL""")
 def window_problems(spark, sf):
+    """Windows of which one in five each is turned round, stretched beyond its chapter, or holds another text."""
     docs = documents(spark, sf)
-    chapters = segment.chapters(docs)
-    return segment.window_problems(segment.windows(chapters, docs, "auto", SIZE, OVERLAP, LEAST, MOST), chapters, docs, 450)
+    chapters = segment.chapters(docs, keep_text=True)
+    kind = F.col("window_index") % 5
+    total = chapters.select("chapter_id", F.col("end_idx").alias("total"))
+    broken = windows(spark, sf).join(total, "chapter_id").withColumns({
+        "window_start": F.when(kind == 1, F.col("window_end")).otherwise(F.col("window_start")),
+        "window_end": F.when(kind == 1, F.col("window_start")).when(kind == 2, F.col("total") + 1).otherwise(F.col("window_end")),
+        "text": F.when(kind == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")),
+    })
+    return segment.window_problems(broken.drop("total"), chapters.drop("text"), docs, 350)
 
 
 # --- spans, coverage ----------------------------------------------------------------------------------------
@@ -300,6 +324,44 @@ def window_status(spark, sf):
     return extraction.window_status(w, spans_of(w), failures).drop("document_id", "chapter_id")
 
 
+def failures_of(spans: DataFrame) -> DataFrame:
+    return spans.where("locator_status = 'failed'").select(F.xxhash64("span_id").alias("id"), "window_id", "span_id", F.lit("locator").alias("stage"), F.lit("start anchor not found").alias("reason"), F.lit(1).alias("attempts"))
+
+
+@query("window_detail", f"""WITH {SPANS_SQL} SELECT window_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY window_index) - 1 AS INTEGER) AS global_window_index, 'span_' || window_id || '_1|span_' || window_id || '_2|span_' || window_id || '_3' AS span_ids, 'start anchor not found' AS reasons FROM w""")
+def window_detail(spark, sf):
+    """Each window with its chapter, its spans in order and its failures."""
+    w, chapters = windows(spark, sf), segment.chapters(documents(spark, sf))
+    s = spans_of(w).withColumns({"span_index_in_window": F.substring_index("span_id", "_", -1).cast("int"), "summary": F.lit(""), "entities": F.array().cast("array<string>")})
+    got = reads.window_detail(w.drop("chapter_index", "text"), chapters, s, failures_of(s))
+    text = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), "|")
+    return got.select("window_id", "global_window_index", text("spans", "span_id").alias("span_ids"), text("failures", "reason").alias("reasons"))
+
+
+@query("span_reasons", f"WITH {SPANS_SQL} SELECT span_id, CASE WHEN locator_status = 'failed' THEN 'start anchor not found' ELSE '' END AS reasons FROM s")
+def span_reasons(spark, sf):
+    s = spans_of(windows(spark, sf))
+    return reads.with_reasons(s, failures_of(s)).select("span_id", joined("failure_reasons").alias("reasons"))
+
+
+@query("span_review", f"""WITH {AUDIT_SQL}, nu AS (SELECT document_id, window_id, row_number() OVER (PARTITION BY document_id ORDER BY window_index) - 1 AS g FROM w)
+    SELECT window_id, max_gap_chars, CAST(row_number() OVER (PARTITION BY document_id ORDER BY max_gap_chars DESC, uncovered_chars DESC, g) AS INTEGER) AS place FROM au JOIN nu USING (window_id) WHERE g BETWEEN 1 AND 6 AND max_gap_chars >= 60 QUALIFY place <= 3""")
+def span_review(spark, sf):
+    """The widest gaps of each document's windows 1 to 6."""
+    w = windows(spark, sf)
+    paged, _ = reads.review(w.drop("chapter_index"), segment.chapters(documents(spark, sf)), spans_of(w), 1, 6, True, 60, 3)
+    return paged.select("window_id", "max_gap_chars", "place")
+
+
+@query("failed_windows", "SELECT 'span_o' || o_orderkey || '_001' AS span_id, CASE WHEN o_orderstatus = 'F' THEN 'bad answer' ELSE 'window extraction produced no valid spans' END AS failure_reason FROM orders WHERE o_orderpriority <> '1-URGENT'")
+def failed_windows(spark, sf):
+    """Orders as answered windows; urgent ones have spans, the others get a failed one."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("window_id"), "o_orderstatus", "o_orderpriority")
+    w = o.select("window_id", F.lit("d").alias("document_id"), F.lit("c").alias("chapter_id"), F.lit(0).alias("window_start"), F.lit(1).alias("window_end"))
+    answers = o.select("window_id", F.lit("").alias("raw_output"), F.lit(1).alias("attempts"), F.when(F.col("o_orderstatus") == "F", "bad answer").alias("error"))
+    return extraction.failed_windows(w, answers, o.where("o_orderpriority = '1-URGENT'")).select("span_id", "failure_reason")
+
+
 COMPACT_SQL = r"""x AS (SELECT window_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM w),
     y AS (SELECT window_id, c, substring(c, 1, 40) AS a1, coalesce(nullif(substring(c, 81, 40), ''), right(c, 40)) AS e1, coalesce(nullif(substring(c, 41, 40), ''), substring(c, 1, 40)) AS a2 FROM x),
     z AS (SELECT *, coalesce(nullif(substring(c, 121, 40), ''), e1) AS e2 FROM y)"""
@@ -318,23 +380,22 @@ def locate_mock_spans(spark, sf):
     return extraction.locate_spans(extraction.mock_spans(w), w).select("span_id", "span_start_idx", "span_end_idx", "locator_confidence", "locator_status", "failure_reason")
 
 
-@query("exact_occurrences", """WITH b AS (SELECT item_id, left(text, 60) AS q FROM benchmark), k AS (SELECT doc_id, item_id, text, q, unnest(range(1, length(text) - length(q) + 2)) AS i FROM documents JOIN b ON contains(text, q))
+@query("exact_occurrences", """WITH b AS (SELECT item_id, text AS q FROM benchmark), k AS (SELECT doc_id, item_id, text, q, unnest(range(1, length(text) - length(q) + 2)) AS i FROM documents JOIN b ON contains(text, q))
     SELECT doc_id, item_id, CAST(i - 1 AS INTEGER) AS start_idx, CAST(i - 1 + length(q) AS INTEGER) AS end_idx FROM k WHERE substring(text, i, length(q)) = q""")
 def exact_occurrences(spark, sf):
-    quotes = F.broadcast(table(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("q")))  # a fixed list of quotes
-    hits = table(spark, sf, "documents").select("doc_id", "text").join(quotes, F.col("text").contains(F.col("q")))
-    return hits.select("doc_id", "item_id", F.explode(locate.exact_occurrences(F.col("text"), F.col("q"))).alias("c")).select("doc_id", "item_id", "c.start_idx", "c.end_idx")
+    quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return locate.quote_occurrences(table(spark, sf, "documents").select("doc_id", "text"), quotes, "doc_id", "item_id")
 
 
-@query("anchor_pairs", f"""WITH {WINDOWS_SQL}, {COMPACT_SQL}, p AS (SELECT w.window_id, w.text, window_start, window_end, 'e' AS a, '. ' AS b, unnest(range(1, least(length(w.text), 60) + 1)) AS i FROM w),
-    st AS (SELECT window_id, window_start, window_end, window_start + i - 1 AS s FROM p WHERE substring(left(text, 60), i, 1) = 'e'),
-    en AS (SELECT window_id, window_start + i + 1 AS e FROM p WHERE substring(left(text, 60), i, 2) = '. ')
+@query("anchor_pairs", f"""WITH {WINDOWS_SQL}, p AS (SELECT window_id, text, window_start, window_end, unnest(range(1, length(text) + 1)) AS i FROM w),
+    st AS (SELECT window_id, window_start, window_end, window_start + i - 1 AS s FROM p WHERE substring(text, i, 3) = ' th'),
+    en AS (SELECT window_id, window_start + i + 1 AS e FROM p WHERE substring(text, i, 2) = '. ')
     SELECT window_id, CAST(s AS INTEGER) AS start_idx, CAST(e AS INTEGER) AS end_idx FROM st JOIN en USING (window_id) WHERE e >= s QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY abs((s + e) / 2 - (window_start + window_end) / 2), e - s, s, e) = 1""")
 def anchor_pairs(spark, sf):
-    head = F.left("text", F.lit(60))
-    w = windows(spark, sf).withColumns({"starts": locate.exact_occurrences(head, F.lit("e"), F.col("window_start")), "ends": locate.exact_occurrences(head, F.lit(". "), F.col("window_start"))})
+    """The best pair of a start and an end anchor anywhere in each window."""
+    found = {c: locate.exact_occurrences(F.col("text"), F.lit(anchor), F.col("window_start")) for c, anchor in (("starts", " th"), ("ends", ". "))}
     best = locate.best_candidate(locate.anchor_pairs(F.col("starts"), F.col("ends")), F.col("window_start"), F.col("window_end"))
-    return w.withColumn("b", best).where(F.col("b").isNotNull()).select("window_id", "b.start_idx", "b.end_idx")
+    return windows(spark, sf).withColumns(found).select("window_id", F.inline(F.array_compact(F.array(best)))).select("window_id", "start_idx", "end_idx")
 
 
 @query("batch_apply", """SELECT 'o' || o_orderkey AS window_id, CASE WHEN o_orderstatus = 'F' THEN 'batch output missing' WHEN o_orderstatus = 'P' THEN 'rate limited' WHEN o_orderpriority = '5-LOW' THEN 'payload does not parse' ELSE '' END AS retry_reason,
@@ -380,11 +441,10 @@ def like_search(spark, sf):
     return store.like_search(table(spark, sf, "part"), "RED", ["p_name", "p_type"]).select("p_partkey")
 
 
-@query("spans_by_ids", "SELECT CAST(row_number() OVER (ORDER BY f, l_partkey) AS INTEGER) AS n, l_partkey AS p_partkey, p_name FROM (SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY 1) JOIN part ON p_partkey = l_partkey")
+@query("spans_by_ids", "SELECT f AS pos, l_partkey AS p_partkey, p_name FROM (SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY 1) JOIN part ON p_partkey = l_partkey")
 def spans_by_ids(spark, sf):
     wanted = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("p_partkey"))
-    got = store.by_ids(table(spark, sf, "part").select("p_partkey", "p_name"), wanted, "p_partkey", "pos")
-    return got.select(F.row_number().over(Window.orderBy("pos", "p_partkey")).alias("n"), "p_partkey", "p_name")
+    return store.by_ids(table(spark, sf, "part").select("p_partkey", "p_name"), wanted, "p_partkey", "pos").select("pos", "p_partkey", "p_name")
 
 
 # --- index --------------------------------------------------------------------------------------------------
@@ -408,7 +468,7 @@ def doc_freq(spark, sf):
     SELECT query_id, doc_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 10""")
 def bm25_topk(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(0).alias("book"))
-    posted = index.postings(docs, "doc_id", F.col("text"), ["book"])
+    posted = settled(index.postings(docs, "doc_id", F.col("text"), ["book"]), "postings")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("book"), F.col("text").alias("question"))
     scores = index.bm25_scores(asked, posted, index.token_weights(posted, docs, ["book"], "doc_id"), ["book"], "doc_id")
     best = index.top_k(scores, ["query_id"], 10, [F.round("score", 6).desc(), F.asc("doc_id")])
@@ -416,12 +476,10 @@ def bm25_topk(spark, sf):
 
 
 @query("cosine_topk", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score FROM v q JOIN v c ON q.label = c.label)
-    SELECT query_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+    SELECT query_id, vec_id, round(round(score, 9), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def cosine_topk(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    met = v.select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q")).join(v, "label")
-    scored = met.select("query_id", "vec_id", index.cosine(F.col("q"), F.col("v")).alias("score"))
-    return index.top_k(scored, ["query_id"], 5, [F.round("score", 9).desc(), F.asc("vec_id")]).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    return index.vector_search(v.withColumnRenamed("vec_id", "query_id"), v, ["label"], "vec_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("distance_variants", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), z AS (SELECT e FROM v WHERE vec_id = 0)
@@ -433,9 +491,11 @@ def distance_variants(spark, sf):
     return both.select("vec_id", *((F.round(index.distance(m, F.col("embedding"), F.col("z")), 6) + 0).alias(m) for m in ("dot", "euclid", "manhattan")))
 
 
-@query("hash_embedding")
+@query("hash_embedding", """WITH h AS (SELECT p_partkey, sha256(encode(p_name) || unhex('00000000')) AS d FROM part),
+    v AS (SELECT p_partkey, list_transform(range(0, 8), lambda i: (('0x' || substring(d, CAST(2 * i + 1 AS INTEGER), 2))::INTEGER)::DOUBLE / 255.0::DOUBLE - 0.5) AS e FROM h),
+    u AS (SELECT p_partkey, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)
+    SELECT p_partkey, CAST(unnest(range(0, 8)) AS INTEGER) AS i, round(unnest(e), 9) AS x FROM u""")
 def hash_embedding(spark, sf):
-    """A vector of each part's name; checked against a Python model in the tests."""
     return table(spark, sf, "part").select("p_partkey", F.posexplode(index.hash_embedding(F.col("p_name"), 8)).alias("i", "x")).withColumn("x", F.round("x", 9))
 
 
@@ -558,18 +618,68 @@ def clusters(spark, sf):
     return graph.clusters(graph.members(scored_members(spark, sf))).select("center_span_id", "cluster_type", "cluster_name", joined("member_span_ids"), "confidence")
 
 
-@query("edge_counts", f"""WITH {MEMBER_SQL}, ch AS (SELECT document_id, count(DISTINCT chapter_id) - 1 AS n FROM cs GROUP BY document_id)
-    SELECT 'SUPPORTS' AS edge_type, count(*) AS n FROM mb UNION ALL SELECT 'RELATED_TO', count(*) FROM mb WHERE span_id <> center_span_id
-    UNION ALL SELECT 'MENTIONS_ENTITY', count(*) FROM (SELECT DISTINCT document_id, span_id, unnest(entities) FROM mb) UNION ALL SELECT 'ADJACENT_CHAPTER', CAST(sum(n) AS BIGINT) FROM ch""")
-def edge_counts(spark, sf):
-    m = graph.members(scored_members(spark, sf))
-    return graph.edges(graph.clusters(m), m, part_chapters(spark, sf)).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+UUID_SQL = "(substring({0}, 1, 12) || '5' || substring({0}, 14, 3) || substring('89ab', (('0x' || substring({0}, 17, 1))::INTEGER) % 4 + 1, 1) || substring({0}, 18, 15))"
+
+
+def uuid_sql(name: str) -> str:
+    return UUID_SQL.format(f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({name}))")
+
+
+EDGE_SQL = MEMBER_SQL + f""",
+    mc AS (SELECT *, 'cluster_' || left({uuid_sql("'cluster::' || document_id || '::' || of_type || '::' || center_span_id")}, 16) AS cluster_id FROM mb),
+    ch AS (SELECT DISTINCT document_id, chapter_id, brand FROM cs),
+    e0 AS (SELECT document_id, cluster_id AS from_id, span_id AS to_id, 'SUPPORTS' AS edge_type, score::DOUBLE AS weight FROM mc
+        UNION ALL SELECT document_id, center_span_id, span_id, 'RELATED_TO', least(1.0, score)::DOUBLE FROM mc WHERE span_id <> center_span_id
+        UNION ALL SELECT DISTINCT document_id, span_id, 'entity::' || document_id || '::' || entity, 'MENTIONS_ENTITY', 1.0::DOUBLE FROM (SELECT document_id, span_id, unnest(entities) AS entity FROM mc)
+        UNION ALL SELECT document_id, chapter_id, lead(chapter_id) OVER (PARTITION BY document_id ORDER BY brand), 'ADJACENT_CHAPTER', 1.0::DOUBLE FROM ch),
+    ed AS (SELECT *, 'edge_' || left({uuid_sql("document_id || '::' || from_id || '::' || to_id || '::' || edge_type")}, 20) AS edge_id FROM e0 WHERE to_id IS NOT NULL)
+"""
+
+
+def part_graph(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    m = settled(graph.members(scored_members(spark, sf)), "members")
+    c = graph.clusters(m)
+    return m, c, graph.edges(c, m, part_chapters(spark, sf))
+
+
+@query("graph_edges", f"WITH {EDGE_SQL} SELECT edge_id, document_id, from_id, to_id, edge_type, weight FROM ed")
+def graph_edges(spark, sf):
+    return part_graph(spark, sf)[2].select("edge_id", "document_id", "from_id", "to_id", "edge_type", "weight")
+
+
+@query("graph_nodes", f"WITH {EDGE_SQL} SELECT node_type, count(*) AS n FROM (SELECT DISTINCT 'CenterSpanCluster' AS node_type, cluster_id AS id FROM mc UNION ALL SELECT DISTINCT 'Span', span_id FROM mc UNION ALL SELECT DISTINCT 'Chapter', chapter_id FROM ch UNION ALL SELECT DISTINCT 'Entity', to_id FROM ed WHERE edge_type = 'MENTIONS_ENTITY') GROUP BY node_type")
+def graph_nodes(spark, sf):
+    m, c, e = part_graph(spark, sf)
+    return graph.nodes(c, part_spans(spark, sf), part_chapters(spark, sf), e).groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("graph_summary", f"WITH {EDGE_SQL}, ne AS (SELECT document_id, count(*) AS edge_count FROM ed GROUP BY document_id), nc AS (SELECT document_id, count(DISTINCT cluster_id) AS cluster_count FROM mc GROUP BY document_id) SELECT document_id, coalesce(cluster_count, 0) AS cluster_count, coalesce(edge_count, 0) AS edge_count FROM ne FULL JOIN nc USING (document_id)")
+def graph_summary(spark, sf):
+    _, c, e = part_graph(spark, sf)
+    return reads.graph_summary(c, e).select("document_id", "cluster_count", "edge_count")
+
+
+@query("cluster_listing", f"WITH {EDGE_SQL} SELECT cluster_id, count(*) AS member_count, string_agg(summary, '|' ORDER BY member_rank) AS members FROM mc GROUP BY cluster_id")
+def cluster_listing(spark, sf):
+    """Clusters with previews of their members in order."""
+    _, c, _ = part_graph(spark, sf)
+    got = reads.clusters_with_members(c, part_spans(spark, sf))
+    return got.select("cluster_id", F.col("member_count").cast("long").alias("member_count"), F.array_join(F.transform("members", lambda x: x["summary"]), "|").alias("members"))
+
+
+@query("vector_coverage", f"WITH {MEDOID_SQL} SELECT cs.document_id, count(*) AS requested, count(e) AS loaded, round(count(e) / count(*), 6) AS coverage FROM cs LEFT JOIN ve USING (span_id) GROUP BY cs.document_id")
+def vector_coverage(spark, sf):
+    return graph.vector_coverage(part_spans(spark, sf), part_vectors(spark, sf)).drop("source")
+
+
+@query("search_spans", f"WITH {PART_SQL} SELECT document_id, span_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY salience_score DESC, span_start_idx, span_id) AS INTEGER) AS place FROM cs WHERE contains(lower(summary), 'small') OR contains(span_id, 'small') QUALIFY place <= 5")
+def search_spans(spark, sf):
+    return reads.search_spans(part_spans(spark, sf), words="SMALL", limit=5).select("document_id", "span_id", "place")
 
 
 @query("chapter_adjacency", f"WITH {PART_SQL}, c AS (SELECT DISTINCT document_id, chapter_id, brand FROM cs) SELECT chapter_id AS from_id, lead(chapter_id) OVER (PARTITION BY document_id ORDER BY brand) AS to_id FROM c QUALIFY to_id IS NOT NULL")
 def chapter_adjacency(spark, sf):
-    m = graph.members(scored_members(spark, sf))
-    return graph.edges(graph.clusters(m), m, part_chapters(spark, sf)).where("edge_type = 'ADJACENT_CHAPTER'").select("from_id", "to_id")
+    return part_graph(spark, sf)[2].where("edge_type = 'ADJACENT_CHAPTER'").select("from_id", "to_id")
 
 
 @query("graph_walk", """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 's' || l_suppkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), h0 AS (SELECT 's0' AS node), h1 AS (SELECT DISTINCT b AS node FROM u JOIN h0 ON a = node EXCEPT SELECT node FROM h0),
@@ -592,6 +702,16 @@ def route_query(spark, sf):
     return table(spark, sf, "documents").select("doc_id", retrieval.route(F.col("text")).alias("query_type"))
 
 
+#: A question of each route, and one of none, in the order of the routes.
+ASKED = {"character_relation": "主角和同伴", "faction_history": "王国的家族", "location": "哪座城市", "power_system": "法师的规则", "timeline": "先后如何", "unknown": "为什么下雨"}
+
+
+@query("route_cjk", f"SELECT doc_id, {list(ASKED)!r}[CAST(doc_id % {len(ASKED)} + 1 AS INTEGER)] AS query_type FROM documents")
+def route_cjk(spark, sf):
+    asked = F.array(*(F.lit(q) for q in ASKED.values()))[(F.col("doc_id") % len(ASKED)).cast("int")]
+    return table(spark, sf, "documents").select("doc_id", retrieval.route(asked).alias("query_type"))
+
+
 HITS_SQL = """
     hi AS (SELECT l_orderkey AS query_id, 's' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS span_id, CASE l_returnflag WHEN 'A' THEN 'bm25' WHEN 'N' THEN 'graph' ELSE 'vector' END AS source, l_extendedprice / 1000 AS score, CASE WHEN l_returnflag = 'N' THEN 'c' || l_suppkey END AS cluster_id FROM lineitem),
     nm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS normalized FROM hi WINDOW w AS (PARTITION BY query_id, source))
@@ -660,10 +780,9 @@ def rerank_mock(spark, sf):
     SELECT document_id, center_span_id AS span_id, round(least(1.0, 0.65 + 0.35 * cluster_score), 5) AS score FROM sc UNION ALL
     SELECT mb.document_id, mb.span_id, round(least(1.0, 0.5 * cluster_score + 0.5 * score), 5) FROM mb JOIN sc USING (document_id, center_span_id)""")
 def graph_hits(spark, sf):
-    m = graph.members(scored_members(spark, sf))
-    c = graph.clusters(m)
+    _, c, e = part_graph(spark, sf)
     asked = part_spans(spark, sf).select("document_id").distinct().select(F.concat(F.lit("q"), "document_id").alias("query_id"), "document_id", F.lit("zz").alias("question"))
-    hits = retrieval.graph_hits(retrieval.rank_clusters(asked, c), graph.edges(c, m, part_chapters(spark, sf)))
+    hits = retrieval.graph_hits(retrieval.rank_clusters(asked, c), e)
     return hits.select("document_id", "span_id", F.round("score", 5).alias("score"))
 
 
@@ -710,12 +829,12 @@ def evidence_budget(spark, sf):
 
 
 @query("evidence_blocks", f"""WITH {BUDGET_SQL}, ci AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY start_idx, end_idx, brand) AS k FROM bg)
-    SELECT query_id, '[E' || lpad(CAST(k AS VARCHAR), 3, '0') || ']' AS citation_id, CAST(start_idx AS INTEGER) AS start_idx, left(substring(repeat('0123456789', 200), CAST(start_idx % 10 AS INTEGER) + 1, CAST(end_idx - start_idx AS INTEGER)), 1000) AS block_text FROM ci""")
+    SELECT query_id, '[E' || lpad(CAST(k AS VARCHAR), 3, '0') || ']' AS citation_id, CAST(start_idx AS INTEGER) AS start_idx, substring(repeat('0123456789', 200), CAST(start_idx % 10 AS INTEGER) + 1, CAST(end_idx - start_idx AS INTEGER)) AS block_text FROM ci""")
 def evidence_blocks(spark, sf):
     """Blocks over chapters of a repeated pattern: texts of a million digits, made where they are cut."""
     chosen = evidence.choose(merged_evidence(spark, sf), 1200, 3)
     texts = part_chapters(spark, sf, "book").withColumn("text", F.repeat(F.lit("0123456789"), F.lit(100_000)))
-    return evidence.cite(chosen, texts).select("query_id", "citation_id", "start_idx", F.left("block_text", F.lit(1000)).alias("block_text"))
+    return evidence.cite(chosen, texts).select("query_id", "citation_id", "start_idx", "block_text")
 
 
 @query("citations", r"""WITH a AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'see [E001] and [E099], [E001]' WHEN 'O' THEN 'none' ELSE 'as [E002] says' END AS answer FROM orders)
@@ -800,22 +919,42 @@ def metric_grouping_sets(spark, sf):
     return got.select("grouping", "group", "question_count", "weighted_recall_at_5", "ndcg_at_5", "mrr")
 
 
-@query("failure_report")
+@query("failure_report", f"""WITH {METRIC_SQL}, m20 AS (SELECT pd.question_id, count(DISTINCT facet) FILTER (rank <= 20) AS f20 FROM pd LEFT JOIN gw USING (question_id, chapter_id) GROUP BY ALL),
+    wr AS (SELECT question_id, 1 - missed AS r, CASE WHEN len(gf) > 0 THEN coalesce(f20, 0) / len(gf) ELSE 0 END::DOUBLE AS f, mrr FROM sc LEFT JOIN gc USING (question_id) LEFT JOIN m20 USING (question_id)),
+    wo AS (SELECT * FROM wr ORDER BY round(r, 9), round(f, 9), round(mrr, 9), question_id LIMIT 50)
+    SELECT question_id, round(r, 6) AS weighted_recall_at_20, round(f, 6) AS facet_coverage_at_20, round(mrr, 6) AS mrr FROM wo WHERE round(r, 9) < 1""")
 def failure_report(spark, sf):
-    return evaluation.failure_report(order_scores(spark, sf)).select("question_id", "weighted_recall_at_20", "facet_coverage_at_20", "mrr")
+    return evaluation.failure_report(order_scores(spark, sf)).select("question_id", *(F.round(c, 6).alias(c) for c in ("weighted_recall_at_20", "facet_coverage_at_20", "mrr")))
 
 
 # --- the whole path -----------------------------------------------------------------------------------------
 
 
+def benchmark_questions(spark, sf) -> DataFrame:
+    """Whole benchmark passages as questions to the documents in which they stand."""
+    quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = locate.quote_occurrences(documents(spark, sf), quotes, "document_id", "item_id").select("item_id", "document_id").distinct()
+    return settled(found.join(quotes, "item_id").select(F.col("item_id").alias("query_id"), "document_id", F.col("quote").alias("question")), "questions")
+
+
 @query("ask")
 def ask_benchmark(spark, sf):
-    """Benchmark passages as questions to the documents in which they stand; all in one plan."""
+    """Cited answers to benchmark passages, by graph, vector and keyword search over all documents, in one plan."""
     from .plans import ask
 
-    docs = documents(spark, sf)
-    quotes = F.broadcast(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("question")))  # a fixed list of quotes
-    questions = docs.join(quotes, F.col("text").contains(F.col("question"))).select("query_id", "document_id", "question")
-    built = ask.build(docs.join(questions.select("document_id").distinct(), "document_id", "left_semi"))
-    out = ask.ask(built, questions)
+    built = ask.with_graph(ask.build(documents(spark, sf)))
+    out = ask.ask(built, benchmark_questions(spark, sf))
     return out.select("query_id", "document_id", "block_count", "evidence_chars", "valid", joined("citations"))
+
+
+@query("eval_run", "SELECT item_id || '@doc_' || doc_id AS question_id, 1.0::DOUBLE AS weighted_recall_at_5, 1.0::DOUBLE AS mrr, 1 AS predicted_chapter_count FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def eval_run(spark, sf):
+    """Each document's chapters are gold for the passages that stand in it: how well they are recalled."""
+    from .plans import ask, evaluate
+
+    built = ask.build(documents(spark, sf))
+    asked = benchmark_questions(spark, sf)
+    gold = F.array(F.struct(F.concat("document_id", F.lit("_ch0000")).alias("chapter_id"), F.lit(0).alias("chapter_index"), F.lit(1.0).alias("weight"), F.lit(3.0).alias("relevance"), F.lit("general").alias("facet"), F.lit("").alias("reason")))
+    questions = asked.select(F.concat_ws("@", F.col("query_id").cast("string"), "document_id").alias("question_id"), "document_id", "question", F.lit("pinpoint").alias("profile"), F.lit("").alias("query_type"), F.array(F.lit("general")).alias("required_facets"), gold.alias("expected_chapters"), F.lit(None).cast("array<struct<chapter_id:string,chapter_index:int,reason:string>>").alias("negative_chapters"))
+    scores, _ = evaluate.run(built, questions)
+    return scores.select("question_id", "weighted_recall_at_5", "mrr", "predicted_chapter_count")

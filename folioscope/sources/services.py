@@ -37,11 +37,18 @@ def resolve(config: dict[str, Any], name: str, overrides: dict[str, Any] | None
     services = config.get("services", {})
     if name not in services:
         raise KeyError(f"missing model service: {name}")
-    own = dict(services[name])
-    profile = config.get("profiles", {}).get(own.pop("profile", None) or "", {})
-    merged = {**profile, **own, **(overrides or {})}
-    provider = merged.pop("provider", "mock")
-    known = config.get("providers", {}).get(provider, {})
+    own, profiles = dict(services[name]), config.get("profiles", {})
+    chosen = own.pop("profile", None)
+    if chosen and chosen not in profiles:
+        raise KeyError(f"unknown profile of {name}: {chosen}")
+    merged = {**(profiles[chosen] if chosen else {}), **own, **(overrides or {})}
+    provider = merged.pop("provider", None)
+    if not provider:
+        raise ValueError(f"model service without a provider: {name}")
+    known = config.get("providers", {}).get(provider)
+    if known is None and provider != "mock":
+        raise KeyError(f"unknown provider of {name}: {provider}")
+    known = known or {}
     return Service(name, provider, merged.pop("model", ""), known.get("base_url", ""), {**known, **merged})
 
 
