@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,16 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from ..sources.scratch import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where unset (tests), a local folder made once."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -48,6 +40,17 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """n numbers of which hashing over n partitions sends one to each: groups of like size, one a task."""
+    found: dict[int, int] = {}
+    at, step = 0, 12 * n + 100
+    while len(found) < n:
+        for r in spark.range(at, at + step).select(F.col("id").cast("int").alias("x"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).collect():
+            found.setdefault(r["p"], r["x"])
+        at += step
+    return [found[k] for k in range(n)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
