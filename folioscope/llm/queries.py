@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import corpus_pipeline
-
 from . import bpe, chat, langid, lm, neardup, packing, quality, suffixes, topk, urls
 from .common import table
 
@@ -39,10 +37,14 @@ class ChatDigest:
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted
 
 
+#: Bytes that a passage of over 50 words has at least; op1 counts them beside the strings of 400 that it removes.
+PASSAGE = 240
+
+
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), report=(PASSAGE,))
     size = F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long")
-    return left.select(F.col("row.doc_id").alias("doc_id"), size.alias("n_bytes"), (size - F.octet_length("raw")).alias("n_removed"), "n_spans", F.sha2("raw", 256).alias("kept_sha256"))
+    return left.select(F.col("row.doc_id").alias("doc_id"), size.alias("n_bytes"), (size - F.octet_length("raw")).alias("n_removed"), "n_spans", F.sha2("raw", 256).alias("kept_sha256"), F.col("covered")[0].alias("n_passage"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +117,6 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_lm": op9_lm,
     "op10_packing": op10_packing,
-    "pipeline": corpus_pipeline.run,
 }
 
 #: Answers that DuckDB can give by itself.

@@ -1,14 +1,15 @@
 """Removal of repeated byte strings by column-wise construction of a collection's BWT and common prefixes.
 
-Every window of LENGTH bytes has an anchor: its GRAM bytes of least hash, the first of equals. Equal windows have
-equal anchors at equal places, so windows are compared only inside the class of an anchor, and there only column
-by column. Neighbouring windows with one anchor form a piece; each window lies in exactly one piece.
+Strings of one or more lengths are looked for at once. Every window of the shortest length has an anchor: its GRAM
+bytes of least hash, the first of equals. Equal windows have equal anchors at equal places, so windows are compared
+only inside the class of an anchor, and there only column by column. Neighbouring windows with one anchor form a
+piece, which reaches to the right as far as the longest length needs; each window lies in exactly one piece.
 
 A piece that stands at two places repeats as a whole, which an aggregation tells from its hash. Classes of two or
 more different pieces go to the column-wise construction: pieces are aligned at their anchor, and each round
 inserts one symbol a piece, right to left, into the sorted order of the class's suffixes, with the length of the
 common prefix of neighbours. Columns, Burrows-Wheeler symbols and prefix lengths pass through sequential files.
-Windows whose suffix shares LENGTH symbols with a neighbour are the repeated ones.
+Windows whose suffix shares `length` symbols with a neighbour are the repeated ones.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM = 400, 32
 #: Pieces in one construction, and the size of a class beyond which its windows are counted by hash instead.
-BATCH, LARGE = 16_000, 50_000
+BATCH, LARGE = 6_000, 50_000
 _table = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _factors = np.random.default_rng(11).integers(0, 1 << 63, 32, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -63,28 +64,42 @@ def pieces_of(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return hashes[at[first]], first, np.diff(np.append(first, len(at))), at[first] - first
 
 
-_PLACED = "id string, t long, anchor long, h1 long, h2 long, start int, windows int, off int"
+def digested(raw: bytes, lengths: tuple[int, ...], gram: int) -> dict[str, np.ndarray]:
+    """The pieces of a text: anchor, hash of the bytes, first window, number of windows, place of the anchor, size."""
+    anchor, start, windows, off = pieces_of(raw, min(lengths), gram)
+    size = np.minimum(windows - 1 + max(lengths), len(raw) - start)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + n]) for a, n in zip(start.tolist(), size.tolist())), np.uint64, len(start))
+    ints = {c: x.astype(np.int32) for c, x in (("start", start), ("windows", windows), ("off", off), ("size", size))}
+    return {"anchor": anchor.view(np.int64), "h": h.view(np.int64)} | ints
 
 
-def placed(docs: DataFrame, length: int, gram: int) -> DataFrame:
+_PLACED = "id string, t long, anchor long, h long, start int, windows int, size int"
+
+
+def placed(docs: DataFrame, lengths: tuple[int, ...], gram: int) -> DataFrame:
     """Every piece of every text with the hash of its bytes: docs has (id string, t, text)."""
 
+    names = _PLACED.replace(",", "").split()[::2]
+
+    def packed(keys: list, ts: list[int], parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+        n = [len(x["h"]) for x in parts]
+        out = {c: np.concatenate([x[c] for x in parts]) for c in names[2:]}
+        return pd.DataFrame({"id": np.repeat(np.array(keys, object), n), "t": np.repeat(np.array(ts, np.int64), n)} | out)
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, size = [], 0
+            keys, ts, parts, size = [], [], [], 0
             for key, t, text in zip(pdf["id"], pdf["t"], pdf["text"], strict=True):
                 raw = text.encode("utf-8", "replace") if isinstance(text, str) else b""
-                if len(raw) < length:
+                if len(raw) < min(lengths):
                     continue
-                anchor, start, windows, off = pieces_of(raw, length, gram)
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a : a + w + length - 1]) for a, w in zip(start.tolist(), windows.tolist())), np.int64).reshape(-1, 2)
-                out.append(pd.DataFrame({"id": key, "t": t, "anchor": anchor.view(np.int64), "h1": digests[:, 0], "h2": digests[:, 1], "start": start.astype(np.int32), "windows": windows.astype(np.int32), "off": off.astype(np.int32)}))
-                size += len(start)
+                keys.append(key), ts.append(t), parts.append(digested(raw, lengths, gram))
+                size += len(parts[-1]["h"])
                 if size > 100_000:
-                    yield pd.concat(out)
-                    out, size = [], 0
-            if out:
-                yield pd.concat(out)
+                    yield packed(keys, ts, parts)
+                    keys, ts, parts, size = [], [], [], 0
+            if parts:
+                yield packed(keys, ts, parts)
 
     return docs.mapInPandas(run, _PLACED)
 
@@ -102,16 +117,18 @@ def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return out
 
 
-def column_wise(columns, rounds: int, group: np.ndarray, sink, most: int) -> None:
+def column_wise(columns, rounds: int, group: np.ndarray, sink, most: int, wanted: int) -> None:
     """Insert columns, last first, into the order of each group's suffixes.
 
-    `columns` yields, a round, one symbol a document as uint16 (0: none there) from a sequential file; after each
-    round the documents in order, their symbols to the left (the BWT's column, known a round later) and the
-    common prefix with the one before (held to `most`) are appended to `sink`. `group` ascends, below 65,536.
+    `columns` yields, a round, one symbol a document as uint16 (0: none there) from a sequential file. After each
+    round the symbols to the left of the documents in order (the BWT's column, known a round later) are appended to
+    `sink`, and in the last `wanted` rounds the documents in order (uint16, beyond 65,535 of them uint32) and the common
+    prefix with the one before (uint16, held to `most`). `group` ascends, below 65,536.
     """
     n = len(group)
+    place = np.uint16 if n <= 1 << 16 else np.uint32
     order, common = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    for _ in range(rounds):
+    for turn in range(rounds):
         column = next(columns)
         symbol = column[order]
         sink.write(symbol.tobytes())  # stands left of the suffixes inserted the round before
@@ -130,11 +147,12 @@ def column_wise(columns, rounds: int, group: np.ndarray, sink, most: int) -> Non
             new[rest] = _range_least(common, low[~next_door], high[~next_door])
         new[at] += 1
         common = np.minimum(new, most)
-        sink.write(order.tobytes()), sink.write(common.tobytes())
+        if turn >= rounds - wanted:
+            sink.write(order.astype(place).tobytes()), sink.write(common.astype(np.uint16).tobytes())
 
 
-def repeated_windows(raws: list[bytes], offs: np.ndarray, windows: np.ndarray, group: np.ndarray, length: int) -> list[np.ndarray]:
-    """Per piece, which of its windows also stand in another piece of its group."""
+def repeated_windows(raws: list[bytes], offs: np.ndarray, windows: np.ndarray, group: np.ndarray, lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """Per piece and length, which of its windows also stand in another piece of its group."""
     n, left = len(raws), int(offs.max())
     sizes = np.fromiter(map(len, raws), np.int64, n)
     width = int((sizes - offs).max()) + left
@@ -142,26 +160,25 @@ def repeated_windows(raws: list[bytes], offs: np.ndarray, windows: np.ndarray, g
     for k, raw in enumerate(raws):
         a = left - int(offs[k])
         aligned[k, a : a + len(raw)] = np.frombuffer(raw, np.uint8)
-    there = np.arange(width)[None, :] - (left - offs)[:, None]
-    aligned[(there >= 0) & (there < sizes[:, None])] += 1
+        aligned[k, a : a + len(raw)] += 1
+    place = np.uint16 if n <= 1 << 16 else np.uint32
     with tempfile.TemporaryFile() as inbound, tempfile.TemporaryFile() as outbound:
-        np.ascontiguousarray(aligned[:, ::-1].T).tofile(inbound)
-        del aligned, there
+        for column in range(width - 1, -1, -1):
+            inbound.write(aligned[:, column].tobytes())
+        del aligned
         inbound.seek(0)
         columns = (np.fromfile(inbound, np.uint16, n) for _ in range(width))
-        column_wise(columns, width, group.astype(np.uint16), outbound, length)
-        outbound.seek(0)
-        hits = np.zeros((n, left + 1), bool)
-        for column in range(width - 1, -1, -1):
+        column_wise(columns, width, group.astype(np.uint16), outbound, max(lengths), left + 1)
+        outbound.seek(2 * n * (width - left - 1))
+        hits = np.zeros((len(lengths), n, left + 1), bool)
+        for column in range(left, -1, -1):
             outbound.seek(2 * n, 1)
-            if column > left:
-                outbound.seek(8 * n, 1)
-                continue
-            order, common = np.fromfile(outbound, np.int32, n), np.fromfile(outbound, np.int32, n)
-            full = common >= length
-            full[:-1] |= common[1:] >= length
-            hits[order[full], column] = True
-    return [hits[k, left - o : left - o + w] for k, (o, w) in enumerate(zip(offs.tolist(), windows.tolist()))]
+            order, common = np.fromfile(outbound, place, n), np.fromfile(outbound, np.uint16, n)
+            for j, length in enumerate(lengths):
+                full = common >= length
+                full[:-1] |= common[1:] >= length
+                hits[j, order[full], column] = True
+    return [[h[k, left - o : left - o + w] for h in hits] for k, (o, w) in enumerate(zip(offs.tolist(), windows.tolist()))]
 
 
 def _ranges(hit: np.ndarray) -> list[int]:
@@ -169,8 +186,8 @@ def _ranges(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
 
 
-def constructed(pieces: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, ranges) of different pieces (anchor, h1, h2, off, windows, bytes): their windows that repeat.
+def constructed(pieces: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(anchor, h, ranges) of different pieces (anchor, h, off, windows, bytes): by length, their windows that repeat.
 
     Rows are dealt by anchor and sorted, so that classes pass whole; many classes share a construction.
     """
@@ -180,9 +197,9 @@ def constructed(pieces: DataFrame, length: int) -> DataFrame:
 
         def judge(pdf: pd.DataFrame) -> pd.DataFrame:
             _, group = np.unique(pdf["anchor"].to_numpy(), return_inverse=True)
-            hits = repeated_windows(list(pdf["bytes"]), pdf["off"].to_numpy(np.int64), pdf["windows"].to_numpy(np.int64), group, length)
-            out = pd.DataFrame({"h1": pdf["h1"].to_numpy(), "h2": pdf["h2"].to_numpy(), "ranges": [_ranges(h) for h in hits]})
-            return out[[bool(r) for r in out["ranges"]]]
+            hits = repeated_windows(list(pdf["bytes"]), pdf["off"].to_numpy(np.int64), pdf["windows"].to_numpy(np.int64), group, lengths)
+            out = pdf[["anchor", "h"]].assign(ranges=[[_ranges(x) for x in h] for h in hits])
+            return out[[any(map(bool, r)) for r in out["ranges"]]]
 
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
@@ -196,97 +213,118 @@ def constructed(pieces: DataFrame, length: int) -> DataFrame:
         if held is not None and len(held):
             yield judge(held)
 
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "h1", "h2")
-    return dealt.mapInPandas(run, "h1 long, h2 long, ranges array<int>")
+    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "h")
+    return dealt.mapInPandas(run, "anchor long, h long, ranges array<array<int>>")
 
 
-def _cut(with_text: DataFrame, length: int) -> DataFrame:
-    """Bytes of wanted pieces: (text, wanted array<struct>) to one row a piece."""
+def _cut(with_text: DataFrame, lengths: tuple[int, ...], gram: int) -> DataFrame:
+    """Bytes of wanted pieces: (text, wanted array<struct<anchor, h, large>>) to one row a piece."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
                 raw = text.encode("utf-8", "replace")
-                rows += [(w["anchor"], w["h1"], w["h2"], w["off"], w["windows"], w["large"], raw[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
-            yield pd.DataFrame(rows, columns=["anchor", "h1", "h2", "off", "windows", "large", "bytes"])
+                mine, open_ = digested(raw, lengths, gram), {(w["anchor"], w["h"]): w["large"] for w in wanted}
+                for k in np.flatnonzero(np.isin(mine["h"], [h for _, h in open_])).tolist():
+                    key = int(mine["anchor"][k]), int(mine["h"][k])
+                    if key in open_:
+                        a = int(mine["start"][k])
+                        rows.append((*key, mine["off"][k], mine["windows"][k], open_.pop(key), raw[a : a + int(mine["size"][k])]))
+            yield pd.DataFrame(rows, columns=["anchor", "h", "off", "windows", "large", "bytes"])
 
-    return with_text.mapInPandas(run, "anchor long, h1 long, h2 long, off int, windows int, large boolean, bytes binary")
+    return with_text.mapInPandas(run, "anchor long, h long, off int, windows int, large boolean, bytes binary")
 
 
-def _by_hash(pieces: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+def _by_hash(pieces: DataFrame, scratch: Scratch, lengths: tuple[int, ...]) -> DataFrame:
     """The same answer for classes too large for one task: windows counted by hash, with partial sums."""
 
     def hashes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for h1, h2, windows, raw in zip(pdf["h1"], pdf["h2"], pdf["windows"], pdf["bytes"], strict=True):
-                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[k : k + length]) for k in range(windows)), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"h1": h1, "h2": h2, "k": np.arange(windows, dtype=np.int32), "w1": w[:, 0], "w2": w[:, 1]})
+            for anchor, h, windows, raw in zip(pdf["anchor"], pdf["h"], pdf["windows"], pdf["bytes"], strict=True):
+                for j, length in enumerate(lengths):
+                    n = min(windows, len(raw) - length + 1)
+                    if n > 0:
+                        w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[k : k + length]) for k in range(n)), np.int64).reshape(-1, 2)
+                        yield pd.DataFrame({"anchor": anchor, "h": h, "j": j, "k": np.arange(n, dtype=np.int32), "w1": w[:, 0], "w2": w[:, 1]})
 
-    each = scratch.write("windows", pieces.select("h1", "h2", "windows", "bytes").mapInPandas(hashes, "h1 long, h2 long, k int, w1 long, w2 long"))
-    twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("w1", "w2")
-    hit = each.join(twice, ["w1", "w2"]).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    return hit.select("h1", "h2", F.flatten(F.transform("ks", lambda k: F.array(k, k + 1))).alias("ranges"))
+    each = scratch.write("windows", pieces.select("anchor", "h", "windows", "bytes").mapInPandas(hashes, "anchor long, h long, j int, k int, w1 long, w2 long"))
+    twice = each.groupBy("w1", "w2", "j").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("w1", "w2", "j")
+    hit = each.join(twice, ["w1", "w2", "j"]).groupBy("anchor", "h").agg(*(F.sort_array(F.collect_list(F.when(F.col("j") == j, F.col("k")))).alias(f"k{j}") for j in range(len(lengths))))
+    single = lambda ks: F.flatten(F.transform(ks, lambda k: F.array(k, k + 1)))
+    return hit.select("anchor", "h", F.array(*(single(F.col(f"k{j}")) for j in range(len(lengths)))).alias("ranges"))
 
 
-def _merge(length: int):
+def _merge(lengths: tuple[int, ...]):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, t, found in zip(pdf["id"], pdf["t"], pdf["found"], strict=True):
-                spans: list[list[int]] = []
-                for a, b in sorted((f["start"] + int(f["ranges"][i]), f["start"] + int(f["ranges"][i + 1]) + length - 1) for f in found for i in range(0, len(f["ranges"]), 2)):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b)
-                    else:
-                        spans.append([a, b])
-                rows.append((key, t, [s[0] for s in spans], [s[1] for s in spans]))
+                starts, ends = [], []
+                for j, length in enumerate(lengths):
+                    runs = []
+                    for f in found:
+                        edges = [0, min(f["windows"], f["size"] - length + 1)] if f["ranges"] is None else f["ranges"][j]
+                        runs += [(f["start"] + int(a), f["start"] + int(b) - 1 + length) for a, b in zip(edges[::2], edges[1::2]) if b > a]
+                    spans: list[list[int]] = []
+                    for a, b in sorted(runs):
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = max(spans[-1][1], b)
+                        else:
+                            spans.append([a, b])
+                    starts.append([x[0] for x in spans]), ends.append([x[1] for x in spans])
+                rows.append((key, t, starts, ends))
             yield pd.DataFrame(rows, columns=["id", "t", "starts", "ends"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
-    """(id string, t, starts, ends): byte spans of `docs` (id string, t, text) that repeated strings cover."""
-    rows = scratch.write("placed", placed(docs.where(F.octet_length("text") >= length), length, gram))
-    piece = rows.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "t", "start", "windows", "off")).alias("one"))
-    piece = scratch.write("pieces", piece)
+def repeated_spans(docs: DataFrame, scratch: Scratch, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, large: int = LARGE) -> DataFrame:
+    """(id string, t, starts, ends): by length, byte spans of `docs` (id string, t, text) that repeated strings cover.
+
+    `t` is a hash of the text; `gram` is a power of two below the least length.
+    """
+    long = docs.where(F.octet_length("text") >= min(lengths))
+    rows = scratch.write("placed", placed(long, lengths, gram))
+    piece = scratch.write("pieces", rows.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t")))
     classes = piece.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    differing = piece.where(F.col("n") == 1).join(classes, "anchor")  # a piece that stands twice is decided already
-    known = piece.where(F.col("n") > 1).join(classes, "anchor")  # but others are held against it
-    differing = differing.unionByName(known)
-    want = F.struct("anchor", "h1", "h2", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), F.col("one.off").alias("off"), (F.col("kinds") > large).alias("large"))
-    wanted = differing.groupBy(F.col("one.id").alias("id"), F.col("one.t").alias("t")).agg(F.collect_list(want).alias("wanted"))
-    cut = scratch.write("cut", _cut(docs.join(wanted.hint("merge"), ["id", "t"]).dropDuplicates(["id", "t"]).select("text", "wanted"), length))
-    partly = constructed(cut.where(~F.col("large")), length)
+    # a piece that stands twice is decided already, but others are held against it
+    wanted = piece.join(classes, "anchor").groupBy("t").agg(F.collect_list(F.struct("anchor", "h", (F.col("kinds") > large).alias("large"))).alias("wanted"))
+    one = long.select("t", "text").join(wanted.hint("merge"), "t").dropDuplicates(["t"])
+    cut = scratch.write("cut", _cut(one.select("text", "wanted"), lengths, gram))
+    partly = constructed(cut.where(~F.col("large")), lengths)
     if cut.where("large").limit(1).count():
-        partly = partly.unionByName(_by_hash(cut.where("large"), scratch, length))
-    whole = piece.where(F.col("n") > 1).select("h1", "h2", F.array(F.lit(0), F.col("one.windows")).alias("ranges"))
-    verdicts = scratch.write("verdicts", partly.join(whole.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(whole))
+        partly = partly.unionByName(_by_hash(cut.where("large"), scratch, lengths))
+    whole = piece.where(F.col("n") > 1).select("anchor", "h", F.lit(None).cast("array<array<int>>").alias("ranges"))
+    verdicts = scratch.write("verdicts", partly.join(whole.select("anchor", "h"), ["anchor", "h"], "left_anti").unionByName(whole))
     scratch.drop("cut", "pieces")
-    found = rows.join(verdicts.hint("merge"), ["h1", "h2"]).groupBy("id", "t").agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
-    spans = scratch.write("spans", found.mapInPandas(_merge(length), "id string, t long, starts array<int>, ends array<int>"))
+    found = rows.join(verdicts.hint("merge"), ["anchor", "h"]).groupBy("id", "t").agg(F.collect_list(F.struct("start", "windows", "size", "ranges")).alias("found"))
+    spans = scratch.write("spans", found.mapInPandas(_merge(lengths), "id string, t long, starts array<array<int>>, ends array<array<int>>"))
     scratch.drop("placed", "verdicts")
     return spans
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, raw, n_spans): all columns of `docs` in a struct, the UTF-8 bytes left of its text, removed runs.
+def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", report: tuple[int, ...] = ()) -> DataFrame:
+    """(row, raw, n_spans, covered): all columns of `docs` in a struct, the UTF-8 bytes left of its text, removed runs,
+    and for each length of `report` how many bytes of the text strings of that length cover which repeat.
 
     A byte goes if a string of `length` bytes that covers it also starts elsewhere, in this text or another one;
     strings are judged on the input. Every copy goes, the first too. A null text is empty; texts shorter than
-    `length` stay whole; repeated rows are copies of each other; an empty table gives no rows. Columns of any name
-    are carried.
+    `length` stay whole, and texts may be of any length; repeated rows are copies of each other; an empty table gives
+    no rows. Columns of any name are carried.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    spans = repeated_spans(keyed.select("id", "t", "text"), scratch, length)
+    spans = repeated_spans(keyed.select("id", "t", "text"), scratch, (length, *report))
     both = keyed.join(spans.hint("merge"), ["id", "t"], "left")
     raw = F.encode("text", "utf-8")
-    edges = F.arrays_zip(F.concat(F.array(F.lit(0)), "ends").alias("a"), F.concat("starts", F.array(F.octet_length("text"))).alias("b"))
+    starts, ends = F.col("starts")[0], F.col("ends")[0]
+    edges = F.arrays_zip(F.concat(F.array(F.lit(0)), ends).alias("a"), F.concat(starts, F.array(F.octet_length("text"))).alias("b"))
     left = F.aggregate(edges, F.lit(b""), lambda acc, e: F.concat(acc, F.substring(raw, e["a"] + 1, e["b"] - e["a"])))
-    return both.select("row", F.when(F.col("starts").isNull(), raw).otherwise(left).alias("raw"), F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_spans"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    covered = F.array(*(F.coalesce(total(F.col("ends")[j + 1]) - total(F.col("starts")[j + 1]), F.lit(0).cast("long")) for j in range(len(report)))).cast("array<long>")
+    return both.select("row", F.when(F.col("starts").isNull(), raw).otherwise(left).alias("raw"), F.coalesce(F.size(starts), F.lit(0)).cast("long").alias("n_spans"), covered.alias("covered"))
 
 
 def as_text(raw):

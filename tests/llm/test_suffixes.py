@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from folioscope.llm import suffixes
 from folioscope.llm.common import Scratch
@@ -45,25 +46,45 @@ def test_column_wise_order_and_prefixes_equal_sorted_suffixes():
 
     sink = Sink()
     columns = iter([np.array([r[c] + 1 for r in raws], np.uint16) for c in range(11, -1, -1)])
-    suffixes.column_wise(columns, 12, group.astype(np.uint16), sink, 100)
-    order, common = np.frombuffer(sink[-2], np.int32), np.frombuffer(sink[-1], np.int32)
+    suffixes.column_wise(columns, 12, group.astype(np.uint16), sink, 100, 1)
+    order, common = np.frombuffer(sink[-2], np.uint16), np.frombuffer(sink[-1], np.uint16)
     assert order.tolist() == sorted(range(30), key=lambda k: (group[k], raws[k], order.tolist().index(k)))
     for a, b, n in zip(order, order[1:], common[1:]):
         same = next((i for i in range(12) if raws[a][i] != raws[b][i]), 12) if group[a] == group[b] else 0
         assert n == same
 
 
-def test_equals_brute_force(spark):
-    for seed, large in ((1, suffixes.LARGE), (2, 1)):
-        texts = corpus(seed)
-        docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
-        keyed = docs.selectExpr("cast(id as string) id", "xxhash64(coalesce(text, '')) t", "text")
-        spans = {int(r["id"]): r for r in suffixes.repeated_spans(keyed, Scratch(spark), 100, 16, large).collect()}
-        for k, (left, n) in enumerate(brute(texts, 100)):
-            raw, r = (texts[k] or "").encode(), spans.get(k)
-            cuts = [] if r is None else list(zip(r["starts"], r["ends"]))
-            kept = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(raw)]))
-            assert (kept, len(cuts)) == (left, n), k
+def cut_out(text, r, j):
+    raw = (text or "").encode()
+    cuts = [] if r is None else list(zip(r["starts"][j], r["ends"][j]))
+    return b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(raw)])), len(cuts)
+
+
+@pytest.mark.parametrize("seed,large,lengths", [(1, suffixes.LARGE, (100,)), (2, 1, (100, 60)), (3, suffixes.LARGE, (100, 60))])
+def test_equals_brute_force(spark, seed, large, lengths):
+    texts = corpus(seed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    keyed = docs.selectExpr("cast(id as string) id", "xxhash64(coalesce(text, '')) t", "text")
+    spans = {int(r["id"]): r for r in suffixes.repeated_spans(keyed, Scratch(spark), lengths, 16, large).collect()}
+    for j, length in enumerate(lengths):
+        for k, expected in enumerate(brute(texts, length)):
+            assert cut_out(texts[k], spans.get(k), j) == expected, (length, k)
+
+
+def test_production_lengths_on_documents_and_a_very_long_text(spark):
+    """400 and 240 bytes with the production grams against brute force, planted passages of 55 words among them."""
+    rnd = random.Random(21)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()]
+    passage, other = words(rnd, 55), words(rnd, 120)
+    texts += [words(rnd, 80) + passage + words(rnd, 50), passage + words(rnd, 90), words(rnd, 30) + other, other + words(rnd, 9)]
+    texts += [words(rnd, 20_000) + passage, "x" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in suffixes.deduplicated(rows, report=(240,)).selectExpr("row.doc_id doc_id", "raw", "n_spans", "covered").collect()}
+    for k, (kept, n) in enumerate(brute(texts, 400)):
+        assert (bytes(got[k]["raw"]), got[k]["n_spans"]) == (kept, n), k
+    for k, (kept, _) in enumerate(brute(texts, 240)):
+        assert got[k]["covered"] == [len((texts[k] or "").encode()) - len(kept)], k
 
 
 def test_operator_with_repeated_rows_and_clashing_columns(spark):
