@@ -3,13 +3,15 @@
 Each language's model predicts the letters of a word and its end from at most ORDER - 1 characters before them.
 Models are kept together in one sorted array of n-gram hashes an order, with a column of log probabilities for
 each language, and one of context hashes with log back-off weights. A text belongs to the language with the
-lowest cross-entropy a predicted character; how far that may lie above what the language's own texts show, and
-how sharp the scores are, is calibrated on texts kept out of the counts.
+lowest cross-entropy a predicted character. How sharp the scores are, and from which cross-entropy on a text is
+rejected, is calibrated on texts kept out of the counts: the limit of a language lies halfway between what its own
+texts reach at most and what the same texts, their letters shuffled, reach at least.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,9 +33,10 @@ CALIBRATE = 5
 #: Languages up to which the shares of the sample are written into the plan; beyond, they are joined.
 MOST_LANGS = 500
 WORDS_KEPT = 150_000
-#: Nats a character above the worst calibration text of a language at which a text is rejected: mixed texts stay.
-MARGIN = 2.0
-MIN_LETTERS = 20
+#: Where a language's limit lies between its own calibration texts (0) and these with their letters shuffled (1).
+BETWEEN = 0.5
+#: Predicted characters below which a text is not rejected for its cross-entropy.
+MIN_LETTERS = 50
 
 _runs = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
@@ -238,28 +241,39 @@ def train(docs: DataFrame, use: Column, sample: int = SAMPLE, id_col: str = "doc
     return models
 
 
+def shuffled(text: str) -> str:
+    """A text's words with their letters dealt anew among all of them: its alphabet without its language."""
+    words = [r for token in text.split() for r in letter_runs(token)]
+    letters = list("".join(words))
+    random.Random(len(letters)).shuffle(letters)
+    dealt = iter(letters)
+    return " ".join("".join(next(dealt) for _ in w) for w in words)
+
+
 def calibrate(models: Models, rows: DataFrame) -> None:
-    """Set temperature (highest likelihood of the true languages) and limit (beyond any calibration text's entropy)."""
+    """Set temperature (highest likelihood of the true languages) and each language's limit; without texts, none."""
     L = len(models.langs)
 
     def run(batches):
         scorer = Scorer(models)
         for pdf in batches:
-            yield pd.DataFrame({"lang": pdf["lang"], "sums": scorer.texts(list(pdf["text"])).tolist()})
+            texts = list(pdf["text"])
+            yield pd.DataFrame({"lang": pdf["lang"], "sums": scorer.texts(texts).tolist(), "other": scorer.texts([shuffled(t) for t in texts]).tolist()})
 
-    seen = rows.mapInPandas(run, "lang string, sums array<double>").collect()
-    seen = [(models.langs.index(r["lang"]), np.array(r["sums"])) for r in seen if r["lang"] in models.langs and r["sums"][-1] > 0]
+    seen = rows.mapInPandas(run, "lang string, sums array<double>, other array<double>").collect()
+    seen = [(models.langs.index(r["lang"]), np.array(r["sums"]), np.array(r["other"])) for r in seen if r["lang"] in models.langs and r["sums"][-1] > 0]
     models.limit = np.full(L, np.inf)
     if not seen:
         return
-    entropy, truth = np.array([-s[:L] / s[L] for _, s in seen]), np.array([k for k, _ in seen])
+    truth, entropy, other = np.array([k for k, _, _ in seen]), *(np.array([-s[j][:L] / s[j][L] for s in seen]) for j in (1, 2))
     steps = (0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3, 0.5)
     best = max(steps, key=lambda t: np.log(_posterior(entropy, t)[np.arange(len(truth)), truth].clip(1e-12)).sum())
     models.temperature = best
+    long = np.array([s[1][L] >= MIN_LETTERS for s in seen])
     for k in range(L):
-        own = entropy[truth == k, k]
-        if len(own):
-            models.limit[k] = own.max() + MARGIN
+        own = long & (truth == k)
+        if own.any():
+            models.limit[k] = (1 - BETWEEN) * entropy[own, k].max() + BETWEEN * other[own].min(1).min()
 
 
 def _posterior(entropy: np.ndarray, temperature: float) -> np.ndarray:
@@ -273,6 +287,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     the columns of `docs` in the struct `row`.
 
     lang_pred is `und` (score 0, rejected) for null texts and texts without letters, or if nothing was learned.
+    Texts with fewer than MIN_LETTERS predicted characters are not rejected otherwise; texts may be of any length.
     Ties go to the language that sorts first. Repeated rows are judged alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
