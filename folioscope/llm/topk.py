@@ -158,7 +158,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     candidates = chunks(vectors.repartitionByRange(groups, F.desc("norm")).sortWithinPartitions(F.desc("norm")))
     candidates = candidates.withColumn("g", F.pmod(F.xxhash64("chunk", "largest"), F.lit(groups)).cast("int"))
     asked = vectors.where(is_query).dropDuplicates(["vec_id", "dim"])
-    queries = chunks(asked.repartition("dim")).select("dim", F.col("chunk").alias("q_chunk"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    queries = chunks(asked).select("dim", F.col("chunk").alias("q_chunk"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     queries = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     met = candidates.join(queries.hint("merge"), ["g", "dim"]).sortWithinPartitions("q_chunk", F.desc("largest"))
 

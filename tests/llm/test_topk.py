@@ -35,3 +35,22 @@ def test_equals_brute_force(spark, monkeypatch):
         assert [got.get(q, {})[k + 1] for k in range(len(best))] == best, q
     assert {q for q, b in want.items() if b} == got.keys()
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_repeated_queries_and_candidates(spark):
+    """A repeated query is answered once; a repeated candidate counts as often as it stands; ties go to the smaller id."""
+    rows = [(0, [1.0, 0.0])] * 2 + [(7, [2.0, 0.0])] * 2 + [(5, [2.0, 0.0]), (9, [1.0, 1.0]), (3, [0.0, 5.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") == 0, 4).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 5), (2, 7), (3, 7), (4, 9)]
+
+
+def test_queries_of_many_chunks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 16)
+    rnd = random.Random(2)
+    rows = [(k, [rnd.gauss(0, 1) for _ in range(20)]) for k in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9)
+    got = {}
+    for r in topk.top_k(frame, F.col("vec_id") % 10 == 0, 5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q, best in brute(rows, 5).items():
+        assert [got[q][k + 1] for k in range(5)] == best
