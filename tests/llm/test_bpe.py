@@ -43,3 +43,15 @@ def test_operator_handles_nulls_ties_and_extra_columns(spark):
     got = bpe.bpe_encode_decode(rows, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert sorted((r["doc_id"] or -1, r["n_tokens"], r["decoded"]) for r in got) == [(-1, 1, "x"), (1, 2, "Hi there"), (1, 2, "Hi there"), (2, 0, ""), (3, 0, "")]
     assert bpe.bpe_encode_decode(rows.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """300,000 words, and one word of 60,000 letters, as the library has them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rnd = Library.from_file(path), random.Random(5)
+    library.no_truncation(), library.no_padding()
+    texts = [" ".join(rnd.choice(["the", "river", "ran", "éa", "12"]) for _ in range(300_000)), "".join(rnd.choice("ther") for _ in range(60_000))]
+    got = {r["doc_id"]: r for r in bpe.bpe_encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), path).collect()}
+    for k, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert got[k]["ids"] == ids and got[k]["decoded"] == library.decode(ids, skip_special_tokens=False)

@@ -47,3 +47,12 @@ def test_nulls_and_empty_table(spark):
     out = chat.in_order(chat.format_chat(rows, PATH), queries.ChatDigest, queries.ChatDigest.SCHEMA).collect()
     assert sorted((r["conv_id"] or -1, r["n_turns"]) for r in out) == [(-1, 1), (1, 2)]
     assert chat.format_chat(rows.limit(0), PATH).count() == 0
+
+
+def test_very_long_and_repeated_rows(spark):
+    """A turn of 400,000 characters, and a turn that stands twice: both come back, in order."""
+    long = "ab </s> c" * 45_000
+    rows = spark.createDataFrame([(1, 0, "user", "hi", "x"), (1, 1, "assistant", long, "x"), (2, 0, "assistant", "same", "x"), (2, 0, "assistant", "same", "x")], "conv_id long, turn long, role string, text string, loss_mask string")
+    out = {r["conv_id"]: r for r in chat.in_order(chat.format_chat(rows, PATH), queries.ChatDigest, queries.ChatDigest.SCHEMA).collect()}
+    assert (out[1]["n_turns"], out[1]["loss_chars"], out[1]["loss_sha256"]) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+    assert (out[2]["n_turns"], out[2]["loss_chars"]) == (2, 8)

@@ -79,3 +79,15 @@ def test_models_tell_digits_apart(spark):
     got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, URL_RULES).collect()}
     right = [got[len(rows) + k] == ("block" if k < 50 else "allow") for k in range(100)]
     assert sum(right) > 95
+
+
+def test_long_repeated_and_clashing_rows(spark):
+    """A url of 50,000 characters, one url of a third of all rows, equal rows, columns named like the result's."""
+    rows = [(1, "http://a.org/" + "x/" * 25_000, "r", "v")] + [(2, "http://b.net/same", "r", "v")] * 40 + [(3, "http://c.com/fr/x", "r", "v"), (4, "http://c.com/de/x", "r", "v"), (None, None, "r", "v")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, rule string, verdict string")
+    got = urls.filter_urls(pages, URL_RULES).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["page_id"], set()).add((r["rule"], r["verdict"]))
+    assert by[1] == {("org/", "allow")} and by[3] == {("com/fr/", "allow")} and by[4] == {("com/de/", "block")} and len(by[2]) == 1
