@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from folioscope.llm import neardup
@@ -90,3 +91,76 @@ def test_shared_passage_hides_no_pair(spark):
                 tried += 1
                 assert got[a] == got[b]
     assert tried >= 50
+
+
+def test_keep_one_of_repeated_rows_and_null_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "x"), (1, text, "x"), (None, "a b c", "y"), (None, "a b c", "z"), (None, None, "n"), (7, text + " more", "q"), (8, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = sorted(((r["doc_id"] or -1, r["text"] or "") for r in neardup.keep_one(docs).collect()))
+    assert kept == [(-1, ""), (-1, "a b c"), (1, text), (8, "")]
+    assert neardup.keep_one(docs).columns == docs.columns
+    assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_ids_have_to_be_integers(spark):
+    docs = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(docs)
+
+
+def test_very_long_texts_meet(spark):
+    rnd = random.Random(2)
+    words = [f"w{rnd.randint(0, 5000)}" for _ in range(25_000)]
+    other = list(words)
+    for k in range(0, 25_000, 20):
+        other[k] = "x"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_recall_with_and_without_the_word_bound():
+    """Of pairs with one word in ten replaced, nearly all share a sketch, and the bound takes none of them away."""
+    rnd = random.Random(9)
+    shared = bounded = 0
+    for _ in range(300):
+        a = [f"w{rnd.randint(0, 900)}" for _ in range(rnd.randint(60, 400))]
+        b = [w if rnd.random() > 0.1 else "zz" + w for w in a]
+        ha, hb = (np.fromiter((xxhash.xxh3_64_intdigest(w) for w in x), np.uint64, len(x)) for x in (a, b))
+        found = (neardup.order_minhash(neardup.labelled_grams(ha)) == neardup.order_minhash(neardup.labelled_grams(hb))).any()
+        apart = np.bitwise_count(neardup.word_bits(neardup.labelled_grams(ha, 1)) ^ neardup.word_bits(neardup.labelled_grams(hb, 1))).sum()
+        assert found <= (neardup.most_apart(0.8, 1.0, None) >= apart)
+        shared += found
+        bounded += found and apart <= neardup.most_apart(0.8)
+    assert shared >= 295 and bounded >= shared - 1
+
+
+def test_bits_estimate_the_word_sets_similarity():
+    rnd = random.Random(4)
+    for share in (0.2, 0.5, 0.8):
+        apart = []
+        for _ in range(40):
+            common = [f"c{rnd.random()}" for _ in range(int(300 * share))]
+            ha, hb = (np.fromiter((xxhash.xxh3_64_intdigest(w) for w in common + [f"{k}{rnd.random()}" for _ in range(300 - len(common))]), np.uint64, 300) for k in "ab")
+            apart.append(np.bitwise_count(neardup.word_bits(ha) ^ neardup.word_bits(hb)).sum() / neardup.BITS)
+        jaccard = int(300 * share) / (600 - int(300 * share))
+        assert abs(np.mean(apart) - (1 - jaccard) / 2) < 0.015
+
+
+def test_entries_stay_if_any_other_keeps_the_bounds():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        n = 80
+        keys, docs = rng.integers(0, 6, n).astype(np.uint64), rng.integers(0, 60, n)
+        size_of = rng.integers(50, 90, 60)
+        bits_of = rng.integers(0, 1 << 62, (60, neardup.BITS // 64)).astype(np.uint64)
+        bits_of[30:45] = bits_of[0] ^ rng.integers(0, 4, (15, neardup.BITS // 64)).astype(np.uint64)
+        sizes, bits = size_of[docs], bits_of[docs]
+        expected = []
+        for i in range(n):
+            for j in range(n):
+                low, high = min(sizes[i], sizes[j]), max(sizes[i], sizes[j])
+                if keys[i] == keys[j] and docs[i] != docs[j] and low >= 0.8 * high and np.bitwise_count(bits[i] ^ bits[j]).sum() <= neardup.most_apart(0.8, low / high):
+                    expected.append(i)
+                    break
+        assert neardup.partnered(keys, docs, sizes, bits, 0.8, neardup.FAR).tolist() == expected
