@@ -16,24 +16,25 @@ def _doc():
 def _marks(text: Column, patterns: tuple[str, ...]) -> Column:
     """An array of (title, start_idx, real) of the lines that look like headings, found inside the row.
 
-    A fold over the lines carries their offset; where a text has real chapter headings, only those count.
+    One expression finds these lines, each with the line end before it; a fold over the few that there are finds their
+    places, each behind the one before. Where a text has real chapter headings, only those count.
     """
-    lines = F.regexp_extract_all(text, F.lit(f"[^{LINE_END}]*(?:\r\n|[{LINE_END}])|[^{LINE_END}]+\\z"), F.lit(0))
-    match = "(?i)^(?:" + "|".join(patterns) + ")"
+    space = rf"[\s\x1c-\x1f\x85\p{{Z}}&&[^{LINE_END}]]*"
+    lines = F.regexp_extract_all(text, F.lit(rf"(?i)(?:\A|[{LINE_END}]){space}(?:{'|'.join(patterns)})[^{LINE_END}]*"), F.lit(0))
     none = F.array().cast("array<struct<title:string,start_idx:int,real:boolean>>")
 
     def step(acc: Column, raw: Column) -> Column:
-        def seen(title: Column) -> Column:
+        def seen(at: Column) -> Column:
+            title = strip(raw)
             lead = F.length(raw) - F.length(F.regexp_replace(raw, r"\A[\s\x1c-\x1f\x85\p{Z}]+", ""))
-            mark = F.struct(title.alias("title"), (acc["offset"] + lead).alias("start_idx"), title.rlike(fixed.REAL_CHAPTER).alias("real"))
-            return F.when((F.length(title) > 0) & (F.length(title) <= 80) & title.rlike(match), F.array_append(acc["found"], mark)).otherwise(acc["found"])
+            mark = F.struct(title.alias("title"), (at - 1 + lead).cast("int").alias("start_idx"), title.rlike(fixed.REAL_CHAPTER).alias("real"))
+            found = F.when(F.length(title) <= 80, F.array_append(acc["found"], mark)).otherwise(acc["found"])
+            return F.struct((at + F.length(raw)).alias("after"), found.alias("found"))
 
-        return F.struct((acc["offset"] + F.length(raw)).alias("offset"), let(strip(raw), seen).alias("found"))
+        return let(F.position(raw, text, acc["after"]), seen)
 
-    found = F.aggregate(lines, F.struct(F.lit(0).alias("offset"), none.alias("found")), step, lambda acc: acc["found"])
-    real = lambda ms: F.filter(ms, lambda m: m["real"])
-    marked = F.when(text.rlike("(?i)(?:" + "|".join(patterns) + ")"), found).otherwise(none)  # most texts have none
-    return let(marked, lambda ms: F.when(F.exists(ms, lambda m: m["real"]), real(ms)).otherwise(ms))
+    found = F.aggregate(lines, F.struct(F.lit(1).alias("after"), none.alias("found")), step, lambda acc: acc["found"])
+    return let(found, lambda ms: F.when(F.exists(ms, lambda m: m["real"]), F.filter(ms, lambda m: m["real"])).otherwise(ms))
 
 
 def headings(docs: DataFrame, patterns: tuple[str, ...] = fixed.CHAPTER_PATTERNS) -> DataFrame:

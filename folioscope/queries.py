@@ -32,7 +32,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    found = spark.read.parquet(f"{sf}/{name}.parquet")
+    return store.spread(found) if name == "documents" else found
 
 
 def documents(spark, sf) -> DataFrame:

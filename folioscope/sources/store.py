@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are fewer than they are; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def table_counts(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFrame:
     """(name, n) of each table, 0 for one that is absent."""
     out = None
