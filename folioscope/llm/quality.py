@@ -1,10 +1,13 @@
 """Quality rules in DataFrame expressions only: base statistics, then robust multivariate outliers.
 
 Each (language, source) group gets minimum-covariance-determinant estimates of location and scatter of five
-transformed statistics: a start from medians and absolute deviations, then concentration steps, each of which
-takes mean and covariance of the share `h` of rows nearest to the estimate before. Scatter gets a fixed floor a
-coordinate, since a statistic is often constant over the concentrated rows. Every step is two aggregations with
-partial sums before their shuffle, so a source with a third of all rows is no hot key.
+transformed statistics. Three starts, all about the medians, are tried: absolute deviations alone, the covariance of
+the hyperbolic tangents of standardised rows, and that of their spatial signs. Each takes TRIALS concentration steps,
+every one of which takes mean and covariance of the share `h` of rows nearest to the estimate before; the start that
+comes to the least determinant goes on for the steps left. A statistic is often constant over the concentrated rows,
+and the least determinant would then be zero whatever the others do; so, as in the regularised form of the
+estimator, a fixed diagonal, FLOORS, is added to the scatter. Every step is two aggregations with partial sums before
+their shuffle, so a source with a third of all rows is no hot key.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ FLOORS = (0.35, 0.45, 0.35, 0.5, 0.12)
 P = len(FLOORS)
 #: Squared distance beyond which a row is an outlier: a chi-square of 5 degrees exceeds it once in 10^5.
 CUTOFF = 30.856
-SHARE, STEPS, LEAST_GROUP = 0.75, 4, 50
+SHARE, TRIALS, STEPS, LEAST_GROUP = 0.75, 2, 4, 50
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -123,6 +126,51 @@ def squared_distance(x: Callable[[int], Column], m: Column, w: Column) -> Column
     return sum((r * r for r in rows), F.lit(0.0))
 
 
+def _starts(named: DataFrame, least: int) -> DataFrame:
+    """(mg, k, m, w): three starts for each group of rows (g, x0..x4)."""
+    xs = [f"x{i}" for i in range(P)]
+    middle = named.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs))).where(F.col("n") >= least)
+    middle = middle.withColumnRenamed("g", "mg")
+    spread = named.join(middle, F.col("g").eqNullSafe(F.col("mg"))).groupBy("mg").agg(
+        *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i, x in enumerate(xs))
+    )
+    spread = spread.withColumns({f"s{i}": F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2) for i in range(P)})
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(xs)]
+    norm = F.sqrt(sum((v * v for v in z), F.lit(0.0)))
+    each = named.join(spread, F.col("g").eqNullSafe(F.col("mg"))).select("mg", *(F.col(f"{c}{i}") for c in "ms" for i in range(P)), *(F.tanh(v).alias(f"t{i}") for i, v in enumerate(z)), *(F.coalesce(F.try_divide(v, norm), F.lit(0.0)).alias(f"u{i}") for i, v in enumerate(z)))
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    sums = each.groupBy("mg").agg(*(F.first(f"{c}{i}").alias(f"{c}{i}") for c in "ms" for i in range(P)), *(F.avg(F.col(f"{c}{i}") * F.col(f"{c}{j}")).alias(f"{c}{i}{j}") for c in "tu" for i, j in pairs))
+    sums = sums.withColumn("m", F.array(*(F.col(f"m{i}") for i in range(P))))
+    scaled = lambda i, j: F.col(f"s{i}") * F.col(f"s{j}")
+    floor = lambda i, j: FLOORS[i] ** 2 if i == j else 0.0
+    made = (
+        lambda i, j: scaled(i, j) if i == j else F.lit(0.0),
+        lambda i, j: scaled(i, j) * F.col(f"t{i}{j}") + floor(i, j),
+        lambda i, j: scaled(i, j) * F.col(f"u{i}{j}") * P + floor(i, j),
+    )
+    out = None
+    for k, cov in enumerate(made):
+        one = _whitening(cov, sums.withColumn("k", F.lit(k)), ["mg", "k", "m"])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _concentrated(named: DataFrame, now: DataFrame, share: float) -> DataFrame:
+    """A concentration step of every estimate (mg, k, m, w)."""
+    factor, xs = consistency(P, share), [f"x{i}" for i in range(P)]
+    far = named.join(now, F.col("g").eqNullSafe(F.col("mg"))).withColumn("d", squared_distance(lambda i: F.col(f"x{i}"), F.col("m"), F.col("w")))
+    near = far.groupBy("mg", "k").agg(F.percentile_approx("d", share, 2000).alias("q")).toDF("qg", "qk", "q")
+    kept = far.join(near, F.col("mg").eqNullSafe(F.col("qg")) & (F.col("k") == F.col("qk"))).where(F.col("d") <= F.col("q"))
+    sums = kept.groupBy("mg", "k").agg(*(F.avg(x).alias(f"a{i}") for i, x in enumerate(xs)), *(F.covar_pop(xs[i], xs[j]).alias(f"v{i}{j}") for i in range(P) for j in range(i + 1)))
+    sums = sums.withColumn("m", F.array(*(F.col(f"a{i}") for i in range(P))))
+    return _whitening(lambda i, j: factor * F.col(f"v{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0), sums, ["mg", "k", "m"])
+
+
+def log_determinant(w: Column) -> Column:
+    """Of the scatter whose Cholesky factor has the inverse w."""
+    return -2 * sum((F.log(w[i * (i + 1) // 2 + i]) for i in range(P)), F.lit(0.0))
+
+
 def estimates(rows: DataFrame, scratch: Scratch, share: float = SHARE, steps: int = STEPS, least: int = LEAST_GROUP) -> DataFrame:
     """MCD estimates (lang, source, m, w) of rows (lang, source, x0..x4); keys have no nulls.
 
@@ -131,25 +179,14 @@ def estimates(rows: DataFrame, scratch: Scratch, share: float = SHARE, steps: in
     """
     sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     keys = scratch.write("keys", sizes.select("lang", "source", F.when(F.col("n") >= least, F.struct("lang", "source")).alias("g")))
-    xs = [f"x{i}" for i in range(P)]
-    named = rows.join(keys, ["lang", "source"]).select("g", *xs)
-    middle = named.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs))).where(F.col("n") >= least)
-    middle = middle.withColumnRenamed("g", "mg")
-    apart = named.join(middle, F.col("g").eqNullSafe(F.col("mg"))).groupBy("mg").agg(
-        *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i, x in enumerate(xs))
-    )
-    start = apart.select("mg", F.array(*(F.col(f"m{i}") for i in range(P))).alias("m"), *(F.col(f"s{i}") for i in range(P)))
-    cov0 = lambda i, j: F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)
-    now = scratch.write("start", _whitening(cov0, start, ["mg", "m"]))
-    factor = consistency(P, share)
+    named = rows.join(keys, ["lang", "source"]).select("g", *(f"x{i}" for i in range(P)))
+    now = scratch.write("starts", _starts(named, least))
     for step in range(steps):
-        far = named.join(now, F.col("g").eqNullSafe(F.col("mg"))).withColumn("d", squared_distance(lambda i: F.col(f"x{i}"), F.col("m"), F.col("w")))
-        near = far.groupBy("mg").agg(F.percentile_approx("d", share, 2000).alias("q")).withColumnRenamed("mg", "qg")
-        kept = far.join(near, F.col("mg").eqNullSafe(F.col("qg"))).where(F.col("d") <= F.col("q"))
-        sums = kept.groupBy("mg").agg(*(F.avg(x).alias(f"a{i}") for i, x in enumerate(xs)), *(F.covar_pop(xs[i], xs[j]).alias(f"v{i}{j}") for i in range(P) for j in range(i + 1)))
-        sums = sums.withColumn("m", F.array(*(F.col(f"a{i}") for i in range(P))))
-        cov = lambda i, j: factor * F.col(f"v{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
-        now = scratch.write(f"step{step}", _whitening(cov, sums, ["mg", "m"]))
+        now = _concentrated(named, now, share)
+        if step + 1 == TRIALS or step + 1 == steps:
+            best = F.min_by(F.struct("k", "m", "w"), F.struct(log_determinant(F.col("w")), "k"))
+            now = now.groupBy("mg").agg(best.alias("best")).select("mg", "best.*")
+        now = scratch.write(f"step{step}", now)
     return scratch.write("estimates", keys.join(now, F.col("g").eqNullSafe(F.col("mg"))).select("lang", "source", "m", "w"))
 
 
@@ -158,19 +195,16 @@ def judged(docs: DataFrame, text_col: str = "text", cutoff: float = CUTOFF, keep
     (squared; null where a group is too small), `failed` (base rules) and `kept`.
 
     Rows are never merged: repeated rows are judged alike. A null language or source is a group of its own. Null
-    and empty texts fail the base rules. An empty table gives no rows. Columns that bear the names used here do
-    no harm, as they stay inside `row`.
+    and empty texts fail the base rules; texts may be of any length. An empty table gives no rows. Columns that bear
+    the names used here do no harm, as they stay inside `row`.
     """
     scratch = Scratch(docs.sparkSession)
     key = lambda c: F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit(""))
     held = [docs[c] for c in docs.columns if keep_text or c != text_col]
     rows = docs.select(F.struct(*held).alias("row"), key("lang").alias("lang"), key("source").alias("source"), statistics(docs[text_col]).alias("s"))
-    if keep_text:  # the texts are read and counted again rather than stored
-        small = scratch.write("statistics", rows.select("lang", "source", "s"))
-    else:
-        rows = small = scratch.write("statistics", rows)
-    vectors = small.where(~base_failed(F.col("s"))).select("lang", "source", *(x.alias(f"x{i}") for i, x in enumerate(transformed(F.col("s")))))
-    found = estimates(vectors, scratch)
+    rows = scratch.write("statistics", rows)
+    vectors = rows.where(~base_failed(F.col("s"))).select("lang", "source", *(x.alias(f"x{i}") for i, x in enumerate(transformed(F.col("s")))))
+    found = estimates(scratch.write("vectors", vectors), scratch)
     xs = transformed(F.col("s"))
     out = rows.join(found, ["lang", "source"], "left").select("row", "s", squared_distance(lambda i: xs[i], F.col("m"), F.col("w")).alias("distance"))
     failed = base_failed(F.col("s"))
