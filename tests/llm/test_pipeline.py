@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import corpus_pipeline
 from folioscope.llm import neardup, quality
 
@@ -21,14 +24,16 @@ def test_stages_keep_columns_and_act_on_their_input(spark, tmp_path):
     classes = neardup.near_duplicates(kept["language_id"]).collect()
     assert ids["near_duplicates"] == {r["doc_id"] for r in classes if r["doc_id"] == r["class_id"]}
     assert ids["repeated_strings"] == ids["near_duplicates"] == ids["best_fit_packing"]
-    texts = [r["text"].encode() for r in kept["repeated_strings"].collect()]
-    seen, twice = set(), 0
-    for t in {r["text"].encode() for r in kept["near_duplicates"].collect()}:
-        for k in range(len(t) - 399):
-            h = hash(t[k : k + 400])
-            twice += h in seen
-            seen.add(h)
-    assert twice == 0 or sum(map(len, texts)) < sum(len(r["text"].encode()) for r in kept["near_duplicates"].collect())
+    before_cut = {r["doc_id"]: r["text"].encode() for r in kept["near_duplicates"].collect()}
+    length = corpus_pipeline.PASSAGE
+    seen = Counter(t[k : k + length] for t in before_cut.values() for k in range(len(t) - length + 1))
+    for r in kept["repeated_strings"].collect():
+        t = before_cut[r["doc_id"]]
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        assert r["text"] == bytes(c for c, g in zip(t, gone) if not g).decode("utf-8", "ignore"), r["doc_id"]
     assert all(r["n_chars"] == len(r["text"]) for r in kept["repeated_strings"].collect())
 
 
@@ -38,3 +43,33 @@ def test_null_columns(spark):
         got = stage(spark, docs, "")
         assert (got.columns == COLUMNS) == (name != "best_fit_packing")
         got.count()
+
+
+def test_planted_passages_go_and_other_texts_stay(spark):
+    """A passage of 55 words in three documents goes from all; shared lines of 20 words and the rest stay."""
+    rnd = random.Random(4)
+    prose = lambda n: " ".join("".join(rnd.choice("aeinrst") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    passage, line = prose(55), prose(20)
+    assert corpus_pipeline.PASSAGE < len(passage)
+    texts = [prose(80) + " " + passage + " " + prose(60) for _ in range(3)] + [prose(70) + " " + line + " " + prose(70) for _ in range(3)] + [prose(150), None, ""]
+    rows = [(k, t, "en", "s", len(t or ""), 1, "x") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, raw int, row string")
+    got = {r["doc_id"]: r for r in corpus_pipeline.repeated_strings(spark, docs, "").collect()}
+    for k in range(3):
+        assert passage[5:-5] not in got[k]["text"] and texts[k][:200] in got[k]["text"] and len(got[k]["text"]) >= len(texts[k]) - len(passage) - 8
+        assert got[k]["n_chars"] == len(got[k]["text"])
+    assert [got[k]["text"] for k in range(3, 9)] == texts[3:]
+
+
+def test_empty_and_repeated_rows_in_every_stage(spark):
+    prose = " ".join(f"the river ran {k} over stones and nobody saw it" for k in range(30))
+    rows = [(1, prose, "en", "s", 5), (1, prose, "en", "s", 5), (2, prose + " indeed", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    expected = {"quality_rules": (0, 3), "language_id": (0, 3), "near_duplicates": (1, 1), "repeated_strings": (3, 3)}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+        if name in expected:
+            low, high = expected[name]
+            assert low <= stage(spark, docs, "").count() <= high, name
+        else:
+            assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == {1, 2}
