@@ -3,7 +3,10 @@
 Only lengths matter to the packer, and there are at most `capacity` of them: the driver packs the histogram of
 lengths, bins of one make being one entry with a count, so its work and memory do not grow with the rows. A
 piece then finds its place by its rank among the pieces of its length. Ranks come from counts per writer of the
-piece table, so that no length, however frequent, meets in one task.
+piece table, so that no length, however frequent, meets in one task; they travel as one array a writer, broadcast only below a checked size.
+
+Of the three capacities a sequence has, the defaults leave only the tokens binding: 2048 tokens cannot hold more than
+2048 documents, nor more than the square of 2048 in squares. Tighter limits bind as they are given.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,7 +32,8 @@ WORDS_KEPT = 300_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A run of white space and the word behind it: pre-tokens never cross from a word into the space that follows.
 _chunk = re.compile(r"\s*\S+|\s+")
-BROADCAST_SLOTS = 200_000
+#: Places, and bytes of first ranks, up to which they are broadcast; beyond, pieces are shuffled to them.
+BROADCAST_SLOTS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
 class ByteEncoder:
@@ -174,6 +179,17 @@ def token_pieces(docs: DataFrame, path: str, tokens: int, end_id: int, id_col: s
     return docs.select(key_text(id_col), text_col).mapInPandas(run, schema)
 
 
+def _by_length(tokens: int):
+    """A writer's first ranks, each at the place of its length."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        firsts = np.zeros(tokens + 1, np.int64)
+        firsts[pdf["length"].to_numpy()] = pdf["first"].to_numpy()
+        return pd.DataFrame({"writer": pdf["writer"].iloc[:1], "firsts": [firsts]})
+
+    return run
+
+
 def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents; returns (id, piece, start, length, ids_crc32, token_ids, sequence_id, offset).
 
@@ -185,15 +201,18 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 0,
     scratch = Scratch(spark)
     pieces = scratch.write("pieces", token_pieces(docs, path, limits.tokens, end_id, id_col, text_col))
     counts = scratch.write("counts", pieces.groupBy("length", "writer").agg(F.count(F.lit(1)).alias("n")))
-    before = Window.partitionBy("length").orderBy("writer").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    before = Window.partitionBy("length").orderBy("writer").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("writer").applyInPandas(_by_length(limits.tokens), "writer string, firsts array<long>")
+    first = scratch.write("first", first)
+    small = first.count() * 8 * (limits.tokens + 1) <= BROADCAST_BYTES
+    first = first.hint("broadcast" if small else "merge")
     places = slots(best_fit(histogram, limits))
     names = "s_length long, s_rank long, s_n long, s_copies long, s_sequence long, s_offset long"
     plan = spark.createDataFrame(places, names)
     if len(places) <= BROADCAST_SLOTS:
         plan = F.broadcast(plan)
-    ranked = pieces.join(first, ["length", "writer"]).withColumn("rank", F.col("first") + F.col("nth"))
+    ranked = pieces.join(first, "writer").withColumn("rank", F.col("firsts")[F.col("length").cast("int")] + F.col("nth")).drop("firsts")
     placed = ranked.join(plan, (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("s_rank")) & (F.col("rank") < F.col("s_rank") + F.col("s_n")))
     k = F.col("rank") - F.col("s_rank")
     return placed.select(

@@ -31,6 +31,16 @@ def test_best_fit_respects_every_limit(rule):
         assert placed == histogram
 
 
+def test_tight_limits_bind():
+    histogram = {10: 300, 40: 20, 100: 2}
+    free = sum(b.count for b in packing.best_fit(histogram, packing.Limits(100, 100, 10_000)))
+    assert free == 40
+    few = packing.best_fit(histogram, packing.Limits(100, 4, 10_000))
+    assert max(sum(k for _, k, _ in b.holds) for b in few) == 4 and sum(b.count for b in few) > 75
+    short = packing.best_fit({10: 300, 40: 20}, packing.Limits(100, 100, 2000))
+    assert max(sum(n * n * k for n, k, _ in b.holds) for b in short) <= 2000 and sum(b.count for b in short) >= 31
+
+
 def test_near_the_lower_bound():
     rnd = random.Random(5)
     histogram = dict(Counter(int(rnd.expovariate(1 / 400)) % 2048 + 1 for _ in range(20_000)))
@@ -66,3 +76,24 @@ def test_pieces_cover_documents_and_sequences_are_gapless(spark):
             at += r["length"]
         assert at <= 2048
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_ranks_by_shuffle_or_broadcast_place_alike(spark, monkeypatch):
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(k, "w " * rnd.randint(0, 3000)) for k in range(200)], "doc_id long, text string").repartition(7)
+    made = []
+    for limit in (packing.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(packing, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(packing, "BROADCAST_SLOTS", limit)
+        rows = packing.pack(docs, PATH, packing.Limits(documents=3)).collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r["sequence_id"], []).append(r)
+        for held in by.values():
+            at = 0
+            for r in sorted(held, key=lambda r: r["offset"]):
+                assert r["offset"] == at
+                at += r["length"]
+            assert at <= 2048 and len(held) <= 3
+        made.append((len(by), len(rows)))
+    assert made[0] == made[1]
