@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, langid, lm, neardup, packing, quality, suffixes, topk, urls
+from . import audit, bpe, chat, langid, lm, neardup, packing, quality, suffixes, topk, urls
 from .common import table
 
 
@@ -106,6 +106,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("token_ids")
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_minhash": op2_minhash,
@@ -117,6 +121,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_lm": op9_lm,
     "op10_packing": op10_packing,
+    "op11_audit": op11_audit,
 }
 
 #: Answers that DuckDB can give by itself.
@@ -132,5 +137,28 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 10
     """,
+    "op11_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+        f AS (
+            SELECT part, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic,
+                (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END)
+                || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END)
+                || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > first_id THEN 'E' ELSE '' END) AS fails
+            FROM w
+        ),
+        m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, left(filter_order, step - 1) AS before FROM o, range(1, 6) t(step)),
+        r AS (
+            SELECT part, filter_order, step, own,
+                coalesce(sum(n) FILTER (NOT contains(fails, own) AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (contains(fails, own) AND NOT gone), 0) AS removed,
+                coalesce(sum(n) FILTER (contains(fails, own) AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+                coalesce(sum(good) FILTER (contains(fails, own) AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (contains(fails, own) AND NOT gone), 0) AS toxic_lost
+            FROM (SELECT *, regexp_matches(fails, '[' || before || '0]') AS gone FROM m, s) GROUP BY part, filter_order, step, own
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+            CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+    """,
 }
-
