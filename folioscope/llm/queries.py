@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import audit, bpe, chat, langid, lm, neardup, packing, quality, suffixes, topk, urls
+from . import align, audit, bpe, chat, langid, lm, neardup, packing, quality, suffixes, topk, urls
 from .common import table
 
 
@@ -110,6 +110,10 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_minhash": op2_minhash,
@@ -122,6 +126,7 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_packing": op10_packing,
     "op11_audit": op11_audit,
+    "op12_alignment": op12_alignment,
 }
 
 #: Answers that DuckDB can give by itself.
