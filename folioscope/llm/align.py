@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -29,12 +29,14 @@ from .common import Scratch, key_back, key_text
 from .packing import encoder
 
 #: Characters of text after which a part of the table ends; a longer text is a part by itself.
-PART = 16_000_000
+PART = 8_000_000
 #: Links of one group above which its ids are first counted, so that equal links become one with a weight.
 WIDE = 1 << 14
 SALTS = 8
 #: Chunks whose ids a worker remembers before it starts anew.
-KEPT = 200_000
+KEPT = 60_000
+#: Chunks that are aligned at a time.
+ALIGNED = 30_000
 #: Chunks end before a space or line feed that follows other than white space.
 _chunk = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _odd = re.compile("[\x1c-\x1f]")
@@ -101,6 +103,10 @@ class Links:
     b: np.ndarray
     weight: np.ndarray
 
+    @classmethod
+    def joined(cls, parts: list[Links]) -> Links:
+        return cls(*(sum((p.texts for p in parts), []) if f.name == "texts" else np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(cls)))
+
 
 class Aligner:
     def __init__(self, size_a: np.ndarray, size_b: np.ndarray):
@@ -184,13 +190,22 @@ class Part:
         self.chars += len(text or "") + 1
 
     def rows(self, aligner: Aligner) -> Iterator[pd.DataFrame]:
-        coded = self.tokenizers.encode(list(self.numbers))
-        whole = np.array([x[2] for x in coded], bool)
-        none = np.zeros(0, np.int32)
-        links = aligner.align([x[0] if x[2] else b"" for x in coded], [x[1] if x[2] else b"" for x in coded])
+        names = list(self.numbers)
+        self.numbers = {}
+        found, whole_parts = [], []
+        for at in range(0, max(1, len(names)), ALIGNED):
+            coded = self.tokenizers.encode(names[at : at + ALIGNED])
+            found.append(aligner.align([x[0] if x[2] else b"" for x in coded], [x[1] if x[2] else b"" for x in coded]))
+            found[-1].chunk += at
+            whole_parts.append(np.array([x[2] for x in coded], bool))
+        n, none = len(names), np.zeros(0, np.int32)
+        del names
+        whole, links = np.concatenate(whole_parts), Links.joined(found)
+        del found
         width = len(aligner.size_b)
         pairs, link_pairs = np.unique(links.a.astype(np.int64) * width + links.b, return_inverse=True)
-        links_of = np.bincount(links.chunk, minlength=len(coded)).astype(np.int64)
+        link_pairs = link_pairs.astype(np.int32)
+        links_of = np.bincount(links.chunk, minlength=n).astype(np.int64)
         weight_of = _sums(links.weight, links_of)
         first = np.cumsum(links_of) - links_of
         held_in = np.zeros(len(pairs), np.int64)
@@ -209,7 +224,7 @@ class Part:
         columns = [c.split()[0] for c in _PART_SCHEMA.split(", ")]
         for at in range(0, len(out), 4096):
             yield pd.DataFrame(out[at : at + 4096], columns=columns[:8]).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
-        vocabulary = (self.number, None, 0, 0, 0, 0, None, None, pairs.tobytes(), held_in.tobytes(), link_pairs.astype(np.int32).tobytes(), links.weight.tobytes(), links_of.tobytes())
+        vocabulary = (self.number, None, 0, 0, 0, 0, None, None, pairs.tobytes(), held_in.tobytes(), link_pairs.tobytes(), links.weight.tobytes(), links_of.tobytes())
         yield pd.DataFrame([vocabulary], columns=columns)
 
 
