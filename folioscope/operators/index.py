@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import tokens, uuid5_hex
+from ..functions.text import tokens
+
+#: Replicas of a scope's size, over which its vectors are dealt into blocks.
+SALTS = 8
 
 
 def bm25_text(summary: Column, entities: Column, key_quote: Column) -> Column:
@@ -74,14 +77,19 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     raise ValueError(f"unknown distance: {metric}")
 
 
-def _packed(rows: DataFrame, scope: list[str], id_col: str, name: str, block: int) -> DataFrame:
-    """Blocks of about `block` vectors of one scope: (scope, name_ids, name_vectors), for products as matrices."""
+def _packed(rows: DataFrame, sizes: DataFrame, scope: list[str], id_col: str, name: str, other: str) -> DataFrame:
+    """Blocks of one scope's vectors beside each block number of the other side: (scope, q_block, c_block, name_ids, name_vectors).
+
+    Rows meet the sizes of their scope over SALTS, so that neither a scope's rows nor its blocks are one task's.
+    """
     kind = rows.schema[id_col].dataType.simpleString()
-    sizes = rows.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = rows.join(sizes, scope).select(*scope, F.pmod(F.xxhash64(id_col), "blocks").alias("block"), F.col(id_col).alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
-    packed = dealt.groupBy(*scope, "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, [*scope, "salt"])
+    dealt = dealt.select(*scope, F.pmod(F.xxhash64(id_col, F.lit(1)), f"n_{name}").cast("int").alias(f"{name}_block"), f"n_{other}", F.col(id_col).alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    packed = dealt.groupBy(*scope, f"{name}_block", f"n_{other}").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     ids = F.transform("rows", lambda r: r["id"]).cast(f"array<{kind}>")
-    return packed.select(*scope, ids.alias(f"{name}_ids"), F.transform("rows", lambda r: r["v"]).alias(f"{name}_vectors"))
+    beside = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(f"{other}_block")
+    return packed.select(*scope, f"{name}_block", beside, ids.alias(f"{name}_ids"), F.transform("rows", lambda r: r["v"]).alias(f"{name}_vectors"))
 
 
 def _scores(metric: str, a: list, b: list) -> np.ndarray:
@@ -106,7 +114,8 @@ def _scores(metric: str, a: list, b: list) -> np.ndarray:
 def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id: str, id_col: str, k: int, metric: str = "cosine", block: int = 1024, others: bool = False) -> DataFrame:
     """(query_id, scope, id_col, score): of each block of a query's scope the k nearest, by blocked matrix products.
 
-    Both sides have (scope, id, vector). A pair costs one product of vectors normalised once a block, and a query
+    Both sides have (scope, id, vector). Every pair of a query block and a candidate block is a key of its own, so a
+    scope of many blocks is as many tasks. A pair costs one product of vectors normalised once a block, and a query
     keeps k candidates a block, so what leaves a block is bounded. `others` leaves out pairs of one id. Scores are
     rounded to 9 digits, ties go to the smaller id.
     """
@@ -129,7 +138,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id:
                 got = pd.DataFrame({query_id: q[rows], **{x: [r[x]] * len(rows) for x in scope}, id_col: c[best.ravel()], "score": s[rows, best.ravel()]}, columns=names)
                 yield got[np.isfinite(got["score"])]
 
-    met = _packed(queries, scope, query_id, "q", block).join(_packed(vectors, scope, id_col, "c", block), scope)
+    count = lambda rows, name: rows.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = count(queries, "n_q").join(count(vectors, "n_c"), scope)
+    met = _packed(queries, sizes, scope, query_id, "q", "c").join(_packed(vectors, sizes, scope, id_col, "c", "q"), [*scope, "q_block", "c_block"])
     return met.mapInPandas(run, ", ".join(out))
 
 
@@ -177,42 +188,6 @@ def load_postings(spark: SparkSession, path: str, asked: list[str] | None = None
     return held.drop("bucket"), weights
 
 
-class VectorCollection:
-    """Vectors of one document collection as a table: (point_id, span_id, document_id, vector)."""
-
-    def __init__(self, spark: SparkSession, path: str, size: int, metric: str = "cosine"):
-        if metric not in ("cosine", "dot", "euclid", "manhattan"):
-            raise ValueError(f"unknown distance: {metric}")
-        self.spark, self.path, self.size, self.metric = spark, path, size, metric
-        self.form = "point_id string, span_id string, document_id string, vector array<double>"
-
-    def recreate(self) -> None:
-        self.spark.createDataFrame([], self.form).write.mode("overwrite").partitionBy("document_id").parquet(self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.form).parquet(self.path)
-
-    def upsert(self, rows: DataFrame) -> None:
-        """Vectors of a span replace those it had; only the documents of `rows` are written anew."""
-        wrong = F.raise_error(F.concat(F.lit("vector size of "), "span_id", F.lit(" is not "), F.lit(str(self.size))))
-        checked = F.when(F.size("vector") == self.size, F.col("vector")).otherwise(wrong.cast("array<double>"))
-        new = rows.select(uuid5_hex(F.col("span_id")).alias("point_id"), "span_id", "document_id", F.transform(checked, lambda x: x.cast("double")).alias("vector")).dropDuplicates(["span_id"])
-        touched = self.read().join(new.select("document_id").distinct(), "document_id", "left_semi").join(new.select("span_id"), "span_id", "left_anti")
-        both = touched.unionByName(new)
-        both.write.mode("overwrite").parquet(f"{self.path}.next")  # a table is not overwritten while it is read
-        self.spark.read.parquet(f"{self.path}.next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(self.path)
-
-    def count(self) -> int:
-        return self.read().count()
-
-    def retrieve(self, wanted: DataFrame) -> DataFrame:
-        """(span_id, vector) of the wanted spans (span_id) that are held."""
-        return self.read().join(wanted.select("span_id").distinct(), "span_id", "left_semi").select("span_id", "vector")
-
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return vector_search(queries, self.read(), ["document_id"], "span_id", k, self.metric)
-
-
 def embedded_in_batches(inputs: DataFrame, make_client, size: int, batch: int = 32) -> DataFrame:
     """(cache_key, input_text, vector) from an embedding client made once a task, `batch` texts a call; answers of
     another number or size are errors."""

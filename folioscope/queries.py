@@ -7,14 +7,17 @@ vectors. Arrays come back joined to strings, so that results compare by value.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as tx
-from .operators import evaluation, evidence, extraction, graph, index, intervals, locate, qa, retrieval, segment
+from .operators import collection, evaluation, evidence, extraction, graph, index, intervals, locate, qa, retrieval, segment
 from .sources import reads, store
-from .sources.scratch import settled
+from .sources.scratch import fresh, settled
+from .sources.versioned import VersionedTable
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -448,6 +451,32 @@ def spans_by_ids(spark, sf):
     return store.by_ids(table(spark, sf, "part").select("p_partkey", "p_name"), wanted, "p_partkey", "pos").select("pos", "p_partkey", "p_name")
 
 
+VERSIONS_SQL = """
+    p AS (SELECT p_brand AS document_id, p_partkey AS span_id, p_size AS size, p_retailprice AS price, 1 AS created_at FROM part), l AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity = 50),
+    v1 AS (SELECT * FROM p WHERE size <= 40), v2 AS (SELECT document_id, span_id, CASE WHEN size > 20 THEN size + 100 ELSE size END AS size, price, CASE WHEN size > 40 THEN 2 ELSE 1 END AS created_at FROM p),
+    v3 AS (SELECT * FROM v2 WHERE document_id <> 'Brand#11' OR size < 10), v4 AS (SELECT * FROM v3 WHERE span_id NOT IN (SELECT l_partkey FROM l)),
+    v5 AS (SELECT * REPLACE (CASE WHEN document_id = 'Brand#12' THEN 0 ELSE size END AS size) FROM v4)
+"""
+
+
+@query("versioned_store", f"WITH {VERSIONS_SQL} " + " UNION ALL ".join(f"SELECT {k} AS version, document_id, span_id, size, price, created_at FROM v{k}" for k in range(1, 6)))
+def versioned_store(spark, sf):
+    """A table of spans through a seed (twice), an upsert, a scope's replacement, a cascade and a column's update; every version as it is read at the end."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("document_id"), F.col("p_partkey").alias("span_id"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), F.lit(1).alias("created_at"))
+    held = VersionedTable(spark, fresh(spark, "versions"), p.schema, ["document_id", "span_id"], ["document_id"])
+    held.create()
+    for _ in range(2):
+        held.seed("parts", p.where("size <= 40"))
+    held.upsert(p.where("size > 20").withColumns({"size": F.col("size") + 100, "created_at": F.lit(2)}))
+    brand = held.read().where("document_id = 'Brand#11'")
+    held.replace(brand.where("size < 10"), ["document_id"], brand)
+    gone = table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("span_id")).distinct()
+    held.delete(gone, ["span_id"])
+    held.update_column(p.where("document_id = 'Brand#12'").select("document_id", F.lit(0).cast(p.schema["size"].dataType).alias("size")).distinct(), "size", ["document_id"])
+    out = [held.read(k).withColumn("version", F.lit(k)) for k in held.versions() if k]
+    return functools.reduce(DataFrame.unionByName, out).select("version", *p.columns)
+
+
 # --- index --------------------------------------------------------------------------------------------------
 
 POSTINGS_SQL = f"""
@@ -483,6 +512,23 @@ def cosine_topk(spark, sf):
     return index.vector_search(v.withColumnRenamed("vec_id", "query_id"), v, ["label"], "vec_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vector_collection", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    m AS (SELECT v.vec_id, v.vec_id % 3 AS doc, list_transform(list_zip(v.e, c.e), lambda x: x[1] + 4 * x[2]) AS e FROM v JOIN v c ON c.vec_id = v.label),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score FROM m q JOIN m c ON q.doc = c.doc AND q.vec_id % 50 = 0)
+    SELECT query_id, vec_id, round(round(score, 9), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def vector_collection(spark, sf):
+    """The tables' vectors around the vectors whose ids are their labels, in a collection of cells; ids divisible by 50 ask."""
+    v = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    spots = v.select(F.col("vec_id").alias("label"), F.col("embedding").alias("spot"))
+    vector = F.zip_with("embedding", "spot", lambda x, y: x.cast("double") + 4 * y.cast("double"))
+    rows = v.join(spots, "label").select("vec_id", F.format_string("s%012d", "vec_id").alias("span_id"), F.concat(F.lit("d"), F.col("vec_id") % 3).alias("document_id"), vector.alias("vector"))
+    held = collection.VectorCollection(spark, fresh(spark, "collection"), 64, cells=30)
+    held.recreate()
+    held.upsert(rows.drop("vec_id"))
+    best = held.search(rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "document_id", "vector"), 10)
+    return best.select("query_id", F.substring("span_id", 2, 12).cast("long").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("distance_variants", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), z AS (SELECT e FROM v WHERE vec_id = 0)
     SELECT vec_id, round(list_dot_product(v.e, z.e), 6) AS dot, round(-sqrt(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: (v.e[i] - z.e[i]) ** 2))), 6) + 0 AS euclid, round(-list_sum(list_transform(range(1, len(v.e) + 1), lambda i: abs(v.e[i] - z.e[i]))), 6) + 0 AS manhattan FROM v, z""")
 def distance_variants(spark, sf):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +21,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
+def delete(spark: SparkSession, path: str, on_exit: bool = False) -> None:
+    """Delete a folder now, or when the driver ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(where) if on_exit else files.delete(where, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables settled inside are deleted at the end; what is still wanted of them must be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            delete(spark, path)
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A folder's name that nothing has yet; it goes with the innermost open scope, else when the driver ends."""
+    path = f"{shared_dir(spark)}/folioscope-{name}-{uuid.uuid4().hex}"
+    delete(spark, path, on_exit=True)
+    if _open:
+        _open[-1].append((spark, path))
+    return path
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df as a stored table: what several branches read is computed once, and a lost executor costs no lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioscope-{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import evaluation, evidence, extraction, graph, index, intervals, locate, qa, questions, retrieval, segment
+from folioscope.operators import collection, evaluation, evidence, extraction, graph, index, intervals, locate, qa, questions, retrieval, segment
 from folioscope.plans import ask
 from folioscope.sources import files, reads, schemas, services, store
 from folioscope.streaming import ingest
@@ -351,7 +351,7 @@ def test_index_and_vectors_are_kept(spark, tmp_path):
     index.save_postings(posted, docs, str(tmp_path / "bm25"), ["document_id"], "span_id")
     held, weights = index.load_postings(spark, str(tmp_path / "bm25"), ["red"])
     assert sorted((r["span_id"], r["tf"], r["len"]) for r in held.collect()) == [("a", 1, 2), ("b", 2, 3)] and weights.count() == 3
-    store_ = index.VectorCollection(spark, str(tmp_path / "vectors"), 2)
+    store_ = collection.VectorCollection(spark, str(tmp_path / "vectors"), 2)
     store_.recreate()
     form = "span_id string, document_id string, vector array<double>"
     store_.upsert(spark.createDataFrame([("a", "d", [1.0, 0.0]), ("b", "d", [0.0, 1.0]), ("c", "e", [1.0, 1.0])], form))
@@ -363,7 +363,7 @@ def test_index_and_vectors_are_kept(spark, tmp_path):
     with pytest.raises(Exception, match="vector size"):
         store_.upsert(spark.createDataFrame([("x", "d", [1.0])], form))
     with pytest.raises(ValueError):
-        index.VectorCollection(spark, "x", 2, "other")
+        collection.VectorCollection(spark, "x", 2, "other")
 
 
 def test_nearest_equals_all_pairs(spark):
