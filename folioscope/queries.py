@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as tx
-from .operators import collection, evaluation, evidence, extraction, graph, index, intervals, locate, qa, retrieval, segment
+from .operators import collection, evaluation, evidence, extraction, graph, index, intervals, keyword, locate, qa, retrieval, segment
 from .sources import reads, store
 from .sources.scratch import fresh, settled
 from .sources.versioned import VersionedTable
@@ -491,11 +491,14 @@ def doc_freq(spark, sf):
     return posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("bm25_topk", f"""WITH {POSTINGS_SQL}, t AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(tf) FROM p) / (SELECT count(*) FROM documents) AS avgdl),
+BM25_SQL = f"""WITH {POSTINGS_SQL}, t AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(tf) FROM p) / (SELECT count(*) FROM documents) AS avgdl),
     r AS (SELECT token, ln(n_docs - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, t GROUP BY token, n_docs), i AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
     q AS (SELECT item_id AS query_id, unnest({TOKENS_SQL.format('text')}) AS token FROM benchmark), qf AS (SELECT query_id, token, count(*) AS qtf FROM q GROUP BY ALL),
     sc AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avgdl))) AS score FROM qf JOIN i USING (token) JOIN p USING (token), t GROUP BY ALL)
-    SELECT query_id, doc_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 10""")
+    SELECT query_id, doc_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 10"""
+
+
+@query("bm25_topk", BM25_SQL)
 def bm25_topk(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(0).alias("book"))
     posted = settled(index.postings(docs, "doc_id", F.col("text"), ["book"]), "postings")
@@ -505,6 +508,19 @@ def bm25_topk(spark, sf):
     return best.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+@query("keyword_increments", BM25_SQL)
+def keyword_increments(spark, sf):
+    """The same answers from an index that took its texts in three increments, a third of them at first in an older form."""
+    docs = table(spark, sf, "documents").select(F.lit("book").alias("document_id"), F.format_string("s%012d", "doc_id").alias("span_id"), "text", (F.col("doc_id") % 3).alias("turn"))
+    held = keyword.KeywordIndex(spark, fresh(spark, "keywords"))
+    older = docs.where("turn = 1").withColumn("text", F.concat(F.lit("older form "), F.left("text", F.lit(300))))
+    for increment in (docs.where("turn = 0").unionByName(older), docs.where("turn = 1"), docs.where("turn = 2")):
+        held.add(increment.drop("turn"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("book").alias("document_id"), F.col("text").alias("question"))
+    best = held.search(asked, 10)
+    return best.select("query_id", F.substring("span_id", 2, 12).cast("long").alias("doc_id"), F.round("score", 4).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 @query("cosine_topk", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score FROM v q JOIN v c ON q.label = c.label)
     SELECT query_id, vec_id, round(round(score, 9), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def cosine_topk(spark, sf):

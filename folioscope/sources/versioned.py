@@ -194,6 +194,12 @@ class VersionedTable:
         self._rewrite("migrate", None, lambda old: old)
         return True
 
+    def append_to(self, base: Snapshot, rows: DataFrame, **properties) -> Snapshot:
+        """`rows` beside those of `base`; a Conflict if another version has come since."""
+        staged = self._stage(rows)
+        parts = {k: base.parts.get(k, []) + staged.get(k, []) for k in {*base.parts, *staged}}
+        return self._put(replace(base, version=base.version + 1, parts=parts, properties=base.properties | properties, operation="append"))
+
     def replace_parts(self, parts: Sequence[int], rows: DataFrame, base: Snapshot, **properties) -> Snapshot:
         """`rows` in place of whole parts of `base`; a Conflict if another version has come since."""
         staged = self._stage(rows)
