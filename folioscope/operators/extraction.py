@@ -22,7 +22,10 @@ RETRYABLE = ("start anchor not found", "end anchor not found", "no ordered start
 
 
 def select_windows(windows: DataFrame, ids: list[str] | None = None, ranges: list[str] | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Windows by id, or by 1-based inclusive ranges (`a-b`, `a:b`, `n`) of their order; else by offset and limit."""
+    """Windows by id, or by 1-based inclusive ranges (`a-b`, `a:b`, `n`) of their order; else by offset and limit.
+
+    An id that no window has, and a range that reaches beyond the windows of every document, is an error.
+    """
     order = Window.partitionBy("document_id").orderBy("chapter_index", "window_index")
     numbered = windows.withColumn("global_index", F.row_number().over(order))
     if not ids and not ranges:
@@ -32,11 +35,17 @@ def select_windows(windows: DataFrame, ids: list[str] | None = None, ranges: lis
     if ids:
         names = list(dict.fromkeys(part.strip() for item in ids for part in item.split(",") if part.strip()))
         wanted = wanted | F.col("window_id").isin(*names)
+        there = {r["window_id"] for r in windows.where(F.col("window_id").isin(*names)).select("window_id").distinct().collect()}  # at most the names
+        if missing := [n for n in names if n not in there]:
+            raise ValueError(f"windows not found: {', '.join(missing)}")
+    last = 0
     for text in ranges or []:
         m = re.fullmatch(r"\s*(\d+)\s*(?:[-:]\s*(\d+)\s*)?", text)
         if not m or int(m[1]) < 1 or int(m[2] or m[1]) < int(m[1]):
             raise ValueError(f"bad window range: {text}")
-        wanted = wanted | F.col("global_index").between(int(m[1]), int(m[2] or m[1]))
+        wanted, last = wanted | F.col("global_index").between(int(m[1]), int(m[2] or m[1])), max(last, int(m[2] or m[1]))
+    if last and (most := numbered.agg(F.max("global_index")).first()[0] or 0) < last:
+        raise ValueError(f"a window range reaches {last}, but there are {most} windows")
     return numbered.where(wanted)
 
 
@@ -199,6 +208,24 @@ def batch_requests(windows: DataFrame, model: str, system: str) -> DataFrame:
     return windows.select(F.col("window_id").alias("custom_id"), line.alias("line"))
 
 
+#: Fixed value: lines that a provider takes in one file.
+BATCH_FILE_LINES = 5000
+
+
+def write_batch_files(requests: DataFrame, path: str, most: int = BATCH_FILE_LINES) -> DataFrame:
+    """Request lines in files of at most `most` lines, one folder `file=<n>` each; (file, lines) of what was written.
+
+    Lines are numbered by the counts of the partitions before them, so that no task sees more than its own.
+    """
+    held = settled(requests.select("custom_id", "line"), "requests").withColumn("task", F.spark_partition_id())
+    sizes = held.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    place = F.row_number().over(Window.partitionBy("task").orderBy("custom_id"))
+    numbered = held.join(sizes.select("task", before.alias("before")), "task").withColumn("file", F.floor((F.col("before") + place - 1) / most).cast("int"))
+    numbered.repartition("file").sortWithinPartitions("file", "custom_id").select("file", F.col("line").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+    return numbered.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+
+
 BATCH_LINE = "struct<custom_id:string,response:struct<status_code:int,body:struct<choices:array<struct<message:struct<content:string>>>,usage:struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>>>,error:string>"
 
 

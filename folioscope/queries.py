@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as tx
-from .operators import collection, evaluation, evidence, extraction, graph, index, intervals, keyword, locate, qa, retrieval, segment
+from .operators import collection, evaluation, evidence, extraction, graph, hubs, index, intervals, keyword, locate, qa, retrieval, segment
 from .sources import reads, store
 from .sources.scratch import fresh, settled
 from .sources.versioned import VersionedTable
@@ -545,21 +545,26 @@ def vector_collection(spark, sf):
     return best.select("query_id", F.substring("span_id", 2, 12).cast("long").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
-@query("distance_variants", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), z AS (SELECT e FROM v WHERE vec_id = 0)
-    SELECT vec_id, round(list_dot_product(v.e, z.e), 6) AS dot, round(-sqrt(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: (v.e[i] - z.e[i]) ** 2))), 6) + 0 AS euclid, round(-list_sum(list_transform(range(1, len(v.e) + 1), lambda i: abs(v.e[i] - z.e[i]))), 6) + 0 AS manhattan FROM v, z""")
+DISTANCES_SQL = {"dot": "list_dot_product(q.e, c.e)", "euclid": "-sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) ** 2)))", "manhattan": "-list_sum(list_transform(list_zip(q.e, c.e), lambda x: abs(x[1] - x[2])))"}
+
+
+@query("distance_variants", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, q.vec_id AS query_id, c.vec_id, {d} AS score FROM v q JOIN v c ON q.vec_id % 50 = 0" for m, d in DISTANCES_SQL.items()) + """)
+    SELECT metric, query_id, vec_id, round(round(score, 9), 6) + 0 AS score, CAST(row_number() OVER (PARTITION BY metric, query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def distance_variants(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    zero = v.where("vec_id = 0").select("embedding").scalar()
-    both = v.withColumn("z", zero)
-    return both.select("vec_id", *((F.round(index.distance(m, F.col("embedding"), F.col("z")), 6) + 0).alias(m) for m in ("dot", "euclid", "manhattan")))
+    """The five nearest under each measure; ids divisible by 50 ask."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.lit("all").alias("book"), F.col("embedding").alias("vector"))
+    asked = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    each = [index.vector_search(asked, v, ["book"], "vec_id", 5, m).withColumn("metric", F.lit(m)) for m in DISTANCES_SQL]
+    return functools.reduce(DataFrame.unionByName, each).select("metric", "query_id", "vec_id", (F.round("score", 6) + 0).alias("score"), "rank")
 
 
-@query("hash_embedding", """WITH h AS (SELECT p_partkey, sha256(encode(p_name) || unhex('00000000')) AS d FROM part),
-    v AS (SELECT p_partkey, list_transform(range(0, 8), lambda i: (('0x' || substring(d, CAST(2 * i + 1 AS INTEGER), 2))::INTEGER)::DOUBLE / 255.0::DOUBLE - 0.5) AS e FROM h),
+@query("hash_embedding", """WITH h AS (SELECT p_partkey, sha256(encode(p_name) || unhex('00000000')) || sha256(encode(p_name) || unhex('00000001')) AS d FROM part),
+    v AS (SELECT p_partkey, list_transform(range(0, 64), lambda i: (('0x' || substring(d, CAST(2 * i + 1 AS INTEGER), 2))::INTEGER)::DOUBLE / 255.0::DOUBLE - 0.5) AS e FROM h),
     u AS (SELECT p_partkey, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)
-    SELECT p_partkey, CAST(unnest(range(0, 8)) AS INTEGER) AS i, round(unnest(e), 9) AS x FROM u""")
+    SELECT p_partkey, CAST(unnest(range(0, 64)) AS INTEGER) AS i, round(unnest(e), 9) AS x FROM u""")
 def hash_embedding(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.posexplode(index.hash_embedding(F.col("p_name"), 8)).alias("i", "x")).withColumn("x", F.round("x", 9))
+    """64 components: two digests of the chain."""
+    return table(spark, sf, "part").select("p_partkey", F.posexplode(index.hash_embedding(F.col("p_name"), 64)).alias("i", "x")).withColumn("x", F.round("x", 9))
 
 
 # --- graph --------------------------------------------------------------------------------------------------
@@ -602,6 +607,37 @@ def entity_frequency(spark, sf):
     return graph.entity_counts(part_spans(spark, sf))
 
 
+HUBS_SQL = f"""{PART_SQL},
+    h AS (SELECT document_id, span_id, 'entity::' || e AS hub_id, 'MENTIONS_ENTITY' AS edge_type FROM (SELECT document_id, span_id, unnest(list_distinct(entities)) AS e FROM sp)
+          UNION ALL SELECT document_id, span_id, 'type::' || span_type, 'HAS_SPAN_TYPE' FROM sp),
+    dg AS (SELECT document_id, hub_id, edge_type, count(*) AS degree FROM h GROUP BY ALL)
+"""
+
+
+@query("hub_degrees", f"WITH {HUBS_SQL} SELECT document_id, hub_id, edge_type, degree, CAST(ceil(degree / 3) AS INTEGER) AS blocks FROM dg")
+def hub_degrees(spark, sf):
+    """Hubs in blocks of three spans, so that they are split at this size as well."""
+    return hubs.hub_degrees(hubs.hub_edges(part_spans(spark, sf), 3))
+
+
+@query("hub_expansion", f"""WITH {HUBS_SQL}, sd AS (SELECT document_id, span_id, ord AS query_id FROM sp WHERE ord % 50 = 0),
+    r AS (SELECT sd.query_id, h.document_id, h.hub_id, h.edge_type, 1 / ln(degree + 1) AS w FROM sd JOIN h USING (document_id, span_id) JOIN dg USING (document_id, hub_id, edge_type)),
+    s AS (SELECT r.query_id, h.document_id, h.span_id, round(sum(w), 9) AS score FROM r JOIN h USING (document_id, hub_id, edge_type) JOIN sd ON sd.query_id = r.query_id WHERE h.span_id <> sd.span_id GROUP BY ALL)
+    SELECT query_id, document_id, span_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, span_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def hub_expansion(spark, sf):
+    """Spans whose numbers are divisible by 50 ask: what shares entities and types with them, rare ones counting more."""
+    spans = part_spans(spark, sf)
+    edges = settled(hubs.hub_edges(spans, 3), "hubs")
+    seeds = spans.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), "document_id", "span_id", F.lit(1.0).alias("weight"))
+    return hubs.expand(seeds, edges, 5).withColumn("score", F.round("score", 6))
+
+
+@query("next_spans", f"""WITH {PART_SQL}, n AS (SELECT document_id, span_id AS from_id, lead(span_id) OVER (PARTITION BY document_id ORDER BY span_start_idx, span_id) AS to_id FROM sp)
+    SELECT document_id, from_id, to_id, 'NEXT_SPAN_IN_TEXT' AS edge_type FROM n WHERE to_id IS NOT NULL""")
+def next_spans(spark, sf):
+    return hubs.next_spans(part_spans(spark, sf))
+
+
 @query("type_order", f"WITH {PART_SQL} SELECT document_id, cluster_type, count(*) AS size, max(salience_score) AS top_salience, CAST(row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, max(salience_score) DESC, min(ord)) AS INTEGER) AS type_rank FROM cs GROUP BY document_id, cluster_type")
 def type_order(spark, sf):
     return graph.type_order(part_spans(spark, sf))

@@ -94,6 +94,15 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def read_predictions(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
+    """Predictions back from JSON lines, blank lines aside, in a given or the found schema; none at all is an error."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if lines.isEmpty():
+        raise ValueError(f"no predictions in {path}")
+    reader = spark.read.option("mode", "FAILFAST")
+    return (reader.schema(form) if form else reader).json(path)
+
+
 def reports(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
     """(path, name, kind, modified, bytes) of JSON reports, newest first; the kind is the name's last part."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
