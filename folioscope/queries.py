@@ -190,6 +190,11 @@ def windows(spark, sf) -> DataFrame:
     return segment.windows(segment.chapters(docs, keep_text=True), docs, "auto", SIZE, OVERLAP, LEAST, MOST)
 
 
+def window_bounds(spark, sf) -> DataFrame:
+    """Windows without their texts, cut once for all that joins them."""
+    return settled(windows(spark, sf).drop("text"), "windows")
+
+
 @query("sliding_windows", f"WITH {WINDOWS_SQL} SELECT window_id, window_index, window_start, window_end, char_count, md5(text) AS digest FROM w")
 def sliding_windows(spark, sf):
     return windows(spark, sf).select("window_id", "window_index", "window_start", "window_end", "char_count", F.md5(F.encode("text", "utf-8")).alias("digest"))
@@ -251,13 +256,13 @@ GAPS_SQL = MERGED_SQL + """,
 
 @query("interval_union", f"WITH {MERGED_SQL} SELECT window_id, start_idx, end_idx FROM m")
 def interval_union(spark, sf):
-    w = windows(spark, sf)
+    w = window_bounds(spark, sf)
     return intervals.covered(w, spans_of(w))
 
 
 @query("interval_gaps", f"WITH {GAPS_SQL} SELECT window_id, gap_index, start_idx, end_idx FROM g")
 def interval_gaps(spark, sf):
-    w = windows(spark, sf)
+    w = window_bounds(spark, sf)
     return intervals.gaps(w, intervals.covered(w, spans_of(w)))
 
 
@@ -277,19 +282,19 @@ AUDIT_SQL = GAPS_SQL + """,
 
 @query("coverage_audit", f"WITH {AUDIT_SQL} SELECT * FROM au")
 def coverage_audit(spark, sf):
-    w = windows(spark, sf)
+    w = window_bounds(spark, sf)
     return intervals.coverage_audit(w, spans_of(w)).withColumn("hint_tags", joined("hint_tags"))
 
 
 @query("coverage_summary", f"WITH {AUDIT_SQL} SELECT count(*) AS windows, CAST(sum(span_count) AS BIGINT) AS spans, CAST(sum(failed_count) AS BIGINT) AS failed, CAST(sum(covered_chars) AS BIGINT) AS covered_chars, CAST(sum(uncovered_chars) AS BIGINT) AS uncovered_chars, max(max_gap_chars) AS max_gap_chars FROM au")
 def coverage_summary(spark, sf):
-    w = windows(spark, sf)
+    w = window_bounds(spark, sf)
     return intervals.coverage_summary(intervals.coverage_audit(w, spans_of(w)))
 
 
 @query("coverage_review", f"WITH {AUDIT_SQL} SELECT window_id, max_gap_chars, uncovered_chars FROM au ORDER BY max_gap_chars DESC, uncovered_chars DESC, failed_count DESC, window_id LIMIT 50")
 def coverage_review(spark, sf):
-    w = windows(spark, sf)
+    w = window_bounds(spark, sf)
     return intervals.coverage_review(intervals.coverage_audit(w, spans_of(w))).select("window_id", "max_gap_chars", "uncovered_chars")
 
 
@@ -297,7 +302,7 @@ def coverage_review(spark, sf):
     c AS (SELECT window_id, p AS start_idx, lead(p) OVER (PARTITION BY window_id ORDER BY p) AS end_idx FROM b)
     SELECT c.window_id, c.start_idx, c.end_idx, coalesce(string_agg(span_id, '|' ORDER BY span_id), '') AS span_ids FROM c LEFT JOIN s ON s.window_id = c.window_id AND span_start_idx < c.end_idx AND span_end_idx > c.start_idx WHERE c.end_idx IS NOT NULL GROUP BY ALL""")
 def coverage_segments(spark, sf):
-    w = windows(spark, sf)
+    w = window_bounds(spark, sf)
     return intervals.coverage_segments(w, spans_of(w)).withColumn("span_ids", joined("span_ids"))
 
 
@@ -305,7 +310,7 @@ def coverage_segments(spark, sf):
     SELECT g.window_id, g.gap_index, coalesce(l.span_id, '') AS left_span_id, coalesce(r.span_id, '') AS right_span_id FROM g
     ASOF LEFT JOIN loc l ON g.window_id = l.window_id AND g.start_idx >= l.span_end_idx ASOF LEFT JOIN loc r ON g.window_id = r.window_id AND g.end_idx <= r.span_start_idx""")
 def nearest_spans(spark, sf):
-    w = windows(spark, sf)
+    w = window_bounds(spark, sf)
     s = spans_of(w)
     return intervals.gap_neighbours(intervals.gaps(w, intervals.covered(w, s)), w, s).select("window_id", "gap_index", "left_span_id", "right_span_id")
 
@@ -323,7 +328,7 @@ def gap_absorption(spark, sf):
 
 @query("window_status", f"""WITH {SPANS_SQL} SELECT window_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY window_index) AS INTEGER) AS global_index, 3 AS span_count, 2 AS located_count, 1 AS failed_span_count, CASE WHEN char_count < 200 THEN 1 ELSE 0 END AS failure_count, 'extracted' AS status FROM w""")
 def window_status(spark, sf):
-    w = windows(spark, sf)
+    w = window_bounds(spark, sf)
     failures = w.where(F.col("char_count") < 200).select("window_id")
     return extraction.window_status(w, spans_of(w), failures).drop("document_id", "chapter_id")
 
@@ -335,9 +340,9 @@ def failures_of(spans: DataFrame) -> DataFrame:
 @query("window_detail", f"""WITH {SPANS_SQL} SELECT window_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY window_index) - 1 AS INTEGER) AS global_window_index, 'span_' || window_id || '_1|span_' || window_id || '_2|span_' || window_id || '_3' AS span_ids, 'start anchor not found' AS reasons FROM w""")
 def window_detail(spark, sf):
     """Each window with its chapter, its spans in order and its failures."""
-    w, chapters = windows(spark, sf), segment.chapters(documents(spark, sf))
+    w, chapters = window_bounds(spark, sf), segment.chapters(documents(spark, sf))
     s = spans_of(w).withColumns({"span_index_in_window": F.substring_index("span_id", "_", -1).cast("int"), "summary": F.lit(""), "entities": F.array().cast("array<string>")})
-    got = reads.window_detail(w.drop("chapter_index", "text"), chapters, s, failures_of(s))
+    got = reads.window_detail(w.drop("chapter_index"), chapters, s, failures_of(s))
     text = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), "|")
     return got.select("window_id", "global_window_index", text("spans", "span_id").alias("span_ids"), text("failures", "reason").alias("reasons"))
 
@@ -690,7 +695,7 @@ SCORE_SQL = CENTER_SQL + f""",
 
 def scored_members(spark, sf) -> DataFrame:
     spans, vectors = part_spans(spark, sf), part_vectors(spark, sf)
-    return graph.member_scores(graph.centers(spans, vectors), spans, vectors)
+    return settled(graph.member_scores(settled(graph.centers(spans, vectors), "centers"), spans, vectors), "scores")
 
 
 @query("member_scores", f"WITH {SCORE_SQL} SELECT center_span_id, span_id, score, round(entity_s, 6) AS entity_score, round(bm25_s, 6)::DOUBLE AS bm25_score, round(chapter_s, 6)::DOUBLE AS chapter_score FROM ms")
@@ -714,7 +719,7 @@ def cluster_members(spark, sf):
     SELECT mb.center_span_id, of_type AS cluster_type, (CASE of_type WHEN 'character' THEN '角色关系' ELSE '历史事件' END) || '：' || le.entity AS cluster_name, string_agg(span_id, '|' ORDER BY member_rank) AS member_span_ids, round(least(1.0, coalesce(avg(CASE WHEN span_id <> center_span_id THEN score END), 1.0)), 4) AS confidence
     FROM mb JOIN le USING (center_span_id) GROUP BY ALL""")
 def clusters(spark, sf):
-    return graph.clusters(graph.members(scored_members(spark, sf))).select("center_span_id", "cluster_type", "cluster_name", joined("member_span_ids"), "confidence")
+    return graph.clusters(settled(graph.members(scored_members(spark, sf)), "members")).select("center_span_id", "cluster_type", "cluster_name", joined("member_span_ids"), "confidence")
 
 
 UUID_SQL = "(substring({0}, 1, 12) || '5' || substring({0}, 14, 3) || substring('89ab', (('0x' || substring({0}, 17, 1))::INTEGER) % 4 + 1, 1) || substring({0}, 18, 15))"
