@@ -25,9 +25,8 @@ from ..sources.scratch import settled
 from ..sources.versioned import Conflict, Snapshot, VersionedTable
 from .index import top_k
 
-#: Postings a block holds about at most; tokens with more are dealt over several.
-BLOCK = 4096
-SALTS = 16
+#: Texts of a slot: a block holds postings of one slot.
+BLOCK = 65_536
 #: Texts that are scored in full to begin with, for each that is asked for.
 SEEDS = 4
 #: Postings of the rarest tokens that are looked at to begin with, for each text that is asked for.
@@ -52,16 +51,17 @@ def posted(rows: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, id_col: str, scope: list[str]) -> DataFrame:
-    """(scope, token, len_class, n, max_tf, min_len, ids) from forward rows: postings of like frequency and length."""
-    each = posted(rows)
-    often = each.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > BLOCK)
-    spread = often.select(*scope, "token", F.ceil(F.col("df") / BLOCK).alias("spread"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = each.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(spread, [*scope, "token", "salt"], "left")
-    slot = F.coalesce(F.pmod(F.xxhash64(id_col, F.lit(1)), "spread"), F.lit(0)).alias("slot")
-    classes = F.floor(2 * F.log2("tf")).alias("tf_class"), F.floor(2 * F.log2("len")).alias("len_class")
-    packed = dealt.select(*scope, "token", slot, *classes, "tf", "len", F.col(id_col).alias("id")).groupBy(*scope, "token", "slot", "tf_class", "len_class")
+    """(scope, token, len_class, n, max_tf, min_len, ids) from stored forward rows: postings of like frequency and length.
+
+    Texts are dealt into slots of about BLOCK, the same for all tokens, so that no block outgrows a slot however
+    frequent its token is, and postings are packed where they lie before they are shuffled once.
+    """
+    slots = max(1, -(-rows.count() // BLOCK))
+    classes = F.floor(2 * F.log2("tf")).alias("tf_class"), F.floor(2 * F.log2("len")).cast("int").alias("len_class")
+    slot = F.pmod(F.xxhash64(id_col), F.lit(slots)).alias("slot")
+    packed = posted(rows).select(*scope, "token", slot, *classes, "tf", "len", F.col(id_col).alias("id")).groupBy(*scope, "token", "slot", "tf_class", "len_class")
     held = packed.agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("id", "tf", "len")).alias("ids"))
-    return held.drop("slot", "tf_class").withColumn("len_class", F.col("len_class").cast("int"))
+    return held.drop("slot", "tf_class")
 
 
 def weights(df: DataFrame, sizes: DataFrame, scope: list[str]) -> DataFrame:
@@ -204,7 +204,7 @@ class KeywordIndex:
 
     def add(self, docs: DataFrame, attempts: int = 5) -> None:
         """docs as one more segment; texts of ids that are held replace those. An id must not come twice in one increment."""
-        new = settled(forward(docs.dropDuplicates(["document_id", "span_id"]), self.ID, F.col("text"), self.SCOPE), "forward")
+        new = settled(forward(docs, self.ID, F.col("text"), self.SCOPE), "forward")
         for attempt in range(attempts):
             at = self.table.snapshot()
             segment = max(at.properties["segments"], default=-1) + 1
