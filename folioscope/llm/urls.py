@@ -2,9 +2,11 @@
 
 URLs that a rule decides are the labelled ones. Accepted and rejected ones each train a variable-order Markov
 model over characters (contexts of 0 to DEPTH, Witten-Bell smoothing down to add-one); what is scored is the mean
-log ratio a character, at the longest context that was seen with the character. Characters are read as they are,
-digits too, since rules may part URLs by a digit; each different host and path is scored once. The threshold is the
-one that best separates labelled URLs held out of the models.
+over a URL's characters of the difference of the two models' log probabilities. It is looked up as a back-off model:
+the log ratio at the longest context that was seen with the character, and the log ratio of the escape masses of
+every longer context that was seen without it. Characters are read as they are, digits too, since rules may part URLs
+by a digit; each different host and path is scored once. The threshold is the one that best separates labelled URLs
+held out of the models.
 """
 
 from __future__ import annotations
@@ -59,44 +61,64 @@ def _grams(seq: Column) -> Column:
 
 
 def log_ratios(labelled: DataFrame, scratch: Scratch) -> DataFrame:
-    """(gram, v): the log ratio of its last character after the others, from (seq, accepted boolean)."""
+    """(gram, v, back) from (seq, accepted boolean): v is the log ratio of the gram's last character after the others, back
+    that of the escape masses after the whole gram (null where nothing follows it). The empty gram has the log ratio of a
+    character that neither model has seen."""
     each = labelled.select("accepted", F.explode(_grams(F.col("seq"))).alias("g")).select("accepted", F.col("g.gram").alias("gram"))
     hit = F.col("accepted")
     counts = scratch.write("grams", each.groupBy("gram").agg(F.count(F.when(hit, 1)).alias("a"), F.count(F.when(~hit, 1)).alias("r")).withColumn("order", F.length("gram") - 1))
     kinds = {"a": "pa", "r": "pr"}
     lower = None
-    levels = []
+    levels, backs = [], []
     for order in range(DEPTH + 1):
         here = counts.where(F.col("order") == order).select("gram", "a", "r")
         if order == 0:
             total = here.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(f"n{k}") for k in kinds))
             n = {k: total.select(f"n{k}").scalar() for k in kinds}
-            level = here.select("gram", (F.col("a") + F.col("r")).alias("n"), *((F.col(k) + 1) / (n[k] + ALPHABET + 1) for k in kinds)).toDF("gram", "n", *kinds.values())
+            level = here.select("gram", *((F.col(k) + 1) / (n[k] + ALPHABET + 1) for k in kinds)).toDF("gram", *kinds.values())
+            unseen = total.select(F.lit("").alias("gram"), (F.log(F.col("nr") + ALPHABET + 1) - F.log(F.col("na") + ALPHABET + 1)).alias("v"), F.lit(None).cast("double").alias("back"))
         else:
             context = F.expr(f"substring(gram, 1, {order})")
             here = here.withColumn("context", context).withColumn("suffix", F.expr("substring(gram, 2)"))
             seen = here.groupBy("context").agg(*(F.sum(k).alias(f"n{k}") for k in kinds), *(F.count(F.when(F.col(k) > 0, 1)).alias(f"t{k}") for k in kinds))
             mixed = here.join(seen, "context").join(lower.select(F.col("gram").alias("suffix"), *(F.col(p).alias(f"l{k}") for k, p in kinds.items())), "suffix")
             share = lambda k: F.when(F.col(f"n{k}") == 0, F.col(f"l{k}")).otherwise((F.col(k) + F.col(f"t{k}") * F.col(f"l{k}")) / (F.col(f"n{k}") + F.col(f"t{k}")))
-            level = mixed.select("gram", (F.col("a") + F.col("r")).alias("n"), *(share(k).alias(p) for k, p in kinds.items()))
+            level = mixed.select("gram", *(share(k).alias(p) for k, p in kinds.items()))
+            escape = lambda k: F.when(F.col(f"n{k}") == 0, 0.0).otherwise(F.log(F.col(f"t{k}") / (F.col(f"n{k}") + F.col(f"t{k}"))))
+            backs.append(seen.select(F.col("context").alias("gram"), (escape("a") - escape("r")).alias("back")))
         lower = scratch.write(f"order{order}", level)
         levels.append(lower)
-    every = levels[0]
+    every, back = levels[0], backs[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    return scratch.write("ratios", every.select("gram", (F.log("pa") - F.log("pr")).alias("v")))
+    for more in backs[1:]:
+        back = back.unionByName(more)
+    known = every.join(back, "gram", "left").select("gram", (F.log("pa") - F.log("pr")).alias("v"), "back")
+    return scratch.write("ratios", known.unionByName(unseen))
 
 
 def scores(seqs: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(h1, h2, score) of distinct sequences: the mean over positions of the longest known gram's ratio, 0 if none.
+    """(h1, h2, score) of distinct sequences: the mean over positions of the difference of the models' log probabilities.
 
-    A gram that stands in most URLs is a hot key of the join when the ratios are too many to broadcast; the join
-    may be split there, and each position's rows are combined before they are shuffled again.
+    A gram gives its own ratio to the position where it ends, and its escape ratio to the next one, where it counts if
+    no gram as long as it and more was seen there. A gram that stands in most URLs is a hot key of the join when the
+    ratios are too many to broadcast; the join may be split there, and each position's rows are combined before they
+    are shuffled again.
     """
     each = seqs.select("h1", "h2", F.length("seq").alias("n"), F.explode(_grams(F.col("seq"))).alias("g")).select("h1", "h2", "n", "g.*")
     small = ratios.limit(BROADCAST + 1).count() <= BROADCAST
-    known = each.join(F.broadcast(ratios) if small else ratios, "gram").groupBy("h1", "h2", "n", "pos").agg(F.max_by("v", "order").alias("v"))
-    return known.groupBy("h1", "h2").agg((F.sum("v") / F.first("n")).alias("score"))
+    known = each.join(F.broadcast(ratios) if small else ratios, "gram")
+    here = F.struct("pos", "order", "v", F.lit(None).cast("double").alias("back"))
+    after = F.struct((F.col("pos") + 1).alias("pos"), (F.col("order") + 1).alias("order"), F.lit(None).cast("double").alias("v"), "back")
+    follows = F.col("back").isNotNull() & (F.col("order") < DEPTH) & (F.col("pos") < F.col("n"))
+    told = known.select("h1", "h2", "n", F.explode(F.when(follows, F.array(here, after)).otherwise(F.array(here))).alias("e")).select("h1", "h2", "n", "e.*")
+    longest = F.max(F.when(F.col("v").isNotNull(), F.col("order"))).alias("longest")
+    escapes = [F.coalesce(F.max(F.when(F.col("v").isNull() & (F.col("order") == k), F.col("back"))), F.lit(0.0)).alias(f"b{k}") for k in range(1, DEPTH + 1)]
+    places = told.groupBy("h1", "h2", "n", "pos").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("order"))).alias("v"), longest, *escapes)
+    unseen = ratios.where("gram = ''").select("v").scalar()
+    passed = sum((F.when(F.coalesce("longest", F.lit(-1)) < k, F.col(f"b{k}")).otherwise(0.0) for k in range(1, DEPTH + 1)), F.lit(0.0))
+    sums = places.groupBy("h1", "h2", "n").agg(F.sum(F.coalesce("v", unseen) + passed).alias("v"), F.count(F.lit(1)).alias("told"))
+    return sums.select("h1", "h2", ((F.col("v") + unseen * (F.col("n") - F.col("told"))) / F.col("n")).alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:

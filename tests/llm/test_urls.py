@@ -1,8 +1,12 @@
 import random
+from collections import Counter
+from math import log
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm import urls
+from folioscope.llm.common import Scratch
 from folioscope.llm.queries import URL_RULES
 
 
@@ -43,14 +47,8 @@ def test_models_tell_kinds_apart(spark):
     assert sum(right) > 95
 
 
-def test_smoothed_ratios_equal_brute_force(spark):
-    from collections import Counter
-    from math import log
-
-    from folioscope.llm.common import Scratch
-
-    seqs = [("\x02ab\x03", True), ("\x02abb\x03", True), ("\x02ba\x03", False)]
-    got = {r["gram"]: r["v"] for r in urls.log_ratios(spark.createDataFrame(seqs, "seq string, accepted boolean"), Scratch(spark)).collect()}
+def plain_models(seqs):
+    """p(kind, gram) of a plain Witten-Bell model of each kind, and the grams that were counted."""
     counts = {True: Counter(), False: Counter()}
     for s, kind in seqs:
         for i in range(len(s)):
@@ -65,9 +63,49 @@ def test_smoothed_ratios_equal_brute_force(spark):
         lower = p(kind, gram[1:])
         return (c[gram] + len(own) * lower) / (sum(own.values()) + len(own)) if own else lower
 
-    assert got.keys() == {*counts[True], *counts[False]}
+    return p, {*counts[True], *counts[False]}
+
+
+def test_smoothed_ratios_equal_brute_force(spark):
+    seqs = [("\x02ab\x03", True), ("\x02abb\x03", True), ("\x02ba\x03", False)]
+    found = urls.log_ratios(spark.createDataFrame(seqs, "seq string, accepted boolean"), Scratch(spark)).collect()
+    p, grams = plain_models(seqs)
+    got = {r["gram"]: r["v"] for r in found}
+    assert got.keys() == grams | {""} and len(found) == len(got)
     for gram, v in got.items():
-        assert abs(v - (log(p(True, gram)) - log(p(False, gram)))) < 1e-9
+        assert abs(v - (log(p(True, gram or "?")) - log(p(False, gram or "?")))) < 1e-9
+
+
+@pytest.mark.parametrize("most", [urls.BROADCAST, 3])
+def test_scores_equal_the_plain_difference_of_log_probabilities(spark, monkeypatch, most):
+    """URLs with characters, grams and contexts that only one model, or none, has seen; ratios broadcast and not."""
+    monkeypatch.setattr(urls, "BROADCAST", most)
+    rnd = random.Random(6)
+    url = lambda letters: "\x02" + "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14))) + "\x03"
+    seqs = [(url("abc/"), True) for _ in range(40)] + [(url("bcd."), False) for _ in range(25)]
+    asked = sorted({*(url("abcd/.") for _ in range(40)), *(url("abxyé") for _ in range(20)), "zz", "?", "ab?ab?ab"})
+    ratios = urls.log_ratios(spark.createDataFrame(seqs, "seq string, accepted boolean"), Scratch(spark))
+    rows = spark.createDataFrame(list(enumerate(asked)), "h1 long, seq string").withColumn("h2", F.lit(0).cast("long"))
+    got = {r["h1"]: r["score"] for r in urls.scores(rows, ratios).collect()}
+    p, grams = plain_models(seqs)
+    unseen = 0
+    for k, s in enumerate(asked):
+        each = [log(p(True, s[max(0, i - urls.DEPTH) : i + 1])) - log(p(False, s[max(0, i - urls.DEPTH) : i + 1])) for i in range(len(s))]
+        unseen += any(s[max(0, i - urls.DEPTH) : i + 1] not in grams for i in range(len(s)))
+        if k in got or any(c in grams for c in s):
+            assert abs(got[k] - sum(each) / len(s)) < 1e-9, s
+        else:  # no gram of it is known: no row
+            assert abs(ratios.where("gram = ''").first()["v"] - sum(each) / len(s)) < 1e-9
+    assert unseen > 20
+
+
+def test_ties_at_the_threshold(spark):
+    """Rows of one score get one verdict, on either side of the cut; the cut lies between kinds that part."""
+    scored = spark.createDataFrame([(True, 0.5)] * 5 + [(False, -0.5)] * 5, "accepted boolean, score double")
+    assert -0.5 < urls.threshold(scored).first()["cut"] <= 0.5
+    level = spark.createDataFrame([(True, 0.25)] * 3 + [(False, 0.25)] * 3, "accepted boolean, score double")
+    assert urls.threshold(level).first()["cut"] == 0.25
+    assert urls.threshold(level.where("accepted")).first()["cut"] == 0.0
 
 
 def test_models_tell_digits_apart(spark):
