@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as tx
-from .operators import collection, evaluation, evidence, extraction, graph, hubs, index, intervals, keyword, locate, qa, retrieval, segment
+from .operators import collection, density, evaluation, evidence, extraction, graph, hubs, index, intervals, keyword, locate, qa, retrieval, segment
 from .sources import reads, store
 from .sources.scratch import fresh, settled
 from .sources.versioned import VersionedTable
@@ -550,6 +550,26 @@ def vector_collection(spark, sf):
     return best.select("query_id", F.substring("span_id", 2, 12).cast("long").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+VIEWS = ((1.22, 3), (1.25, 4))
+
+
+@query("vector_clusters", """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    d AS (SELECT q.label, q.vec_id AS a, c.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) ** 2))), 9) AS w FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id),
+    k AS (SELECT v.label, v.vec_id, coalesce(max(n.w), 0) AS core FROM v LEFT JOIN (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY w, b) <= 3) n ON n.a = v.vec_id GROUP BY ALL),
+    p AS (SELECT * FROM (VALUES """ + ", ".join(f"('{density.params_hash(3, e, n)}', {e}, {n})" for e, n in VIEWS) + """) t(params_hash, eps, least)),
+    m AS (SELECT params_hash, d.a, d.b FROM d JOIN k ka ON ka.vec_id = d.a JOIN k kb ON kb.vec_id = d.b JOIN p ON greatest(d.w, ka.core, kb.core) <= p.eps),
+    r AS (SELECT params_hash, vec_id AS a, vec_id AS b FROM v, p UNION SELECT r.params_hash, r.a, m.b FROM r JOIN m ON m.params_hash = r.params_hash AND m.a = r.b),
+    c AS (SELECT params_hash, a AS vec_id, min(b) AS cluster, count(*) AS size FROM r GROUP BY ALL),
+    f AS (SELECT c.*, k.label, k.core, min(k.core) OVER (PARTITION BY params_hash, cluster) AS densest, size >= least AS held FROM c JOIN k USING (vec_id) JOIN p USING (params_hash))
+    SELECT params_hash, label, vec_id, CASE WHEN held THEN cluster ELSE -1 END AS cluster, CASE WHEN held THEN size ELSE 0 END AS size, round(CASE WHEN NOT held THEN 0 WHEN core = 0 THEN 1 ELSE densest / core END, 6)::DOUBLE AS membership_score FROM f""")
+def vector_clusters(spark, sf):
+    """Two views of every label's vectors by density: one spanning tree, clusters and noise (-1) at two distances."""
+    v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    core, tree = density.spanning_tree(v, ["label"], "vec_id", 3)
+    each = [density.view(core, tree, ["label"], "vec_id", eps, 3, least) for eps, least in VIEWS]
+    return functools.reduce(DataFrame.unionByName, each).select("params_hash", "label", "vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "size", F.round("membership_score", 6).alias("membership_score"))
+
+
 DISTANCES_SQL = {"dot": "list_dot_product(q.e, c.e)", "euclid": "-sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) ** 2)))", "manhattan": "-list_sum(list_transform(list_zip(q.e, c.e), lambda x: abs(x[1] - x[2])))"}
 
 
