@@ -12,7 +12,7 @@ every view; a view's parameters make its hash, so that views stand beside each o
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -119,10 +119,14 @@ def joined(edges: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
         both = taken.select(*scope, "node", "other").join(back, [*scope, "other"])
         root = F.when((F.col("theirs") == F.col("node")) & (F.col("node") < F.col("other")), F.col("node")).otherwise(F.col("other"))
         up = settled(both.select(*scope, "node", root.alias("up")), "up")
-        while True:
-            above = up.select(*scope, F.col("node").alias("up"), F.col("up").alias("top"))
-            higher = settled(up.join(above, [*scope, "up"]).select(*scope, "node", "top", (F.col("top") != F.col("up")).alias("moved")), "up")
-            up = higher.select(*scope, "node", F.col("top").alias("up"))
+        while True:  # two doublings a job
+            twice = up
+            for _ in range(2):
+                above = twice.select(*scope, F.col("node").alias("up"), F.col("up").alias("top"))
+                twice = twice.join(above, [*scope, "up"]).select(*scope, "node", F.col("top").alias("up"))
+            before = up.select(*scope, "node", F.col("up").alias("old"))
+            higher = settled(twice.join(before, [*scope, "node"]).select(*scope, "node", "up", (F.col("up") != F.col("old")).alias("moved")), "up")
+            up = higher.drop("moved")
             if not higher.where("moved").limit(1).count():
                 break
         name = lambda c: up.select(*scope, F.col("node").alias(c), F.col("up").alias(f"{c}_root"))
@@ -153,26 +157,32 @@ def params_hash(samples: int, eps: float, least: int) -> str:
     return hashlib.sha256(f"dbscan*|{samples}|{eps!r}|{least}".encode()).hexdigest()[:16]
 
 
-def view(core: DataFrame, tree: DataFrame, scope: list[str], id_col: str, eps: float, samples: int, least: int = 5) -> DataFrame:
-    """(scope, id, params_hash, cluster, size, membership_score) of every point that has a core distance.
+def views(core: DataFrame, tree: DataFrame, scope: list[str], id_col: str, settings: Sequence[tuple[float, int]], samples: int) -> DataFrame:
+    """(scope, id, params_hash, cluster, size, membership_score) of every point that has a core distance, in each view.
 
-    `cluster` is the least id of the cluster, null for noise (size 0, score 0). A member's score is the least core
-    distance in its cluster over its own; 1 where its own is 0.
+    A view is a pair (eps, least); all views go through the same rounds. `cluster` is the least id of the cluster, null
+    for noise (size 0, score 0). A member's score is the least core distance in its cluster over its own; 1 where its
+    own is 0.
     """
-    if least < 2 or not eps >= 0:
+    if any(least < 2 or not eps >= 0 for eps, least in settings):
         raise ValueError("a cluster has two points or more, within a distance of 0 or more")
-    _, labels = joined(tree.where(F.col("w") <= eps), scope)
-    held = core.join(labels.select(*scope, F.col("id").alias(id_col), "root"), [*scope, id_col], "left")
-    facts = held.where(F.col("root").isNotNull()).groupBy(*scope, "root").agg(F.min(id_col).alias("cluster"), F.count(F.lit(1)).alias("size"), F.min("core").alias("densest")).where(F.col("size") >= least)
+    told = F.array(*(F.struct(F.lit(params_hash(samples, eps, least)).alias("params_hash"), F.lit(float(eps)).alias("eps"), F.lit(least).alias("least")) for eps, least in settings))
+    by = [*scope, "params_hash"]
+    near = tree.select("*", F.explode(told).alias("view")).where(F.col("w") <= F.col("view.eps"))
+    _, labels = joined(near.select(*scope, F.col("view.params_hash").alias("params_hash"), "w", "a", "b"), by)
+    each = core.select("*", F.explode(told).alias("view")).select(*core.columns, "view.params_hash", "view.least")
+    held = each.join(labels.select(*by, F.col("id").alias(id_col), "root"), [*by, id_col], "left")
+    facts = held.where(F.col("root").isNotNull()).groupBy(*by, "root", "least").agg(F.min(id_col).alias("cluster"), F.count(F.lit(1)).alias("size"), F.min("core").alias("densest"))
+    facts = facts.where(F.col("size") >= F.col("least")).drop("least")
     score = F.when(F.col("cluster").isNull(), 0.0).when(F.col("core") == 0, 1.0).otherwise(F.col("densest") / F.col("core"))
-    out = held.join(facts, [*scope, "root"], "left")
-    return out.select(*scope, id_col, F.lit(params_hash(samples, eps, least)).alias("params_hash"), "cluster", F.coalesce("size", F.lit(0)).cast("long").alias("size"), score.alias("membership_score"))
+    out = held.join(facts, [*by, "root"], "left")
+    return out.select(*scope, id_col, "params_hash", "cluster", F.coalesce("size", F.lit(0)).cast("long").alias("size"), score.alias("membership_score"))
 
 
-def representatives(views: DataFrame, scope: list[str], id_col: str, k: int = 5) -> DataFrame:
+def representatives(viewed: DataFrame, scope: list[str], id_col: str, k: int = 5) -> DataFrame:
     """(scope, params_hash, cluster, size, representatives): each cluster with its k members of the best scores."""
     keys = [*scope, "params_hash", "cluster"]
     best: Column = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("membership_score"), F.asc(id_col)))
-    ranked = views.where(F.col("cluster").isNotNull()).withColumn("n", best).where(F.col("n") <= k)
+    ranked = viewed.where(F.col("cluster").isNotNull()).withColumn("n", best).where(F.col("n") <= k)
     listed = ranked.groupBy(*keys, "size").agg(F.array_sort(F.collect_list(F.struct("n", F.col(id_col).alias("id")))).alias("r"))
     return listed.select(*keys, "size", F.transform("r", lambda x: x["id"]).alias("representatives"))

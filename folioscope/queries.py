@@ -566,8 +566,8 @@ def vector_clusters(spark, sf):
     """Two views of every label's vectors by density: one spanning tree, clusters and noise (-1) at two distances."""
     v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
     core, tree = density.spanning_tree(v, ["label"], "vec_id", 3)
-    each = [density.view(core, tree, ["label"], "vec_id", eps, 3, least) for eps, least in VIEWS]
-    return functools.reduce(DataFrame.unionByName, each).select("params_hash", "label", "vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "size", F.round("membership_score", 6).alias("membership_score"))
+    found = density.views(core, tree, ["label"], "vec_id", VIEWS, 3)
+    return found.select("params_hash", "label", "vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "size", F.round("membership_score", 6).alias("membership_score"))
 
 
 DISTANCES_SQL = {"dot": "list_dot_product(q.e, c.e)", "euclid": "-sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) ** 2)))", "manhattan": "-list_sum(list_transform(list_zip(q.e, c.e), lambda x: abs(x[1] - x[2])))"}

@@ -62,8 +62,9 @@ def check(spark, points, samples, block, views):
     for label, (ids, m, _) in expected.items():
         mine = [e[1:] for e in edges if e[0] == label]
         assert sum(e[0] for e in mine) == pytest.approx(sum(e[0] for e in kruskal(ids, m))) and len(mine) == len(ids) - 1
+    every = density.views(core, tree, ["label"], "vec_id", views, samples).collect()
     for eps, least in views:
-        found = density.view(core, tree, ["label"], "vec_id", eps, samples, least).collect()
+        found = [r for r in every if r["params_hash"] == density.params_hash(samples, eps, least)]
         assert len(found) == len(got)
         for label, (ids, m, core_) in expected.items():
             want = clusters(ids, m, core_, eps, least)
@@ -77,7 +78,7 @@ def test_equals_a_plain_implementation_on_the_vectors_by_label(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("label < 3").collect()
     points = [(r["label"], r["vec_id"], [float(x) for x in r["embedding"]]) for r in rows]
     core, tree = check(spark, points, 3, 16, [(1.25, 3)])
-    views = density.view(core, tree, ["label"], "vec_id", 1.25, 3, 3)
+    views = density.views(core, tree, ["label"], "vec_id", [(1.25, 3)], 3)
     for r in density.representatives(views, ["label"], "vec_id", 2).collect():
         best = sorted((-v["membership_score"], v["vec_id"]) for v in views.where((F.col("label") == r["label"]) & (F.col("cluster") == r["cluster"])).collect())
         assert r["representatives"] == [k for _, k in best[:2]]
@@ -100,4 +101,4 @@ def test_unusable_vectors_repeated_rows_and_empty_tables(spark):
     assert density.spanning_tree(points.limit(0), ["label"], "vec_id")[1].count() == 0
     assert density.params_hash(3, 1.0, 2) != density.params_hash(3, 1.0, 3)
     with pytest.raises(ValueError):
-        density.view(core, tree, ["label"], "vec_id", 1.0, 4, 1)
+        density.views(core, tree, ["label"], "vec_id", [(1.0, 1)], 4)
