@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as tx
-from .operators import collection, density, evaluation, evidence, extraction, graph, hubs, index, intervals, keyword, locate, qa, retrieval, segment
+from .operators import collection, density, evaluation, evidence, explore, extraction, graph, hubs, index, intervals, keyword, locate, qa, retrieval, segment
 from .sources import reads, store
 from .sources.scratch import fresh, settled
 from .sources.versioned import VersionedTable
@@ -657,6 +657,41 @@ def hub_expansion(spark, sf):
     return hubs.expand(seeds, edges, 5).withColumn("score", F.round("score", 6))
 
 
+WALK_SQL = f"""{HUBS_SQL},
+    st AS (SELECT document_id, span_id, list_distinct({TOKENS_SQL.format('summary')}) AS words, (1 + round(salience_score, 6)) / 2::DOUBLE AS own FROM sp),
+    q AS (SELECT a.ord AS query_id, a.document_id, list_distinct(list_concat(a.entities, b.entities)) AS asked, 4 + a.ord // 50 % 5 AS budget FROM sp a JOIN sp b ON b.ord = a.ord + 1 WHERE a.ord % 50 = 0),
+    fw AS (SELECT DISTINCT query_id, word FROM (SELECT query_id, document_id, unnest(asked) AS word FROM q) JOIN (SELECT DISTINCT document_id, unnest(words) AS word FROM st) USING (document_id, word)),
+    fn AS (SELECT query_id, count(*) AS findable FROM fw GROUP BY ALL),
+    o1 AS (SELECT query_id, document_id, span_id, max(round(1 / log2(degree + 1), 9) * own) AS score FROM q JOIN dg USING (document_id) JOIN h USING (document_id, hub_id, edge_type) JOIN st USING (document_id, span_id)
+           WHERE edge_type = 'MENTIONS_ENTITY' AND list_contains(asked, substring(hub_id, 9)) GROUP BY ALL),
+    v1 AS (SELECT o1.*, 1 AS round, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, span_id) AS place FROM o1 QUALIFY place <= 3),
+    g1 AS (SELECT query_id, count(DISTINCT word) AS got FROM (SELECT query_id, unnest(words) AS word FROM v1 JOIN st USING (document_id, span_id)) JOIN fw USING (query_id, word) GROUP BY ALL),
+    ac AS (SELECT query_id, budget - 3 AS remaining FROM q JOIN fn USING (query_id) JOIN g1 USING (query_id) WHERE got < findable),
+    nx AS (SELECT document_id, span_id, unnest([lead(span_id) OVER o, lag(span_id) OVER o]) AS other FROM sp WINDOW o AS (PARTITION BY document_id ORDER BY span_start_idx, span_id)),
+    o2 AS (SELECT query_id, document_id, span_id, max(score) AS score FROM (
+               SELECT v1.query_id, document_id, g.span_id, round(v1.score * 0.5::DOUBLE / log2(degree + 1), 9) * own AS score FROM v1 JOIN h USING (document_id, span_id) JOIN dg USING (document_id, hub_id, edge_type) JOIN h g USING (document_id, hub_id, edge_type) JOIN st ON st.document_id = v1.document_id AND st.span_id = g.span_id
+               UNION ALL SELECT query_id, document_id, other, round(score * 0.5::DOUBLE, 9) FROM v1 JOIN nx USING (document_id, span_id) WHERE other IS NOT NULL
+               UNION ALL SELECT * FROM o1) x WHERE NOT EXISTS (FROM v1 WHERE v1.query_id = x.query_id AND v1.span_id = x.span_id) GROUP BY ALL),
+    v2 AS (SELECT o2.*, 2 AS round, 3 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, span_id) AS place FROM o2 JOIN ac USING (query_id) QUALIFY place - 3 <= least(3, remaining)),
+    va AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2),
+    g2 AS (SELECT query_id, count(DISTINCT word) AS got, max(place) AS visited FROM (SELECT query_id, place, unnest(words) AS word FROM va JOIN st USING (document_id, span_id)) JOIN fw USING (query_id, word) GROUP BY ALL)
+"""
+
+
+@query("explorer", f"""WITH {WALK_SQL} SELECT va.query_id, document_id, span_id, round, CAST(place AS INTEGER) AS place, round(score, 6) AS score, CASE WHEN got = findable THEN 'covered' WHEN (SELECT count(*) FROM va w WHERE w.query_id = va.query_id) >= budget THEN 'budget' ELSE 'rounds' END AS reason
+    FROM va JOIN q USING (query_id, document_id) JOIN g2 USING (query_id) JOIN fn USING (query_id)""")
+def explorer(spark, sf):
+    """Walks of two rounds: parts whose numbers are divisible by 50 ask for the words of their name and the next part's."""
+    spans = part_spans(spark, sf)
+    held = explore.graph(spans, 8, 3)
+    asks = spans.where("ord % 50 = 0").join(spans.select((F.col("ord") - 1).alias("ord"), F.col("key_quote").alias("then")), "ord")
+    budget = (4 + F.floor(F.col("ord") / 50) % 5).cast("int")
+    questions = asks.select(F.col("ord").alias("query_id"), "document_id", F.concat_ws(" ", "key_quote", "then").alias("question"), budget.alias("budget"))
+    walk = explore.explore(questions, held, explore.Settings(width=3, rounds=2))
+    rows = walk.visits.join(walk.questions.select("query_id", "document_id", "reason"), ["query_id", "document_id"])
+    return rows.select("query_id", "document_id", "span_id", "round", "place", F.round("score", 6).alias("score"), "reason")
+
+
 @query("next_spans", f"""WITH {PART_SQL}, n AS (SELECT document_id, span_id AS from_id, lead(span_id) OVER (PARTITION BY document_id ORDER BY span_start_idx, span_id) AS to_id FROM sp)
     SELECT document_id, from_id, to_id, 'NEXT_SPAN_IN_TEXT' AS edge_type FROM n WHERE to_id IS NOT NULL""")
 def next_spans(spark, sf):
