@@ -12,7 +12,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import fixed
+from .functions import fixed, tables
 from .functions import text as tx
 from .operators import collection, density, evaluation, evidence, explore, extraction, graph, hubs, index, intervals, keyword, locate, qa, retrieval, segment
 from .sources import reads, store
@@ -382,6 +382,31 @@ def mock_spans(spark, sf):
     return extraction.mock_spans(windows(spark, sf)).select("span_id", "span_type", "summary", F.col("salience_score").cast("double").alias("salience_score"), "start_anchor_quote", "end_anchor_quote")
 
 
+@query("sql_windows", ORACLES["sliding_windows"])
+def sql_windows(spark, sf):
+    """The sliding windows again, cut by a table function that SQL calls."""
+    tables.register(spark)
+    cut = "SELECT concat('doc_', doc_id, '_ch0000_win', lpad(window_index, 4, '0')) AS window_id, window_index, window_start, window_end, window_end - window_start AS char_count, md5(encode(text, 'utf-8')) AS digest FROM text_windows(TABLE({d}), {size}, {overlap}, {least})"
+    return spark.sql(cut, d=table(spark, sf, "documents").select("doc_id", "text"), size=SIZE, overlap=OVERLAP, least=LEAST)
+
+
+@query("sql_extraction", ORACLES["mock_spans"])
+def sql_extraction(spark, sf):
+    """Documents to windows to spans in one statement: a table function over the result of another."""
+    tables.register(spark)
+    chain = """WITH cut AS (SELECT concat('doc_', doc_id, '_ch0000_win', lpad(window_index, 4, '0')) AS window_id, text FROM text_windows(TABLE({d}), {size}, {overlap}, {least}))
+        SELECT concat('span_', window_id, '_', lpad(span_index + 1, 3, '0')) AS span_id, span_type, summary, salience_score, start_anchor_quote, end_anchor_quote FROM extract_spans(TABLE(SELECT window_id, text FROM cut))"""
+    return spark.sql(chain, d=table(spark, sf, "documents").select("doc_id", "text"), size=SIZE, overlap=OVERLAP, least=LEAST)
+
+
+@query("sql_token_counts", """WITH d AS (SELECT conv_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS ts FROM conversations), e AS (SELECT conv_id, unnest(ts) AS token FROM d)
+    SELECT conv_id, token, count(*) AS tf, CAST(sum(count(*)) OVER (PARTITION BY conv_id) AS BIGINT) AS len FROM e GROUP BY conv_id, token""")
+def sql_token_counts(spark, sf):
+    """Tokens of whole conversations, whose turns a table function sees together."""
+    tables.register(spark)
+    return spark.sql("SELECT conv_id, token, tf, len FROM token_counts(TABLE({c}) PARTITION BY conv_id)", c=table(spark, sf, "conversations").select("conv_id", "text"))
+
+
 @query("locate_mock_spans")
 def locate_mock_spans(spark, sf):
     """Mock spans located by the whole cascade; fuzzy matching is not SQL."""
