@@ -18,6 +18,7 @@ from .operators import collection, density, evaluation, evidence, explore, extra
 from .sources import reads, store
 from .sources.scratch import fresh, settled
 from .sources.versioned import VersionedTable
+from .streaming import batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -444,6 +445,31 @@ def batch_apply(spark, sf):
     return done.select("window_id", F.coalesce("retry_reason", F.lit("")).alias("retry_reason"), F.coalesce(F.col("payload.spans")[0]["summary"], F.lit("")).alias("summary"))
 
 
+BATCH_KINDS = {"signup": "submitted", "click": "output", "error": "error", "view": "status", "purchase": "status"}
+
+
+@query("batch_stream", """WITH e AS (SELECT user_id || '@' || (event_id // 1000) AS batch_id, epoch_ms(ts) AS ms, event_type AS kind, 'w' || (event_id % 5) AS id FROM events),
+    b AS (SELECT batch_id, least(min(ms) + 43200000, coalesce(min(ms) FILTER (kind = 'purchase') + 1800000, 9e15::BIGINT)) AS closed FROM e GROUP BY ALL),
+    m AS (SELECT e.* FROM e JOIN b USING (batch_id) WHERE ms <= closed AND closed <= (SELECT max(ms) - 3600000 FROM e)),
+    w AS (SELECT batch_id, id, bool_or(kind = 'click') AS done, coalesce(arg_min('rate limited', ms) FILTER (kind = 'error'), 'batch output missing') AS reason FROM m WHERE kind IN ('signup', 'click', 'error') GROUP BY ALL)
+    SELECT batch_id, 1 AS round, any_value(status) AS status, CAST(count(id) AS INTEGER) AS windows, CAST(count(*) FILTER (done) AS INTEGER) AS done, coalesce(string_agg(id || ': ' || reason, '|' ORDER BY id) FILTER (NOT done), '') AS retry
+    FROM (SELECT batch_id, CASE WHEN bool_or(kind = 'purchase') THEN 'completed' ELSE 'timeout' END AS status FROM m GROUP BY ALL) LEFT JOIN w USING (batch_id) GROUP BY batch_id""")
+def batch_stream(spark, sf):
+    """Events as lines of batches, a user's within each thousand: one round each, closed by half a day or a purchase."""
+    kinds = F.create_map(*(F.lit(x) for pair in BATCH_KINDS.items() for x in pair))
+    path = f"{sf}/events.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")  # a pattern may stand for a file or a folder
+    kind, status = kinds[F.col("event_type")], F.when(F.col("event_type") == "purchase", "completed").otherwise("in_progress")
+    lines = raw.select(
+        F.concat_ws("@", "user_id", F.expr("event_id div 1000")).alias("batch_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"),
+        F.when(kind != "status", F.concat(F.lit("w"), F.col("event_id") % 5)).alias("custom_id"), F.when(kind == "error", "rate limited").when(kind == "status", status).alias("detail"),
+    )
+    states = batches.batch_states(lines, timeout="12 hours", grace="30 minutes", rounds=1)
+    found = batches.replayed(states, fresh(spark, "reports"), fresh(spark, "stream"))
+    retry = F.array_join(F.zip_with("retry", "reasons", lambda x, y: F.concat(x, F.lit(": "), y)), "|")
+    return found.select("batch_id", "round", "status", "windows", "done", retry.alias("retry"))
+
+
 @query("usage_cost", "SELECT l_orderkey, CAST(sum(l_partkey) AS BIGINT) AS input_tokens, CAST(sum(l_suppkey) AS BIGINT) AS output_tokens, round(sum(l_partkey) / 1000 * 0.002 + sum(l_suppkey) / 1000 * 0.003, 6) AS cost FROM lineitem GROUP BY l_orderkey")
 def usage_cost(spark, sf):
     used = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_partkey").alias("input_tokens"), F.sum("l_suppkey").alias("output_tokens"))
