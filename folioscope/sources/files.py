@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import document_id, normalize_text
+from .lines import numbered_lines, place
 
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
 CHAPTER = "struct<chapter_id:string,chapter_index:int,weight:double,relevance:double,facet:string,reason:string>"
@@ -51,18 +52,18 @@ def ingest(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A question set from JSON lines: blank lines are skipped, a bad one or an empty set is an error.
+    """A question set from JSON lines: blank lines are skipped; a bad one, told by file and line, or an empty set is an error.
 
     Facets default to those of the gold chapters, a chapter's relevance to its weight, its facet to `general`;
     further keys are kept as JSON in `metadata`.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     if lines.isEmpty():
         raise ValueError(f"no questions in {path}")
-    parsed = lines.select("value", F.from_json("value", QUESTION).alias("q"), F.from_json("value", "map<string,string>").alias("m"))
+    parsed = lines.select("file", "line", "value", F.from_json("value", QUESTION).alias("q"), F.from_json("value", "map<string,string>").alias("m"))
     required = F.when(F.col("q.question_id").isNull() | (F.size("q.expected_chapters") < 1), F.lit(True)).otherwise(F.lit(False))
     checked = parsed.withColumn("bad", F.col("q").isNull() | F.coalesce(required, F.lit(True)))
-    told = F.raise_error(F.concat(F.lit("bad question line: "), F.left("value", F.lit(80)))).cast("string")
+    told = F.raise_error(place("bad question line")).cast("string")
     checked = checked.withColumn("ok", F.when(F.col("bad"), told).otherwise(F.col("q.question_id")))
     blank = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("general"))
     gold = F.transform("q.expected_chapters", lambda c: F.struct(c["chapter_id"].alias("chapter_id"), F.coalesce(c["chapter_index"], F.lit(0)).alias("chapter_index"), F.coalesce(c["weight"], F.lit(0.0)).alias("weight"), F.coalesce(c["relevance"], c["weight"], F.lit(0.0)).alias("relevance"), blank(c["facet"]).alias("facet"), F.coalesce(c["reason"], F.lit("")).alias("reason")))
