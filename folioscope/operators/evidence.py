@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .intervals import islands
 
 Q = ["query_id", "document_id"]
+#: Characters of a piece of a chapter's text.
+PIECE = 1024
 
 
 def priority(score: Column, sources: Column) -> Column:
@@ -72,12 +74,24 @@ def cite(chosen: DataFrame, texts: DataFrame) -> DataFrame:
     """Blocks in order of position with their citation ids and texts.
 
     texts (document_id, chapter_id, text, start_idx) are chapters: a block needs no more of a document than its own.
+    Texts are cut into pieces of PIECE characters, so that a block meets the few pieces that it lies in and no row
+    carries a whole chapter.
     """
     n = F.row_number().over(Window.partitionBy(*Q).orderBy("start_idx", "end_idx", "chapter_id"))
-    of = texts.select("document_id", "chapter_id", "text", F.col("start_idx").alias("base"))
-    rows = chosen.withColumn("n", n).join(of, ["document_id", "chapter_id"])
-    body = F.substring(F.col("text"), F.col("start_idx") - F.col("base") + 1, F.col("end_idx") - F.col("start_idx"))
-    return rows.withColumns({"citation_id": F.format_string("[E%03d]", "n"), "block_text": body}).drop("text", "n", "base")
+    chapter = ["document_id", "chapter_id"]
+    heads = texts.select(*chapter, F.col("start_idx").alias("base"), F.greatest(F.lit(0), F.ceil(F.length("text") / PIECE) - 1).alias("last"))
+    cut = F.when(F.length("text") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array("text"))
+    pieces = texts.select(*chapter, F.posexplode(cut).alias("piece", "text"))
+    rows = chosen.withColumn("n", n).join(heads, chapter)
+    start, length = F.col("start_idx") - F.col("base"), F.col("end_idx") - F.col("start_idx")
+    inside = lambda at: F.greatest(F.lit(0), F.least(F.coalesce("last", F.lit(0)), F.floor(at / PIECE))).cast("int")
+    rows = rows.withColumns({"low": inside(start), "high": F.greatest(inside(start), inside(start + length - 1))})
+    each = rows.select(F.struct(*chosen.columns).alias("row"), *Q, "n", "base", "chapter_id", F.explode(F.sequence("low", "high")).alias("piece")).join(pieces, [*chapter, "piece"])
+    at = F.col("row.start_idx") - F.col("base") - F.col("piece") * PIECE
+    body = F.substring(F.col("text"), F.greatest(at, F.lit(0)) + 1, F.greatest(F.lit(0), F.col("row.end_idx") - F.col("row.start_idx") + F.least(at, F.lit(0))))
+    whole = each.groupBy(*Q, "n").agg(F.first("row").alias("row"), F.sort_array(F.collect_list(F.struct("piece", body.alias("body")))).alias("bodies"))
+    text = F.when(F.exists("bodies", lambda x: x["body"].isNotNull()), F.array_join(F.transform("bodies", lambda x: x["body"]), ""))
+    return whole.select("row.*", F.format_string("[E%03d]", "n").alias("citation_id"), text.alias("block_text"))
 
 
 def pack(blocks: DataFrame) -> DataFrame:
