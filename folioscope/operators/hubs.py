@@ -15,6 +15,8 @@ from .index import top_k
 #: Spans a block of a hub holds about.
 BLOCK = 10_000
 SALTS = 16
+#: Characters of a document in which spans are put in order together.
+STRETCH = 100_000
 
 
 def _edge(rows: DataFrame, start: Column, end: Column, kind: str) -> DataFrame:
@@ -24,15 +26,16 @@ def _edge(rows: DataFrame, start: Column, end: Column, kind: str) -> DataFrame:
 def next_spans(spans: DataFrame) -> DataFrame:
     """NEXT_SPAN_IN_TEXT edges: each span to the one that starts next in its document, ties by id.
 
-    Spans are put in order chapter by chapter, so that a long document is many tasks; the last span of a chapter goes
-    to the first of the next chapter that has one.
+    Spans are put in order stretch by stretch of the text, so that a long document is many tasks, whatever chapters its
+    spans are in; the last span of a stretch goes to the first of the next that has one.
     """
-    at = F.struct("span_start_idx", "span_id")
-    chapters = spans.groupBy("document_id", "chapter_id").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    at, stretch = F.struct("span_start_idx", "span_id"), F.floor(F.col("span_start_idx") / STRETCH).alias("stretch")
+    rows = spans.select("document_id", "span_start_idx", "span_id", stretch)
+    ends = rows.groupBy("document_id", "stretch").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     after = F.lead("first").over(Window.partitionBy("document_id").orderBy("first"))
-    crossing = chapters.withColumn("after", after).where(F.col("after").isNotNull())
-    inside = F.lead("span_id").over(Window.partitionBy("document_id", "chapter_id").orderBy("span_start_idx", "span_id"))
-    within = spans.select("document_id", "span_id", inside.alias("after")).where(F.col("after").isNotNull())
+    crossing = ends.withColumn("after", after).where(F.col("after").isNotNull())
+    inside = F.lead("span_id").over(Window.partitionBy("document_id", "stretch").orderBy("span_start_idx", "span_id"))
+    within = rows.select("document_id", "span_id", inside.alias("after")).where(F.col("after").isNotNull())
     return _edge(within, F.col("span_id"), F.col("after"), "NEXT_SPAN_IN_TEXT").unionByName(_edge(crossing, F.col("last.span_id"), F.col("after.span_id"), "NEXT_SPAN_IN_TEXT"))
 
 
