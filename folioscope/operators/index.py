@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 
 #: Replicas of a scope's size, over which its vectors are dealt into blocks.
 SALTS = 8
+#: Differences of components that a task holds at a time.
+GAPS = 1 << 20
 
 
 def bm25_text(summary: Column, entities: Column, key_quote: Column) -> Column:
@@ -105,8 +107,11 @@ def _scores(metric: str, a: list, b: list) -> np.ndarray:
             if metric in ("cosine", "dot"):
                 got = x @ y.T
             else:
-                gaps = x[:, None, :] - y[None, :, :]
-                got = -np.sqrt((gaps**2).sum(2)) if metric == "euclid" else -np.abs(gaps).sum(2)
+                got = np.empty((len(i), len(j)))
+                step = max(1, GAPS // (len(j) * int(d)))
+                for k in range(0, len(i), step):
+                    gaps = x[k : k + step, None, :] - y[None, :, :]
+                    got[k : k + step] = -np.sqrt((gaps**2).sum(2)) if metric == "euclid" else -np.abs(gaps).sum(2)
             out[np.ix_(i, j)] = got
     return out
 
@@ -124,24 +129,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id:
     out = [f"{query_id} {queries.schema[query_id].dataType.simpleString()}", *(f"{c} {queries.schema[c].dataType.simpleString()}" for c in scope), f"{id_col} {vectors.schema[id_col].dataType.simpleString()}", "score double"]
     names = [query_id, *scope, id_col, "score"]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                q, c = np.asarray(r["q_ids"]), np.asarray(r["c_ids"])
-                s = np.round(_scores(metric, list(r["q_vectors"]), list(r["c_vectors"])), 9) + 0.0
-                by_id = np.argsort(c, kind="stable")
-                s, c = s[:, by_id], c[by_id]
-                if others:
-                    s[q[:, None] == c[None, :]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(q)), best.shape[1])
-                got = pd.DataFrame({query_id: q[rows], **{x: [r[x]] * len(rows) for x in scope}, id_col: c[best.ravel()], "score": s[rows, best.ravel()]}, columns=names)
-                yield got[np.isfinite(got["score"])]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        q, c = np.asarray(r["q_ids"]), np.asarray(r["c_ids"])
+        s = np.round(_scores(metric, list(r["q_vectors"]), list(r["c_vectors"])), 9) + 0.0
+        by_id = np.argsort(c, kind="stable")
+        s, c = s[:, by_id], c[by_id]
+        if others:
+            s[q[:, None] == c[None, :]] = -np.inf
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(q)), best.shape[1])
+        got = pd.DataFrame({query_id: q[rows], **{x: [r[x]] * len(rows) for x in scope}, id_col: c[best.ravel()], "score": s[rows, best.ravel()]}, columns=names)
+        return got[np.isfinite(got["score"])]
 
     count = lambda rows, name: rows.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     sizes = count(queries, "n_q").join(count(vectors, "n_c"), scope)
-    met = _packed(queries, sizes, scope, query_id, "q", "c").join(_packed(vectors, sizes, scope, id_col, "c", "q"), [*scope, "q_block", "c_block"])
-    return met.mapInPandas(run, ", ".join(out))
+    pair = [*scope, "q_block", "c_block"]
+    met = _packed(queries, sizes, scope, query_id, "q", "c").join(_packed(vectors, sizes, scope, id_col, "c", "q"), pair)
+    return met.groupBy(*pair).applyInPandas(run, ", ".join(out))  # a pair is a group, so that Python holds one at a time
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, scope: list[str], id_col: str, k: int, metric: str = "cosine") -> DataFrame:
@@ -151,17 +156,18 @@ def vector_search(queries: DataFrame, vectors: DataFrame, scope: list[str], id_c
 
 
 def hash_embedding(text: Column, dimensions: int) -> Column:
-    """A deterministic unit vector from a text's chained SHA-256 digests."""
+    """A deterministic unit vector from a text's chained SHA-256 digests, each made once a row."""
     rounds = range((dimensions + 31) // 32)
     raw = F.concat(*(F.unhex(F.sha2(F.concat(F.encode(text, "utf-8"), F.unhex(F.lit(f"{k:08x}"))), 256)) for k in rounds))
-    digits = F.hex(raw)
-    values = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5)
+
+    def values(digits: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5)
 
     def unit(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-        return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+        return let(F.when(norm == 0, 1.0).otherwise(norm), lambda n: F.transform(v, lambda x: x / n))
 
-    return F.element_at(F.transform(F.array(values), unit), 1)
+    return let(let(F.hex(raw), values), unit)
 
 
 def embed_with_cache(inputs: DataFrame, cache: DataFrame, embed) -> DataFrame:
