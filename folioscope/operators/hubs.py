@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 from .index import top_k
 
 #: Spans a block of a hub holds about.
@@ -77,11 +78,33 @@ def expand(seeds: DataFrame, edges: DataFrame, k: int, digits: int = 9) -> DataF
 
     A hub passes on the weight that comes to it, divided by the logarithm of its degree plus one; seeds themselves are
     left out; scores are rounded to `digits`, ties go to the smaller id.
+
+    Spans on the same hubs have the same score: they are one class that is scored once, of which the k smallest ids
+    besides seeds are all that can be answers. So a hub costs its classes, not its spans. Seeds are one row a question
+    and span.
     """
-    by = ["query_id", "document_id"]
-    up = seeds.join(edges.select("document_id", "span_id", "hub_id", "edge_type", "degree", "blocks"), ["document_id", "span_id"])
-    reached = up.groupBy(*by, "hub_id", "edge_type", "degree", "blocks").agg(F.sum("weight").alias("weight"))
-    passed = reached.withColumn("weight", F.col("weight") / F.log(F.col("degree") + 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    down = passed.select(*by, "hub_id", "edge_type", "block", "weight").join(edges.select("document_id", "hub_id", "edge_type", "block", "span_id"), ["document_id", "hub_id", "edge_type", "block"])
-    sums = down.groupBy(*by, "span_id").agg(F.round(F.sum("weight"), digits).alias("score")).join(seeds.select(*by, "span_id"), [*by, "span_id"], "left_anti")
-    return top_k(sums, by, k, [F.desc("score"), F.asc("span_id")])
+    by, of, hub = ["query_id", "document_id"], ["document_id", "head"], ["document_id", "hub_id", "edge_type"]
+    most = seeds.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    hung = edges.groupBy("document_id", "span_id").agg(F.sort_array(F.collect_list(F.struct("hub_id", "edge_type"))).alias("hubs"))
+    heads = hung.groupBy("document_id", "hubs").agg(F.min("span_id").alias("head"), F.count(F.lit(1)).alias("size"))
+    heads = settled(heads.select("*", F.xxhash64("hubs").alias("code")), "heads")
+    alike = heads.select("document_id", "hubs", "code", "head")
+    first = settled(top_k(hung.withColumn("code", F.xxhash64("hubs")), ["document_id", "code", "hubs"], k + most, [F.asc("span_id")], "at").join(alike, ["document_id", "code", "hubs"]).select(*of, "span_id"), "first")
+
+    # the hubs of one span of each class, in blocks of the same size as before
+    own = edges.join(heads.select("document_id", F.col("head").alias("span_id")), ["document_id", "span_id"], "left_semi").select(*hub, F.col("span_id").alias("head"), "degree", "blocks")
+    held = own.groupBy(*hub).agg(F.ceil(F.count(F.lit(1)) * F.max("blocks") / F.max("degree")).cast("int").alias("parts"))
+    own = settled(own.select(*hub, "head").join(held, hub).select(*hub, "head", F.pmod(F.xxhash64("head", F.lit(1)), "parts").cast("int").alias("block")), "classes")
+    up = seeds.join(edges.select(*hub, "span_id", "degree"), ["document_id", "span_id"])
+    reached = up.groupBy(*by, "hub_id", "edge_type", "degree").agg(F.sum("weight").alias("weight")).join(held, hub)
+    passed = reached.withColumn("weight", F.col("weight") / F.log(F.col("degree") + 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    down = passed.select(*by, "hub_id", "edge_type", "block", "weight").join(own, [*hub, "block"])
+    sums = down.groupBy(*by, "head").agg(F.round(F.sum("weight"), digits).alias("score"))
+
+    # classes behind k spans of better ones, seeds not counted, cannot hold an answer
+    taken = seeds.join(hung, ["document_id", "span_id"]).join(heads.select("document_id", "hubs", "head"), ["document_id", "hubs"]).groupBy(*by, "head").agg(F.count(F.lit(1)).alias("taken"))
+    free = sums.join(heads.select(*of, "size"), of).join(taken, [*by, "head"], "left").withColumn("free", F.col("size") - F.coalesce("taken", F.lit(0)))
+    better = F.sum("free").over(Window.partitionBy(*by).orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("free").over(Window.partitionBy(*by, "score"))
+    open_ = free.withColumn("better", better).where(F.col("better") < k).select(*by, "head", "score")
+    spans = open_.join(first, of).select(*by, "span_id", "score").join(seeds.select(*by, "span_id"), [*by, "span_id"], "left_anti")
+    return top_k(spans, by, k, [F.desc("score"), F.asc("span_id")])

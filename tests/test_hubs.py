@@ -69,3 +69,15 @@ def test_predictions_are_read_back(spark, tmp_path):
     (tmp_path / "none.jsonl").write_text("\n \n")
     with pytest.raises(ValueError):
         files.read_predictions(spark, str(tmp_path / "none.jsonl"))
+
+
+def test_spans_on_the_same_hubs_are_scored_once(spark):
+    # 3,000 spans on three sets of hubs; hubs in blocks of 3 spans were 333 rows a question and hub before
+    rows = [("d", f"s{k:04d}", [f"e{k % 3}"], "mixed") for k in range(3000)]
+    spans = spark.createDataFrame(rows, "document_id string, span_id string, entities array<string>, span_type string")
+    seeds = spark.createDataFrame([("q", "d", "s0000", 1.0), ("q", "d", "s0003", 1.0), ("r", "d", "s0001", 2.0)], "query_id string, document_id string, span_id string, weight double")
+    found = hubs.expand(seeds, hubs.hub_edges(spans, 3), 4)
+    got = {q: [r["span_id"] for r in sorted(found.collect(), key=lambda r: r["rank"]) if r["query_id"] == q] for q in ("q", "r")}
+    assert got == {"q": ["s0006", "s0009", "s0012", "s0015"], "r": ["s0004", "s0007", "s0010", "s0013"]}
+    written = [f for f in spark.read.parquet(*{f.rsplit("/", 1)[0] for f in found.inputFiles() if "-classes-" in f}).collect()]
+    assert len(written) == 6  # three heads, each on two hubs
