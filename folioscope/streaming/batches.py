@@ -2,8 +2,8 @@
 
 A line tells that a request was submitted, that its output or an error came, or how its batch stands. A round opens
 with its first line and closes when its time is up, or a while after its batch became terminal, whichever is first; its
-deadline is a timer in event time, and a round is reported when the watermark has passed it. Lines are held by time, kind
-and request until then. So the report depends on the lines alone: not on their order, on repeats, on how micro-batches
+deadline is an event time, and a round is reported when the watermark has passed it. Lines are held by time, kind
+and request until then; the batches of a group share the calls to the store and one timer. So the report depends on the lines alone: not on their order, on repeats, on how micro-batches
 are cut, or on a restart in between. Lines later than a deadline belong to the next round, which asks only what
 is left over; after the last round, and behind the watermark, lines count no more.
 """
@@ -11,6 +11,7 @@ is left over; after the last round, and behind the watermark, lines count no mor
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,75 +25,89 @@ REPORT = "batch_id string, round int, status string, windows int, done int, retr
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups that batches are dealt into by the hash of their id: a group's lines are stored and read together.
+GROUPS = 512
+#: Shares of a group's closed batches that are read and written together.
+SHELVES = 16
+KEY = ["batch_id", "at_ms", "kind", "custom_id"]
+
+
 class BatchRounds(StatefulProcessor):
-    """State of one batch; a line is held once whatever its repeats, under (at, kind, request)."""
+    """State of a group of batches; a call to the store carries a group's lines, not one line.
+
+    What comes is appended as one chunk. A group's timer stands at the least deadline that its lines can have; when it
+    is due, all rounds of the group whose deadline is past are closed, and what is left is one chunk again. Of a batch
+    whose first round is closed its number and what it asks again are held.
+    """
 
     def __init__(self, timeout_ms: int, grace_ms: int, rounds: int) -> None:
         self.timeout_ms, self.grace_ms, self.rounds = timeout_ms, grace_ms, rounds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # opened, ended: time of the first line, and of the first terminal one, of the round that is open; -1 for none
-        self.now = handle.getValueState("now", "round int, opened bigint, ended bigint, deadline bigint")
-        self.lines = handle.getMapState("lines", "at bigint, kind string, custom_id string", "detail string")
-        self.open = handle.getMapState("open", "custom_id string", "reason string")
+        self.due = handle.getValueState("due", "at bigint")
+        self.lines = handle.getListState("lines", "batch_id array<string>, at_ms array<bigint>, kind array<string>, custom_id array<string>, detail array<string>")
+        self.numbers = handle.getMapState("numbers", "shelf int", "batch_id array<string>, round array<int>, open array<array<string>>")
 
     def handleInputRows(self, key: tuple, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        number, opened, ended, deadline = self.now.get() if self.now.exists() else (1, -1, -1, -1)
-        if number <= self.rounds:
-            before = deadline
-            for pdf in rows:
-                for at, kind, custom_id, detail in zip(pdf["at_ms"], pdf["kind"], pdf["custom_id"], pdf["detail"], strict=True):
-                    at, held = int(at), (int(at), kind, custom_id)
-                    if self.lines.containsKey(held):
-                        detail = min(detail, self.lines.getValue(held)[0])
-                    self.lines.updateValue(held, (detail,))
-                    opened = at if opened < 0 else min(opened, at)
-                    if kind == "status" and detail in TERMINAL:
-                        ended = at if ended < 0 else min(ended, at)
-            deadline = self._deadline(opened, ended)
-            self._set(before, (number, opened, ended, deadline))
+        new = pd.concat([pdf[[*KEY, "detail"]] for pdf in rows]).groupby(KEY, as_index=False, sort=False)["detail"].min()
+        if len(new):
+            self.lines.appendValue(tuple(new[c].tolist() for c in (*KEY, "detail")))
+            self._wake(int(self._bounds(new["at_ms"], new["kind"], new["detail"]).min()))
         yield pd.DataFrame()
 
-    def _deadline(self, opened: int, ended: int) -> int:
-        return -1 if opened < 0 else min(opened + self.timeout_ms, ended + self.grace_ms if ended >= 0 else opened + self.timeout_ms)
+    def _bounds(self, at: pd.Series, kind: pd.Series, detail: pd.Series) -> pd.Series:
+        """The latest end of a round that holds each line; the least of them is the round's deadline."""
+        ends = (kind == "status") & detail.isin(TERMINAL)
+        return at + ends.map({True: min(self.grace_ms, self.timeout_ms), False: self.timeout_ms})
 
-    def _set(self, before: int, now: tuple[int, int, int, int]) -> None:
-        if before != now[3]:
-            if before >= 0:
+    def _wake(self, at: int) -> None:
+        before = self.due.get()[0] if self.due.exists() else None
+        if before is None or at < before:
+            if before is not None:
                 self.handle.deleteTimer(before)
-            if now[3] >= 0:
-                self.handle.registerTimer(now[3])
-        self.now.update(now)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, _, ended, deadline = self.now.get()
-        mine, later = [], []
-        for held, (detail,) in self.lines.iterator():
-            (mine if held[0] <= deadline else later).append((*held, detail))
-        asked = {k[0] for k in self.open.keys()} if now > 1 else None
-        state = round_state(mine, asked)
-        left = {k: reason for k, reason in sorted(state.items()) if reason is not None}
-        told = [d for at, kind, _, d in sorted(mine) if kind == "status" and d in TERMINAL]
-        for at, kind, custom_id, _ in mine:
-            self.lines.removeKey((at, kind, custom_id))
-        for name in list(self.open.keys()):
-            self.open.removeKey(name)
-        number = now + 1 if left else self.rounds + 1
-        if number <= self.rounds:
-            for custom_id, reason in left.items():
-                self.open.updateValue((custom_id,), (reason,))
-            opened = min((x[0] for x in later), default=-1)
-            ended = min((x[0] for x in later if x[1] == "status" and x[3] in TERMINAL), default=-1)
-            self._set(-1, (number, opened, ended, self._deadline(opened, ended)))
-        else:
-            for at, kind, custom_id, _ in later:
-                self.lines.removeKey((at, kind, custom_id))
-            self.now.update((number, -1, -1, -1))
-        yield pd.DataFrame({
-            "batch_id": [key[0]], "round": [now], "status": [told[0] if told else "timeout"], "windows": [len(state)], "done": [len(state) - len(left)],
-            "retry": [list(left)], "reasons": [list(left.values())], "closed_ms": [deadline],
-        })
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        chunks = [pd.DataFrame(dict(zip((*KEY, "detail"), chunk, strict=True))) for chunk in self.lines.get()]
+        self.due.clear()
+        self.lines.clear()
+        held = pd.concat(chunks).groupby(KEY, as_index=False, sort=False)["detail"].min()
+        held["bound"] = self._bounds(held["at_ms"], held["kind"], held["detail"])
+        past = held["batch_id"].isin(held.loc[held["bound"] <= now, "batch_id"])
+        kept, reports = held[~past].values.tolist(), []
+        shelves: dict[int, dict[str, list[list]]] = {}
+        for row in held[past].values.tolist():
+            shelves.setdefault(crc32(row[0].encode()) % SHELVES, {}).setdefault(row[0], []).append(row)
+        for shelf, batches in shelves.items():
+            stored = self.numbers.getValue((shelf,))
+            known = {} if stored is None else {name: (number, set(asked)) for name, number, asked in zip(*stored, strict=True)}
+            for name, rows in batches.items():
+                left, told, known[name] = self._closed(name, rows, now, *known.get(name, (1, None)))
+                kept += left
+                reports += told
+            self.numbers.updateValue((shelf,), tuple(map(list, zip(*((n, k, sorted(a)) for n, (k, a) in known.items() if k > 1), strict=True))))
+        if kept:
+            self.lines.appendValue(tuple(list(c) for c in zip(*(r[:5] for r in kept), strict=True)))
+            self._wake(min(r[5] for r in kept))
+        yield pd.DataFrame(reports, columns=["batch_id", "round", "status", "windows", "done", "retry", "reasons", "closed_ms"]) if reports else pd.DataFrame()
+
+    def _closed(self, name: str, rows: list[list], now: int, number: int, asked: set[str] | None) -> tuple[list[list], list[tuple], tuple]:
+        """(lines still open, reports, number and requests of the next round) of one batch; rows (KEY, detail, bound)."""
+        reports = []
+        while number <= self.rounds and rows and (deadline := min(r[5] for r in rows)) <= now:
+            mine = [(r[1], r[2], r[3], r[4]) for r in rows if r[1] <= deadline]
+            rows = [r for r in rows if r[1] > deadline]
+            state = round_state(mine, asked)
+            left = {k: reason for k, reason in sorted(state.items()) if reason is not None}
+            told = [d for _, kind, _, d in sorted(mine) if kind == "status" and d in TERMINAL]
+            reports.append((name, number, told[0] if told else "timeout", len(state), len(state) - len(left), list(left), list(left.values()), deadline))
+            number, asked = (number + 1, set(left)) if left else (self.rounds + 1, set())
+        if number > self.rounds:
+            rows, asked = [], set()
+        return rows, reports, (number, asked)
 
     def close(self) -> None:
         pass
@@ -112,7 +127,7 @@ def round_state(lines: list[tuple[int, str, str, str]], asked: set[str] | None)
     return out
 
 
-def batch_states(lines: DataFrame, timeout: str = "24 hours", grace: str = "10 minutes", rounds: int = 3, late: str = "1 hour") -> DataFrame:
+def batch_states(lines: DataFrame, timeout: str = "24 hours", grace: str = "10 minutes", rounds: int = 3, late: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """A report (see REPORT) for each closed round of the batches in a stream of lines.
 
     lines: batch_id, at (timestamp), kind (submitted, output, error, status), custom_id, detail (an error's text or a
@@ -123,7 +138,8 @@ def batch_states(lines: DataFrame, timeout: str = "24 hours", grace: str = "10 m
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     known = lines.where(F.col("batch_id").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin("submitted", "output", "error", "status"))
     known = known.select(F.col("batch_id").cast("string").alias("batch_id"), "at", F.unix_millis("at").alias("at_ms"), "kind", blank("custom_id"), blank("detail"))
-    return known.withWatermark("at", late).groupBy("batch_id").transformWithStateInPandas(BatchRounds(span(timeout), span(grace), rounds), REPORT, "Append", "EventTime")
+    known = known.withColumn("part", F.pmod(F.xxhash64("batch_id"), F.lit(groups)))
+    return known.withWatermark("at", late).groupBy("part").transformWithStateInPandas(BatchRounds(span(timeout), span(grace), rounds), REPORT, "Append", "EventTime")
 
 
 def replayed(states: DataFrame, out: str, checkpoint: str) -> DataFrame:

@@ -5,6 +5,8 @@ import os
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
+
 from folioscope.streaming import batches
 
 LINE = "batch_id string, at timestamp, kind string, custom_id string, detail string"
@@ -98,3 +100,48 @@ def test_round_state_of_repeated_and_foreign_lines():
     assert batches.round_state(lines, None) == {"a": "first", "b": None, "c": batches.MISSING}
     assert batches.round_state(lines, {"b", "d"}) == {"b": None, "d": batches.MISSING}
     assert batches.round_state([], None) == {}
+
+
+class Counted:
+    """A store in memory that counts its calls, and the handle that gives it."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, {}, set()
+
+    def state(self, name, *_):
+        held, outer = self.kept.setdefault(name, {}), self
+
+        class State:
+            def __getattr__(self, call):
+                outer.calls += 1
+                return {
+                    "exists": lambda: bool(held), "get": lambda: held[0] if name == "due" else list(held.values()), "update": lambda v: held.update({0: v}), "clear": held.clear,
+                    "appendValue": lambda v: held.update({len(held): v}), "getValue": held.get, "updateValue": lambda k, v: held.update({k: v}),
+                }[call]
+
+        return State()
+
+    getValueState = getListState = getMapState = state  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+def test_lines_of_many_batches_share_calls_to_the_store():
+    lines = [(f"b{k % 400}", k * 1000, *x) for k, x in enumerate([("submitted", "a", ""), ("output", "a", ""), ("error", "b", "late")] * 400)]
+    store, told = Counted(), []
+    rounds = batches.BatchRounds(TIMEOUT * MINUTE, GRACE * MINUTE, 2)
+    rounds.init(store)
+    list(rounds.handleInputRows((0,), iter([pd.DataFrame(lines, columns=["batch_id", "at_ms", "kind", "custom_id", "detail"])]), None))
+    for _ in range(3):
+        now = max(store.timers, default=0) + TIMEOUT * MINUTE * 2
+        for at in list(store.timers):
+            store.timers.discard(at)
+            timer, watermark = (type("T", (), {f"get{n}": lambda self, t=t: t})() for n, t in (("ExpiryTimeInMs", at), ("CurrentWatermarkInMs", now)))
+            told += [r for pdf in rounds.handleExpiredTimer((0,), watermark, timer) for r in pdf.to_dict("records")]
+    want = plain([(b, at // MINUTE, k, c, d) for b, at, k, c, d in lines], 1)
+    assert len(told) == len(want) == 400 and sum(r["done"] for r in told) == sum(x[4] for x in want)
+    assert store.calls < 60  # one call and more a line before
