@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from ..functions import fixed
 from ..functions.text import contains_any, distinct_tokens
 from . import index
 
+#: Hits that a task sorts about.
+SHARE = 250_000
+#: Chapters up to which they travel with the tasks.
+FEW = 10_000
 HITS = ["query_id", "document_id", "span_id", "source", "score", "cluster_id"]
 
 
@@ -70,24 +76,36 @@ def entity_coverage(question: Column, entities: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, distinct_tokens(question))) / F.size(own)).otherwise(0.0)
 
 
+def shares(rows: DataFrame, share: int | None = None) -> Callable[..., DataFrame]:
+    """How rows, and others in proportion to them, are dealt out by a key: over so many tasks that one's share does not grow.
+
+    The key is a part of what is joined or grouped by: a document that is a constant would drop out of the plan's keys,
+    and all would be dealt once more.
+    """
+    n = -(-rows.count() // (share or SHARE))
+    few = n <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lambda some, *keys: some if few else some.repartition(n, *keys)
+
+
 def fuse(hits: DataFrame, queries: DataFrame, spans: DataFrame, most: int = 80) -> DataFrame:
     """One candidate a question and span: the best of each source, blended, with bonuses for agreement."""
     keys = ["query_id", "document_id", "span_id"]
-    usable = hits.join(spans.select("document_id", "span_id"), ["document_id", "span_id"], "left_semi")
-    each = minmax(usable).groupBy(*keys, "source").agg(F.max("score").alias("score"), F.max("normalized").alias("normalized"), F.collect_set("cluster_id").alias("cs"))
+    dealt = shares(hits)
+    usable = dealt(hits, "span_id").join(spans.select("document_id", "span_id"), ["document_id", "span_id"], "left_semi")
+    each = minmax(dealt(usable, "query_id")).groupBy(*keys, "source").agg(F.max("score").alias("score"), F.max("normalized").alias("normalized"), F.collect_set("cluster_id").alias("cs"))
     one = each.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("source", "score", "normalized"))).alias("by_source"),
         F.max("normalized").alias("top"), F.avg("normalized").alias("mean"), F.count(F.lit(1)).alias("n"),
         F.max(F.col("source") == "graph").alias("graph"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cs")))).alias("cluster_ids"),
     )
-    full = one.join(queries.select("query_id", "document_id", "question"), ["query_id", "document_id"]).join(spans, ["document_id", "span_id"])
+    full = dealt(one.join(queries.select("query_id", "document_id", "question"), ["query_id", "document_id"]), "span_id").join(spans, ["document_id", "span_id"])
     score = 0.62 * F.col("top") + 0.18 * F.col("mean") + F.least(F.lit(0.3), 0.1 * (F.col("n") - 1)) + F.when(F.col("graph"), 0.08).otherwise(0.0) + 0.12 * entity_coverage(F.col("question"), F.col("entities"))
     fused = full.withColumns({
         "fused_score": F.round(F.least(F.lit(1.0), score), 6),
         "sources": F.transform("by_source", lambda x: x["source"]),
         "source_scores": F.map_from_entries(F.transform("by_source", lambda x: F.struct(x["source"], x["score"]))),
     })
-    return index.top_k(fused.drop("by_source", "top", "mean", "n", "graph"), ["query_id", "document_id"], most, [F.desc("fused_score"), F.asc("span_id")], "union_rank")
+    return index.top_k(dealt(fused.drop("by_source", "top", "mean", "n", "graph"), "query_id"), ["query_id", "document_id"], most, [F.desc("fused_score"), F.asc("span_id")], "union_rank")
 
 
 def union_report(candidates: DataFrame) -> DataFrame:
@@ -104,22 +122,24 @@ def rerank(candidates: DataFrame, chapters: DataFrame, kind: str = "mock", k: in
     `mock`: 0.65 token overlap of question and text, 0.35 fused score; `noop`: the fused score; `service`: scores
     (query_id, span_id, score) made elsewhere, 0 where absent.
     """
-    titled = candidates.join(chapters.select("document_id", "chapter_id", "chapter_title"), ["document_id", "chapter_id"], "left")
+    chapters = chapters.select("document_id", "chapter_id", "chapter_title")
+    # a few chapters hold all candidates: they come to them, not the candidates to a chapter's task
+    chapters = F.broadcast(chapters) if chapters.limit(FEW + 1).count() <= FEW else chapters
     text = rerank_text(F.coalesce("chapter_title", "chapter_id"), F.col("summary"), F.col("entities"), F.col("key_quote"))
-    rows = titled.withColumn("rerank_text", text)
+    titled = lambda rows: rows.join(chapters, ["document_id", "chapter_id"], "left").withColumn("rerank_text", text)
+    best = lambda rows, score: index.top_k(rows.withColumn("rerank_score", F.round(score, 8)), ["query_id", "document_id"], k, [F.desc("rerank_score"), F.asc("union_rank")])
     if kind == "mock":
         asked = distinct_tokens(F.col("question"))
         overlap = F.size(F.array_intersect(asked, distinct_tokens(F.col("rerank_text")))) / F.greatest(F.lit(1), F.size(asked))
-        score = F.least(F.lit(1.0), 0.65 * overlap + 0.35 * F.col("fused_score"))
+        out = best(titled(candidates), F.least(F.lit(1.0), 0.65 * overlap + 0.35 * F.col("fused_score")))
     elif kind == "noop":
-        score = F.col("fused_score")
+        out = titled(best(candidates, F.col("fused_score")))
     elif kind == "service":
-        rows = rows.join(scores.select("query_id", "span_id", F.col("score").alias("given")), ["query_id", "span_id"], "left")
-        score = F.coalesce("given", F.lit(0.0))
+        rows = candidates.join(scores.select("query_id", "span_id", F.col("score").alias("given")), ["query_id", "span_id"], "left")
+        out = titled(best(rows, F.coalesce("given", F.lit(0.0))))
     else:
         raise ValueError(f"unknown reranker: {kind}")
-    rows = rows.withColumns({"rerank_score": F.round(score, 8), "text_sha256": F.sha2("rerank_text", 256)})
-    return index.top_k(rows, ["query_id", "document_id"], k, [F.desc("rerank_score"), F.asc("union_rank")])
+    return out.withColumn("text_sha256", F.sha2("rerank_text", 256))
 
 
 def service_terms(text: Column) -> Column:
