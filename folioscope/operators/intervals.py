@@ -106,12 +106,17 @@ def coverage_segments(windows: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def gap_neighbours(gaps_: DataFrame, windows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each gap with the nearest span that ends before it and the nearest that starts behind it (an as-of join)."""
+    """Each gap with the nearest span that ends before it and the nearest that starts behind it (an as-of join).
+
+    Windows with their `text` give a preview of the gap's as well.
+    """
     located = spans.where(F.col("locator_status") == "located").select("window_id", "span_id", "span_start_idx", "span_end_idx")
     near = gaps_.join(located, "window_id", "left").groupBy("window_id", "gap_index", "start_idx", "end_idx")
     left = F.max(F.when(F.col("span_end_idx") <= F.col("start_idx"), F.struct("span_end_idx", "span_id")))
     right = F.min(F.when(F.col("span_start_idx") >= F.col("end_idx"), F.struct("span_start_idx", "span_id")))
     out = near.agg(F.coalesce(left["span_id"], F.lit("")).alias("left_span_id"), F.coalesce(right["span_id"], F.lit("")).alias("right_span_id"))
+    if "text" not in windows.columns:
+        return out
     body = F.substring(F.col("text"), F.col("start_idx") - F.col("window_start") + 1, F.col("end_idx") - F.col("start_idx"))
     return out.join(windows.select("window_id", "window_start", "text"), "window_id").withColumn("text_preview", preview(body, 240)).drop("text", "window_start")
 

@@ -25,3 +25,8 @@ def test_hits_are_dealt_over_as_many_tasks_as_they_need(spark, monkeypatch):
 def test_candidates_are_not_dealt_by_their_few_chapters(spark):
     for name in ("rerank_mock", "rerank_noop"):
         assert "hashpartitioning(document_id#" not in "".join(x for x in plan_of(queries.QUERIES[name](spark, SF)).splitlines() if "chapter_id" in x and "hashpartitioning" in x and "chapter_title" not in x), name
+
+
+def test_nearest_spans_keep_no_text(spark):
+    plan = plan_of(queries.QUERIES["nearest_spans"](spark, SF))
+    assert "documents.parquet" not in plan and "BroadcastHashJoin" not in plan
