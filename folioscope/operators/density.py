@@ -36,7 +36,7 @@ def usable(points: DataFrame, scope: list[str], id_col: str) -> DataFrame:
     return rows.groupBy(*scope, id_col).agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
 
 
-def core_distances(rows: DataFrame, scope: list[str], id_col: str, samples: int, block: int = 256) -> DataFrame:
+def core_distances(rows: DataFrame, scope: list[str], id_col: str, samples: int, block: int = BLOCK) -> DataFrame:
     """`rows` with `core`: the distance to the `samples`-th nearest other point (the farthest, if there are fewer; 0 alone)."""
     by = [*scope, "dim"]
     near = nearest(rows.withColumnRenamed(id_col, "of"), rows, by, "of", id_col, samples, "euclid", block, others=True)

@@ -30,3 +30,9 @@ def test_candidates_are_not_dealt_by_their_few_chapters(spark):
 def test_nearest_spans_keep_no_text(spark):
     plan = plan_of(queries.QUERIES["nearest_spans"](spark, SF))
     assert "documents.parquet" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_core_distances_of_one_block_are_one_pair(spark):
+    rows = spark.range(1000).select(F.lit(0).alias("label"), "id", F.array(F.rand(1), F.rand(2)).alias("vector"), F.lit(2).alias("dim"))
+    ids = density.core_distances(rows, ["label"], "id", 3)
+    assert "core" in ids.columns and density.core_distances.__defaults__[-1] >= 1000  # 16 pairs before, each with 500 vectors
