@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import let, tokens
+from ..sources.scratch import settled
 
 #: Replicas of a scope's size, over which its vectors are dealt into blocks.
 SALTS = 8
@@ -24,8 +25,11 @@ def bm25_text(summary: Column, entities: Column, key_quote: Column) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str, text: Column, scope: list[str]) -> DataFrame:
-    """(scope, token, id, tf, len): the inverted index, one row for each token of each text."""
-    each = docs.select(*scope, id_col, tokens(text).alias("ts")).withColumn("len", F.size("ts"))
+    """(scope, token, id, tf, len): the inverted index, one row for each token of each text.
+
+    Texts are dealt out by their id once; their tokens, which are larger, are counted where they lie.
+    """
+    each = docs.select(*scope, id_col, text.alias("text")).repartition(id_col).select(*scope, id_col, tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts"))
     return each.select(*scope, id_col, "len", F.explode("ts").alias("token")).groupBy(*scope, id_col, "len", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -40,12 +44,16 @@ def token_weights(postings_: DataFrame, docs: DataFrame, scope: list[str], id_co
     return raw.join(mean, scope).select(*scope, "token", idf.alias("idf"), (F.col("n_tokens") / F.col("n_docs")).alias("avgdl"))
 
 
-def bm25_scores(queries: DataFrame, postings_: DataFrame, weights: DataFrame, scope: list[str], id_col: str) -> DataFrame:
-    """(query_id, scope, id, score) for every text that shares a token with a query (query_id, scope, question)."""
+def bm25_scores(queries: DataFrame, postings_: DataFrame, weights: DataFrame, scope: list[str], id_col: str, few: bool = False) -> DataFrame:
+    """(query_id, scope, id, score) for every text that shares a token with a query (query_id, scope, question).
+
+    Tokens of a few questions are sent to the postings, which then stay where they are.
+    """
     asked = queries.select("query_id", *scope, F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", *scope, "token").agg(F.count(F.lit(1)).alias("qtf"))
     tf, k1, b = F.col("tf"), fixed.BM25_K1, fixed.BM25_B
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    met = asked.join(weights, [*scope, "token"]).join(postings_, [*scope, "token"])
+    asked = asked.join(weights, [*scope, "token"])
+    met = (F.broadcast(settled(asked, "asked")) if few else asked).join(postings_, [*scope, "token"])
     return met.groupBy("query_id", *scope, id_col).agg(F.sum(part).alias("score"))
 
 
