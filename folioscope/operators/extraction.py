@@ -18,6 +18,8 @@ from ..sources.scratch import settled
 from . import locate
 
 PAYLOAD = "struct<spans:array<struct<span_type:string,summary:string,entities:array<string>,salience_score:double,start_anchor_quote:string,end_anchor_quote:string,key_quote:string>>>"
+#: What a window gives to locate its spans.
+WINDOW = ("window_start", "window_end", "text")
 RETRYABLE = ("start anchor not found", "end anchor not found", "no ordered start/end anchor pair found")
 
 
@@ -49,8 +51,11 @@ def select_windows(windows: DataFrame, ids: list[str] | None = None, ranges: lis
     return numbered.where(wanted)
 
 
-def mock_spans(windows: DataFrame) -> DataFrame:
-    """Two spans of each window from fixed slices of its compacted text: an extractor without a model."""
+def mock_spans(windows: DataFrame, keep_text: bool = False) -> DataFrame:
+    """Two spans of each window from fixed slices of its compacted text: an extractor without a model.
+
+    With `keep_text` they keep their window's bounds and text, so that they are located without a join.
+    """
     compact = strip(F.regexp_replace("text", r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
     cut = lambda a, b: F.substring(F.col("compact"), a + 1, b - a)
     or_else = lambda *xs: F.coalesce(*(F.nullif(x, F.lit("")) for x in xs), F.lit(""))
@@ -59,7 +64,8 @@ def mock_spans(windows: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("span_index"), F.lit("progression").alias("span_type"), or_else(cut(0, 100), F.lit("空窗口")).alias("summary"), F.lit(0.5).alias("salience_score"), cut(0, 40).alias("start_anchor_quote"), first_end.alias("end_anchor_quote"), cut(0, 40).alias("key_quote")),
         F.struct(F.lit(1).alias("span_index"), F.lit("exposition").alias("span_type"), or_else(cut(40, 140), cut(0, 100), F.lit("空窗口")).alias("summary"), F.lit(0.45).alias("salience_score"), or_else(cut(40, 80), cut(0, 40)).alias("start_anchor_quote"), or_else(cut(120, 160), first_end).alias("end_anchor_quote"), or_else(cut(40, 80), cut(0, 40)).alias("key_quote")),
     )
-    each = windows.withColumn("compact", compact).select("document_id", "chapter_id", "window_id", F.explode(spans).alias("s")).select("document_id", "chapter_id", "window_id", "s.*")
+    held = ["document_id", "chapter_id", "window_id", *(WINDOW if keep_text else [])]
+    each = windows.withColumn("compact", compact).select(*held, F.explode(spans).alias("s")).select(*held, "s.*")
     span_id = F.concat(F.lit("span_"), F.col("window_id"), F.lit("_"), F.lpad((F.col("span_index") + 1).cast("string"), 3, "0"))
     return each.withColumns({"span_id": span_id, "entities": F.array().cast("array<string>")})
 
@@ -85,16 +91,19 @@ def span_type(raw: Column) -> Column:
     return F.when(F.lower(strip(raw)).isin(*fixed.SPAN_TYPES), F.lower(strip(raw))).otherwise("other")
 
 
-def locate_spans(spans: DataFrame, windows: DataFrame, least: int = 4, most: int = 80, threshold: float = 0.86) -> DataFrame:
-    """Extracted spans with coordinates, confidence and status, found from their anchors inside their windows."""
-    rows = spans.join(windows.select("window_id", "window_start", "window_end", "text"), "window_id")
+def locate_spans(spans: DataFrame, windows: DataFrame | None = None, least: int = 4, most: int = 80, threshold: float = 0.86) -> DataFrame:
+    """Extracted spans with coordinates, confidence and status, found from their anchors inside their windows.
+
+    Without windows, the spans hold the bounds and texts of theirs.
+    """
+    rows = spans if windows is None else spans.join(windows.select("window_id", *WINDOW), "window_id")
     rows = rows.withColumns({"start_anchor": locate.trim_anchor(F.col("start_anchor_quote"), "start", most), "end_anchor": locate.trim_anchor(F.col("end_anchor_quote"), "end", most)})
     problem = locate.anchor_problem(F.col("start_anchor"), F.col("end_anchor"), least, most)
-    found = locate.locate_anchors(rows, threshold, "span_id").withColumn("failure_reason", F.coalesce(problem, "failure_reason"))
+    found = locate.locate_anchors(rows, threshold).withColumn("failure_reason", F.coalesce(problem, "failure_reason"))
     ok = F.col("failure_reason").isNull()
     a, b = F.when(ok, F.col("best.start_idx")), F.when(ok, F.col("best.end_idx"))
     located = F.when(ok, F.substring(F.col("text"), a - F.col("window_start") + 1, b - a))
-    keep = [c for c in spans.columns if c not in ("text",)]
+    keep = [c for c in spans.columns if c not in WINDOW]
     return found.select(*keep, "window_start", "window_end", a.alias("span_start_idx"), b.alias("span_end_idx"), located.alias("located_text"), F.when(ok, F.col("best.confidence")).otherwise(0.0).alias("locator_confidence"), F.when(ok, "located").otherwise("failed").alias("locator_status"), "failure_reason")
 
 

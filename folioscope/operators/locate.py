@@ -1,26 +1,31 @@
 """Quote location: exact, normalised and fuzzy occurrences of quotes inside windows, and anchor pairs.
 
-Exact occurrences are expressions. Normalised and fuzzy ones need a per-character index map and a sequence
-matcher, so they run in an Arrow map, and only over the rows that the cheaper tiers left without a match.
+Exact occurrences are expressions where they are all that is asked for. Normalised and fuzzy ones need a
+per-character index map and a sequence matcher; the cascade runs as one Arrow function for all quotes of a row, and a
+dearer tier sees only what the cheaper ones left without a match.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import let, strip
 
-CANDIDATES = "array<struct<start_idx:int,end_idx:int,confidence:double,strategy:string>>"
+CANDIDATE = "struct<start_idx:int,end_idx:int,confidence:double,strategy:string>"
+CANDIDATES = f"array<{CANDIDATE}>"
 
 
 def exact_occurrences(text: Column, quote: Column, window_start: Column | None = None) -> Column:
@@ -79,26 +84,53 @@ def _automaton_search(by_quote: dict[str, list], names: list[str]):
     return run
 
 
+class _Forms(dict):
+    """What each character becomes before white space is collapsed, by its code; filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        self[code] = "".join(" " if c.isspace() else c for c in unicodedata.normalize("NFKC", fixed.MATCH_REPLACEMENTS.get(char, char)))
+        return self[code]
+
+
+_FORMS = _Forms()
+_SPACES = re.compile(" +")
+
+
+@lru_cache(maxsize=16)
+def _form(text: str) -> tuple[str, np.ndarray]:
+    """match_form, kept for the last texts: the quotes of a window stand in neighbouring rows."""
+    spaced = text.translate(_FORMS)
+    source = np.arange(len(text))
+    if len(spaced) != len(text):  # no character becomes empty, so equal lengths are one to one
+        source = np.repeat(source, [len(_FORMS[ord(c)]) for c in text])
+    blank = np.frombuffer(spaced.encode("utf-32-le", "surrogatepass"), np.uint32) == 32
+    kept = ~blank
+    kept[1:] |= ~blank[:-1]  # the first of each run, except before all else
+    form = _SPACES.sub(" ", spaced).strip(" ")
+    return form, source[kept][: len(form)]
+
+
 def match_form(text: str) -> tuple[str, list[int]]:
     """Text as it is compared, and the source index of each of its characters."""
-    out: list[tuple[str, int]] = []
-    for at, char in enumerate(text):
-        for c in unicodedata.normalize("NFKC", fixed.MATCH_REPLACEMENTS.get(char, char)):
-            if not c.isspace():
-                out.append((c, at))
-            elif out and out[-1][0] != " ":
-                out.append((" ", at))
-    if out and out[-1][0] == " ":
-        out.pop()
-    return "".join(c for c, _ in out), [at for _, at in out]
+    form, source = _form(text)
+    return form, source.tolist()
+
+
+def exact_places(text: str, quote: str) -> list[tuple[int, int, float, str]]:
+    """As exact_occurrences: all of them, overlapping ones too."""
+    found, at = [], text.find(quote) if quote else -1
+    while at >= 0:
+        found.append((at, at + len(quote), 1.0, "exact"))
+        at = text.find(quote, at + 1)
+    return found
 
 
 def normalized_occurrences(text: str, quote: str) -> list[tuple[int, int, float, str]]:
-    form, source = match_form(text)
-    wanted, _ = match_form(quote)
+    (form, source), (wanted, _) = _form(text), _form(quote)
     found, at = [], form.find(wanted) if wanted else -1
     while at >= 0:
-        found.append((source[at], source[at + len(wanted) - 1] + 1, 0.96, "normalized"))
+        found.append((int(source[at]), int(source[at + len(wanted) - 1]) + 1, 0.96, "normalized"))
         at = form.find(wanted, at + 1)
     return found
 
@@ -136,29 +168,73 @@ def fuzzy_occurrences(text: str, quote: str, threshold: float) -> list[tuple[int
     return sorted(best.values(), key=lambda c: -c[2])[:10]
 
 
-def with_candidates(rows: DataFrame, quote: str, out: str, threshold: float = 0.86, key: str = "row_id") -> DataFrame:
-    """rows (text, window_start, quote...) with the candidates of the first tier that finds any.
+def best_pair(starts: list[dict], ends: list[dict], middle: float) -> dict | None:
+    """What best_candidate finds among anchor_pairs, without their product: None if no end fits a start.
 
-    The exact tier is an expression; the others run in the same pass, in an Arrow map that leaves rows with exact hits
-    as they are. Rows are neither joined nor keyed, so a `key` that repeats does no harm.
+    Of the ends of one confidence, a start's best is one of the two beside the place that would put the pair's middle
+    on the window's, so a start costs a search and not a pass over all ends.
     """
-    import pyarrow as pa
-
-    tried = rows.withColumn(out, exact_occurrences(F.col("text"), F.col(quote), F.col("window_start")))
-    missing = (F.size(out) == 0) & (F.length(strip(F.col(quote))) > 0)
-    packed = tried.select(F.struct(*tried.columns).alias("row"), F.when(missing, F.struct("window_start", "text", F.col(quote).alias("quote"))).alias("open"))
-    kind = pa.list_(pa.struct([("start_idx", pa.int32()), ("end_idx", pa.int32()), ("confidence", pa.float64()), ("strategy", pa.string())]))
-
-    def search(batches):
-        for batch in batches:
-            found = []
-            for r in batch.column(1).to_pylist():
-                hits = [] if r is None else normalized_occurrences(r["text"], r["quote"]) or fuzzy_occurrences(r["text"], r["quote"], threshold)
-                found.append(None if r is None else [{"start_idx": r["window_start"] + a, "end_idx": r["window_start"] + b, "confidence": c, "strategy": s} for a, b, c, s in hits])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["row", "found"])
-
-    done = packed.mapInArrow(search, T.StructType([packed.schema["row"], T.StructField("found", T.ArrayType(rows.sparkSession.createDataFrame([], f"c {CANDIDATES}").schema["c"].dataType.elementType))]))
-    return done.select(*(F.coalesce("found", F.col(f"row.{c}")).alias(c) if c == out else F.col(f"row.{c}").alias(c) for c in tried.columns))
+    if not starts or not ends or max(c["end_idx"] for c in ends) < min(c["start_idx"] for c in starts):
+        return None
+    if len(starts) == len(ends) == 1:  # most rows
+        return _paired(starts[0], ends[0])
+    best = None
+    s = np.array([c["start_idx"] for c in starts], np.int64)
+    for sure in dict.fromkeys(c["confidence"] for c in ends):
+        held = [j for j, c in enumerate(ends) if c["confidence"] == sure]
+        held.sort(key=lambda j: ends[j]["end_idx"])  # stable: of equal ends the first found is first
+        e = np.array([ends[j]["end_idx"] for j in held], np.int64)
+        above = np.searchsorted(e, np.maximum(s, 2 * middle - s))
+        below = np.where(above > 0, np.searchsorted(e, e[above - 1]), -1)
+        for at in (below, above):
+            fits = np.flatnonzero((at >= 0) & (at < len(e)))
+            fits = fits[e[at[fits]] >= s[fits]]
+            for i, k in zip(fits.tolist(), at[fits].tolist(), strict=True):
+                a, z = starts[i], ends[held[k]]
+                key = (-_mean(a, z), abs((a["start_idx"] + z["end_idx"]) / 2 - middle), z["end_idx"] - a["start_idx"], i, held[k])
+                if best is None or key < best[0]:
+                    best = key, a, z
+    return _paired(*best[1:])
+
+
+def _mean(start: dict, end: dict) -> float:
+    """The pair's confidence, rounded as F.round does."""
+    a, z = start["confidence"], end["confidence"]
+    return a if a == z else float(Decimal(repr((a + z) / 2)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+
+def _paired(start: dict, end: dict) -> dict:
+    return {"start_idx": start["start_idx"], "end_idx": end["end_idx"], "confidence": _mean(start, end), "strategy": f"anchors:start_{start['strategy']}+end_{end['strategy']}"}
+
+
+def with_candidates(rows: DataFrame, quotes: dict[str, str], threshold: float = 0.86, pair: str | None = None) -> DataFrame:
+    """rows (text, window_start, quote...) with the candidates of the first tier that finds any, for each quote -> name.
+
+    All quotes of a row are looked for in one Arrow function, so that its text goes to Python once. Rows are neither
+    joined nor keyed. With `pair`, that column is the best pair of the first two quotes' candidates.
+    """
+    names = list(quotes.values())
+    fields = [("start_idx", pa.int32()), ("end_idx", pa.int32()), ("confidence", pa.float64()), ("strategy", pa.string())]
+
+    def tiers(text: str | None, start: int, quote: str | None) -> list[dict]:
+        if text is None or quote is None:
+            return []
+        hits = exact_places(text, quote)
+        if not hits and quote.strip():
+            hits = normalized_occurrences(text, quote) or fuzzy_occurrences(text, quote, threshold)
+        return [{"start_idx": start + a, "end_idx": start + b, "confidence": c, "strategy": s} for a, b, c, s in hits]
+
+    @F.arrow_udf(f"struct<{', '.join(f'{n}:{CANDIDATES}' for n in names)}{f', {pair}:{CANDIDATE}' if pair else ''}>")
+    def found(*columns: pa.Array) -> pa.Array:
+        texts, starts, ends, *wanted = (c.to_pylist() for c in columns)
+        each = [[tiers(*r) for r in zip(texts, starts, w, strict=True)] for w in wanted]
+        out = [pa.array(c, pa.list_(pa.struct(fields))) for c in each]
+        if pair:
+            out.append(pa.array([best_pair(a, z, (lo + hi) / 2) for a, z, lo, hi in zip(*each[:2], starts, ends, strict=True)], pa.struct(fields)))
+        return pa.StructArray.from_arrays(out, [*names, *([pair] if pair else [])])
+
+    got = rows.withColumn("__found", found("text", "window_start", "window_end" if pair else "window_start", *quotes))
+    return got.withColumns({n: F.col(f"__found.{n}") for n in [*names, *([pair] if pair else [])]}).drop("__found")
 
 
 def best_candidate(candidates: Column, window_start: Column, window_end: Column) -> Column:
@@ -168,9 +244,9 @@ def best_candidate(candidates: Column, window_start: Column, window_end: Column)
     return F.array_min(keyed)["c"]
 
 
-def locate_quotes(rows: DataFrame, quote: str = "quote", threshold: float = 0.86, key: str = "row_id") -> DataFrame:
+def locate_quotes(rows: DataFrame, quote: str = "quote", threshold: float = 0.86) -> DataFrame:
     """rows with `candidates`, `best` and `status`."""
-    found = with_candidates(rows, quote, "candidates", threshold, key)
+    found = with_candidates(rows, {quote: "candidates"}, threshold)
     best = best_candidate(F.col("candidates"), F.col("window_start"), F.col("window_end"))
     return found.withColumns({"best": best, "status": F.when(F.size("candidates") > 0, "located").otherwise("failed")})
 
@@ -199,20 +275,19 @@ def anchor_pairs(starts: Column, ends: Column) -> Column:
     return let(ends, lambda es: F.flatten(F.transform(starts, lambda s: with_start(s, es))))
 
 
-def locate_anchors(rows: DataFrame, threshold: float = 0.86, key: str = "row_id") -> DataFrame:
-    """rows (key, text, window_start, window_end, start_anchor, end_anchor) with the span between the anchors."""
+def locate_anchors(rows: DataFrame, threshold: float = 0.86) -> DataFrame:
+    """rows (text, window_start, window_end, start_anchor, end_anchor) with the span between the anchors."""
     clean = rows.withColumns({"start_anchor": strip(F.col("start_anchor")), "end_anchor": strip(F.col("end_anchor"))})
-    found = with_candidates(with_candidates(clean, "start_anchor", "starts", threshold, key), "end_anchor", "ends", threshold, key)
-    found = found.withColumn("pairs", anchor_pairs(F.col("starts"), F.col("ends")))
+    found = with_candidates(clean, {"start_anchor": "starts", "end_anchor": "ends"}, threshold, "best")
+    found = found.withColumn("pairs", anchor_pairs(F.col("starts"), F.col("ends")))  # made only where it is read
     reason = (
         F.when(F.col("start_anchor") == "", "start anchor is empty")
         .when(F.col("end_anchor") == "", "end anchor is empty")
         .when(F.size("starts") == 0, "start anchor not found")
         .when(F.size("ends") == 0, "end anchor not found")
-        .when(F.size("pairs") == 0, "no ordered start/end anchor pair found")
+        .when(F.col("best").isNull(), "no ordered start/end anchor pair found")
     )
-    best = best_candidate(F.col("pairs"), F.col("window_start"), F.col("window_end"))
-    return found.withColumns({"failure_reason": reason, "best": F.when(reason.isNull(), best), "status": F.when(reason.isNull(), "located").otherwise("failed")}).drop("starts", "ends")
+    return found.withColumns({"failure_reason": reason, "best": F.when(reason.isNull(), F.col("best")), "status": F.when(reason.isNull(), "located").otherwise("failed")}).drop("starts", "ends")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

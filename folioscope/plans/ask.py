@@ -23,7 +23,7 @@ def build(docs: DataFrame, size: int = 1200) -> dict[str, DataFrame]:
     with_text = segment.chapters(docs, keep_text=True)
     chapters = with_text.drop("text")
     windows = segment.windows(with_text, docs, size=size)
-    spans = extraction.locate_spans(extraction.mock_spans(windows), windows).where("locator_status = 'located'")
+    spans = extraction.locate_spans(extraction.mock_spans(windows, keep_text=True)).where("locator_status = 'located'")
     order = F.struct("span_start_idx", "span_id")
     spans = spans.withColumns({"ord": order, "cluster_type": graph.cluster_type(F.col("span_type"), F.col("summary"), F.col("entities"))})
     spans = settled(spans, "spans")
