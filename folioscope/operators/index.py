@@ -87,19 +87,23 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     raise ValueError(f"unknown distance: {metric}")
 
 
-def _packed(rows: DataFrame, sizes: DataFrame, scope: list[str], id_col: str, name: str, other: str) -> DataFrame:
-    """Blocks of one scope's vectors beside each block number of the other side: (scope, q_block, c_block, name_ids, name_vectors).
+def _packed(rows: DataFrame, sizes: DataFrame, scope: list[str], id_col: str, name: str, other: str, groups: int) -> DataFrame:
+    """Blocks of one scope's vectors beside each block number of the other side: (group, scope, q_block, c_block, name_ids, name_vectors).
 
-    Rows meet the sizes of their scope over SALTS, so that neither a scope's rows nor its blocks are one task's.
+    Rows meet the sizes of their scope over SALTS, so that neither a scope's rows nor its blocks are one task's. A pair
+    of blocks is a group of its own, except where it is all of its scope: such small scopes share `groups` groups.
     """
     kind = rows.schema[id_col].dataType.simpleString()
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, [*scope, "salt"])
-    dealt = dealt.select(*scope, F.pmod(F.xxhash64(id_col, F.lit(1)), f"n_{name}").cast("int").alias(f"{name}_block"), f"n_{other}", F.col(id_col).alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
-    packed = dealt.groupBy(*scope, f"{name}_block", f"n_{other}").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    dealt = dealt.select(*scope, F.pmod(F.xxhash64(id_col, F.lit(1)), f"n_{name}").cast("int").alias(f"{name}_block"), f"n_{name}", f"n_{other}", F.col(id_col).alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    packed = dealt.groupBy(*scope, f"{name}_block", f"n_{name}", f"n_{other}").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     ids = F.transform("rows", lambda r: r["id"]).cast(f"array<{kind}>")
     beside = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(f"{other}_block")
-    return packed.select(*scope, f"{name}_block", beside, ids.alias(f"{name}_ids"), F.transform("rows", lambda r: r["v"]).alias(f"{name}_vectors"))
+    whole = (F.col("n_q") == 1) & (F.col("n_c") == 1)
+    pairs = packed.select(*scope, "n_q", "n_c", f"{name}_block", beside, ids.alias(f"{name}_ids"), F.transform("rows", lambda r: r["v"]).alias(f"{name}_vectors"))
+    group = F.when(whole, F.pmod(F.xxhash64(*scope), F.lit(groups))).otherwise(F.xxhash64(*scope, "q_block", "c_block"))
+    return pairs.withColumn("group", group).drop("n_q", "n_c")
 
 
 def _scores(metric: str, a: list, b: list) -> np.ndarray:
@@ -128,7 +132,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id:
     """(query_id, scope, id_col, score): of each block of a query's scope the k nearest, by blocked matrix products.
 
     Both sides have (scope, id, vector). Every pair of a query block and a candidate block is a key of its own, so a
-    scope of many blocks is as many tasks. A pair costs one product of vectors normalised once a block, and a query
+    scope of many blocks is as many tasks; scopes of one pair are computed some together, about `block` vectors at a
+    time, so that many small ones do not cost a call each. A pair costs one product of vectors normalised once a block, and a query
     keeps k candidates a block, so what leaves a block is bounded. `others` leaves out pairs of one id. Scores are
     rounded to 9 digits, ties go to the smaller id.
     """
@@ -137,24 +142,37 @@ def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id:
     out = [f"{query_id} {queries.schema[query_id].dataType.simpleString()}", *(f"{c} {queries.schema[c].dataType.simpleString()}" for c in scope), f"{id_col} {vectors.schema[id_col].dataType.simpleString()}", "score double"]
     names = [query_id, *scope, id_col, "score"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        q, c = np.asarray(r["q_ids"]), np.asarray(r["c_ids"])
-        s = np.round(_scores(metric, list(r["q_vectors"]), list(r["c_vectors"])), 9) + 0.0
+    pair = [*scope, "q_block", "c_block"]
+
+    def best(q: np.ndarray, q_vectors: list, c: np.ndarray, c_vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = np.round(_scores(metric, q_vectors, c_vectors), 9) + 0.0
         by_id = np.argsort(c, kind="stable")
         s, c = s[:, by_id], c[by_id]
         if others:
             s[q[:, None] == c[None, :]] = -np.inf
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        got = pd.DataFrame({query_id: q[rows], **{x: [r[x]] * len(rows) for x in scope}, id_col: c[best.ravel()], "score": s[rows, best.ravel()]}, columns=names)
-        return got[np.isfinite(got["score"])]
+        first = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(q)), first.shape[1])
+        score = s[rows, first.ravel()]
+        there = np.isfinite(score)
+        return q[rows][there], c[first.ravel()][there], score[there]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = {key: (np.asarray(ids), list(vs)) for *key, ids, vs in right[[*pair, "c_ids", "c_vectors"]].itertuples(index=False, name=None) for key in [tuple(key)]}
+        found = []
+        for *key, ids, vs in left[[*pair, "q_ids", "q_vectors"]].itertuples(index=False, name=None):
+            if tuple(key) in held:
+                q, c, score = best(np.asarray(ids), list(vs), *held[tuple(key)])
+                found.append((q, *(np.repeat(np.array([x], object), len(q)) for x in key[: len(scope)]), c, score))
+        if not found:
+            return pd.DataFrame(columns=names)
+        return pd.DataFrame(dict(zip(names, (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)), columns=names)
 
     count = lambda rows, name: rows.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     sizes = count(queries, "n_q").join(count(vectors, "n_c"), scope)
-    pair = [*scope, "q_block", "c_block"]
-    met = _packed(queries, sizes, scope, query_id, "q", "c").join(_packed(vectors, sizes, scope, id_col, "c", "q"), pair)
-    return met.groupBy(*pair).applyInPandas(run, ", ".join(out))  # a pair is a group, so that Python holds one at a time
+    groups = max(1, -(-vectors.count() // block))
+    left, right = _packed(queries, sizes, scope, query_id, "q", "c", groups), _packed(vectors, sizes, scope, id_col, "c", "q", groups)
+    right = right.toDF(*right.columns)  # columns of its own, where both sides come from one table
+    return left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(run, ", ".join(out))  # Python holds one group at a time
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, scope: list[str], id_col: str, k: int, metric: str = "cosine") -> DataFrame:
