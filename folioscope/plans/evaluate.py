@@ -28,7 +28,7 @@ def run(built: dict[str, DataFrame], questions: DataFrame, document_id: str | No
     if results is None:
         raise ValueError("no questions")
     rows = results.select(F.col("query_id").alias("question_id"), "chapter_id", F.col("rerank_score").alias("score"), "sources", "span_id", "rank")
-    predicted = evaluation.chapter_ranking(settled(rows, "results")).join(built["chapters"].select("chapter_id", "chapter_index", "chapter_title"), "chapter_id", "left")
+    predicted = evaluation.chapter_ranking(settled(rows, "results")).join(ask.within(built["chapters"], asked).select("chapter_id", "chapter_index", "chapter_title"), "chapter_id", "left")
     gold = evaluation.normalize_gold(files.gold_rows(questions))
     scores = evaluation.question_scores(questions.select("question_id", "profile", "query_type", "required_facets"), gold, predicted, files.negative_rows(questions))
     return scores, predicted
