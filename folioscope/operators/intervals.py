@@ -108,7 +108,7 @@ def coverage_segments(windows: DataFrame, spans: DataFrame) -> DataFrame:
 def gap_neighbours(gaps_: DataFrame, windows: DataFrame, spans: DataFrame) -> DataFrame:
     """Each gap with the nearest span that ends before it and the nearest that starts behind it (an as-of join).
 
-    Windows with their `text` give a preview of the gap's as well.
+    Of spans equally near, the greatest id stands on the left, the least on the right. Windows with their `text` give a preview of the gap's as well.
     """
     located = spans.where(F.col("locator_status") == "located").select("window_id", "span_id", "span_start_idx", "span_end_idx")
     near = gaps_.join(located, "window_id", "left").groupBy("window_id", "gap_index", "start_idx", "end_idx")
