@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import chapter_number, contains_any, distinct_tokens, uuid5_hex
-from .index import cosine, nearest, top_k
+from .index import cosine, nearest_others, top_k
 
 
 def cluster_type(span_type: Column, summary: Column, entities: Column) -> Column:
@@ -62,25 +62,34 @@ def type_order(spans: DataFrame) -> DataFrame:
     return sizes.withColumn("type_rank", F.row_number().over(order)).drop("first_ord")
 
 
-def medoid_scores(spans: DataFrame, vectors: DataFrame) -> DataFrame:
+def with_vectors(spans: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """spans with `vector`: that of `vectors` by id, else the one they hold, else null."""
+    if vectors is not None:
+        return spans.drop("vector").join(vectors.select("span_id", "vector"), "span_id", "left")
+    return spans if "vector" in spans.columns else spans.withColumn("vector", F.lit(None).cast("array<double>"))
+
+
+def medoid_scores(spans: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """(span_id, medoid): 0.7 of the mean of a span's 8 best cosines to others of its type, 0.3 of its salience.
 
     Pairs stand inside one document and type only and are scored as matrix products, 8 kept a block; the work is
     still quadratic in such a group.
     """
-    rows = spans.join(vectors, "span_id").select("document_id", "cluster_type", "span_id", "salience_score", "vector")
-    scope = ["document_id", "cluster_type"]
-    near = nearest(rows.select(*scope, F.col("span_id").alias("of"), "vector"), rows.select(*scope, "span_id", "vector"), scope, "of", "span_id", 8, others=True)
+    rows = with_vectors(spans, vectors).where(F.col("vector").isNotNull()).select("document_id", "cluster_type", "span_id", "salience_score", "vector")
+    near = nearest_others(rows.drop("salience_score"), ["document_id", "cluster_type"], "of", "span_id", 8)
     best = top_k(near, ["of"], 8, [F.desc("score"), F.asc("span_id")]).groupBy(F.col("of").alias("span_id")).agg(F.avg("score").alias("mean"))
     score = F.when(F.col("mean").isNull(), 0.3 * F.col("salience_score")).otherwise(0.7 * F.greatest(F.lit(0.0), F.col("mean")) + 0.3 * F.col("salience_score"))
     return rows.join(best, "span_id", "left").select("span_id", score.alias("medoid"))
 
 
 def centers(spans: DataFrame, vectors: DataFrame | None = None, clusters: int = 4) -> DataFrame:
-    """(document_id, cluster_type, type_rank, center columns): the center of each of a document's leading types."""
+    """(document_id, cluster_type, type_rank, center columns): the center of each of a document's leading types.
+
+    Spans that hold their `vector` need no table of vectors, here and below.
+    """
     types = type_order(spans).where(F.col("type_rank") <= clusters).select("document_id", "cluster_type", "type_rank")
     rows = spans.join(types, ["document_id", "cluster_type"])
-    if vectors is not None:
+    if vectors is not None or "vector" in spans.columns:
         rows = rows.join(medoid_scores(spans, vectors), "span_id", "left")
     else:
         rows = rows.withColumn("medoid", F.lit(None).cast("double"))
@@ -94,37 +103,42 @@ def proximity(gap: Column) -> Column:
 
 
 def member_scores(centers_: DataFrame, spans: DataFrame, vectors: DataFrame | None = None, weights: dict[str, float] = fixed.GRAPH_WEIGHTS) -> DataFrame:
-    """Every span of a document scored as a member of each of its clusters, with its component scores."""
+    """Every span of a document scored as a member of each of its clusters, with its component scores.
+
+    Spans meet the centers of their document; a center's vector comes from the span that it is, among those met, and
+    vectors go no further.
+    """
     counts = entity_counts(spans)
     totals = counts.groupBy("document_id").agg(F.sum("n").alias("mentions"), F.min("n").alias("rarest"))
     if vectors is not None:
         totals = totals.join(spans.join(vectors.select("span_id"), "span_id", "left_semi").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_vectors")), "document_id", "left")
+    elif "vector" in spans.columns:
+        totals = totals.join(spans.groupBy("document_id").agg(F.count("vector").alias("n_vectors")), "document_id", "left")
     else:
         totals = totals.withColumn("n_vectors", F.lit(0).cast("long"))
     total = F.greatest(F.lit(1), F.when(F.coalesce("n_vectors", F.lit(0)) > 0, F.col("n_vectors")).otherwise(F.col("mentions")))
     idf = lambda n: 1 + F.log((total + 1.0) / (n + 1.0))
-    spans_ = spans.withColumn("tokens", distinct_tokens(F.concat_ws("\n", "summary", F.array_join("entities", "\n"))))
-    if vectors is not None:
-        spans_ = spans_.join(vectors, "span_id", "left")
-    else:
-        spans_ = spans_.withColumn("vector", F.lit(None).cast("array<double>"))
-    mine = spans_.select(F.col("span_id").alias("center_span_id"), F.col("tokens").alias("center_tokens"), F.col("vector").alias("center_vector"))
-    heads = centers_.join(mine, "center_span_id")
-    met = heads.withColumnRenamed("cluster_type", "of_type").join(spans_, "document_id")
+    spans_ = with_vectors(spans, vectors)
+    met = centers_.withColumnRenamed("cluster_type", "of_type").join(spans_, "document_id")
     met = met.withColumn("shared", F.array_sort(F.array_intersect("center_entities", "entities")))
     each = met.select("center_span_id", "span_id", "document_id", F.explode("shared").alias("entity")).join(counts, ["document_id", "entity"]).join(totals, "document_id")
     by_entity = each.groupBy("center_span_id", "span_id").agg(F.least(F.lit(1.0), F.sum(idf(F.col("n"))) / F.greatest(F.lit(1.0), 2 * F.max(idf(F.col("rarest"))))).alias("entity"))
-    scored = met.join(by_entity, ["center_span_id", "span_id"], "left")
-    vector = F.when(F.col("vector").isNotNull() & F.col("center_vector").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.col("center_vector"))))).otherwise(0.0)
+    is_center = F.col("span_id") == F.col("center_span_id")
+    of_center = F.first(F.when(is_center, F.struct("vector")), ignorenulls=True).over(Window.partitionBy("document_id", "center_span_id"))
+    met = met.withColumn("center", of_center).where(F.col("center").isNotNull())
+    both = F.col("vector").isNotNull() & F.col("center.vector").isNotNull()
+    near = F.when(both, F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.col("center.vector"))))).otherwise(0.0)
+    scored = met.withColumn("near", near).drop("vector", "center").join(by_entity, ["center_span_id", "span_id"], "left")
+    words = lambda summary, entities: distinct_tokens(F.concat_ws("\n", summary, F.array_join(entities, "\n")))
+    overlap = F.size(F.array_intersect(words("summary", "entities"), words("center_summary", "center_entities")))
     parts = {
-        "vector": vector,
+        "vector": F.col("near"),
         "entity": F.coalesce("entity", F.lit(0.0)),
-        "bm25": F.least(F.lit(1.0), F.size(F.array_intersect("tokens", "center_tokens")) / 20.0),
+        "bm25": F.least(F.lit(1.0), overlap / 20.0),
         "chapter": proximity(F.abs(chapter_number(F.col("chapter_id")) - chapter_number(F.col("center_chapter_id")))),
         "salience": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("salience_score"))),
     }
     scored = scored.withColumns({f"part_{k}": v for k, v in parts.items()})
-    is_center = F.col("span_id") == F.col("center_span_id")
     score = F.when(is_center, 1.0).otherwise(sum((w * F.col(f"part_{k}") for k, w in weights.items()), F.lit(0.0)))
     reasons = F.array_compact(
         F.array(

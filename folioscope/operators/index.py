@@ -128,6 +128,20 @@ def _scores(metric: str, a: list, b: list) -> np.ndarray:
     return out
 
 
+def _best(q: np.ndarray, q_vectors: list, c: np.ndarray, c_vectors: list, k: int, metric: str, others: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, candidate ids, scores): the k nearest candidates of each query."""
+    s = np.round(_scores(metric, q_vectors, c_vectors), 9) + 0.0
+    by_id = np.argsort(c, kind="stable")
+    s, c = s[:, by_id], c[by_id]
+    if others:
+        s[q[:, None] == c[None, :]] = -np.inf
+    first = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    rows = np.repeat(np.arange(len(q)), first.shape[1])
+    score = s[rows, first.ravel()]
+    there = np.isfinite(score)
+    return q[rows][there], c[first.ravel()][there], score[there]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id: str, id_col: str, k: int, metric: str = "cosine", block: int = 1024, others: bool = False) -> DataFrame:
     """(query_id, scope, id_col, score): of each block of a query's scope the k nearest, by blocked matrix products.
 
@@ -144,24 +158,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id:
 
     pair = [*scope, "q_block", "c_block"]
 
-    def best(q: np.ndarray, q_vectors: list, c: np.ndarray, c_vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = np.round(_scores(metric, q_vectors, c_vectors), 9) + 0.0
-        by_id = np.argsort(c, kind="stable")
-        s, c = s[:, by_id], c[by_id]
-        if others:
-            s[q[:, None] == c[None, :]] = -np.inf
-        first = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), first.shape[1])
-        score = s[rows, first.ravel()]
-        there = np.isfinite(score)
-        return q[rows][there], c[first.ravel()][there], score[there]
-
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = {key: (np.asarray(ids), list(vs)) for *key, ids, vs in right[[*pair, "c_ids", "c_vectors"]].itertuples(index=False, name=None) for key in [tuple(key)]}
         found = []
         for *key, ids, vs in left[[*pair, "q_ids", "q_vectors"]].itertuples(index=False, name=None):
             if tuple(key) in held:
-                q, c, score = best(np.asarray(ids), list(vs), *held[tuple(key)])
+                q, c, score = _best(np.asarray(ids), list(vs), *held[tuple(key)], k, metric, others)
                 found.append((q, *(np.repeat(np.array([x], object), len(q)) for x in key[: len(scope)]), c, score))
         if not found:
             return pd.DataFrame(columns=names)
@@ -175,6 +177,38 @@ def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id:
     return left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(run, ", ".join(out))  # Python holds one group at a time
 
 
+def nearest_others(vectors: DataFrame, scope: list[str], query_id: str, id_col: str, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:
+    """What `nearest` gives where the vectors (scope, id, vector) ask for each other, under `query_id` and `id_col`.
+
+    Scopes of at most `block` vectors are computed some together, and their vectors are sent there once; those of
+    larger scopes go through pairs of blocks.
+    """
+    sizes = vectors.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
+    large = settled(sizes.where(F.col("n") > block).select(*scope), "scopes")
+    split = large.limit(1).count() > 0
+    small = vectors.join(large, scope, "left_anti") if split else vectors
+    names, kinds = [query_id, *scope, id_col, "score"], {f.name: f.dataType.simpleString() for f in vectors.schema}
+    schema = ", ".join([f"{query_id} {kinds[id_col]}", *(f"{c} {kinds[c]}" for c in scope), f"{id_col} {kinds[id_col]}", "score double"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for key, part in pdf.groupby(scope, sort=False):
+            ids, vs = part[id_col].to_numpy(), list(part["vector"])
+            q, c, score = _best(ids, vs, ids, vs, k, metric, True)
+            found.append((q, *(np.repeat(np.array([x], object), len(q)) for x in key), c, score))
+        if not found:
+            return pd.DataFrame(columns=names)
+        return pd.DataFrame(dict(zip(names, (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)), columns=names)
+
+    groups = max(1, -(-vectors.count() // block))
+    dealt = small.select(*scope, id_col, F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.pmod(F.xxhash64(*scope), F.lit(groups)).alias("group"))
+    out = dealt.groupBy("group").applyInPandas(run, schema)
+    if split:
+        rest = vectors.join(large, scope, "left_semi")
+        out = out.unionByName(nearest(rest.withColumnRenamed(id_col, query_id), rest, scope, query_id, id_col, k, metric, block, others=True).select(*names))
+    return out
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, scope: list[str], id_col: str, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, scope, id, score, rank) of the k nearest vectors inside a query's scope, an exact scan in blocks."""
     scored = nearest(queries.select("query_id", *scope, "vector"), vectors.select(*scope, id_col, "vector"), scope, "query_id", id_col, k, metric)

@@ -18,7 +18,7 @@ def build(docs: DataFrame, size: int = 1200) -> dict[str, DataFrame]:
     """docs (document_id, text) to chapters, windows, located spans with vectors, clusters and edges.
 
     The extractor is the deterministic mock; a model's spans can take its place. Chapters and spans are stored, since
-    every later branch reads them.
+    every later branch reads them; spans hold their `vector`, so that no branch joins it to them.
     """
     with_text = segment.chapters(docs, keep_text=True)
     chapters = settled(with_text.drop("text"), "chapters")
@@ -26,19 +26,16 @@ def build(docs: DataFrame, size: int = 1200) -> dict[str, DataFrame]:
     spans = extraction.locate_spans(extraction.mock_spans(windows, keep_text=True)).where("locator_status = 'located'")
     order = F.struct("span_start_idx", "span_id")
     spans = spans.withColumns({"ord": order, "cluster_type": graph.cluster_type(F.col("span_type"), F.col("summary"), F.col("entities"))})
-    spans = settled(spans, "spans")
-    vectors = spans.select("span_id", index.hash_embedding(F.col("summary"), 64).alias("vector"))
-    return {"docs": docs, "chapters": chapters, "windows": windows, "spans": spans, "vectors": vectors}
+    spans = settled(spans.withColumn("vector", index.hash_embedding(F.col("summary"), 64)), "spans")
+    return {"docs": docs, "chapters": chapters, "windows": windows, "spans": spans}
 
 
 def with_graph(built: dict[str, DataFrame], use_vectors: bool = True) -> dict[str, DataFrame]:
-    """built with members, clusters and edges, with or without the spans' vectors, which are stored if they are used."""
-    if use_vectors:
-        built = built | {"vectors": settled(built["vectors"], "vectors")}
-    spans, vectors = built["spans"], built["vectors"] if use_vectors else None
-    centers = settled(graph.centers(spans, vectors), "centers")
+    """built with members, clusters and edges, with or without the spans' vectors."""
+    spans = built["spans"] if use_vectors else built["spans"].drop("vector")
+    centers = settled(graph.centers(spans), "centers")
     weights = graph.normalized_weights(use_vectors=use_vectors)
-    members = settled(graph.members(graph.member_scores(centers, spans, vectors, weights)), "members")
+    members = settled(graph.members(graph.member_scores(centers, spans, weights=weights)), "members")
     clusters = settled(graph.clusters(members), "clusters")
     return built | {"members": members, "clusters": clusters, "edges": settled(graph.edges(clusters, members, built["chapters"]), "edges")}
 
@@ -59,13 +56,12 @@ def retrieve(built: dict[str, DataFrame], questions: DataFrame, reranker: str =
     scores = index.bm25_scores(questions, posted, index.token_weights(posted, spans, ["document_id"], "span_id"), ["document_id"], "span_id")
     hits = retrieval.plain_hits(scores, "bm25", settings["bm25_top_k"])
     asked = questions.withColumn("vector", index.hash_embedding(F.col("question"), 64))
-    held = built["vectors"].join(spans.select("span_id"), "span_id", "left_semi").join(spans.select("document_id", "span_id"), "span_id")
-    near = index.vector_search(asked, held, ["document_id"], "span_id", settings["vector_top_k"])
+    near = index.vector_search(asked, spans, ["document_id"], "span_id", settings["vector_top_k"])
     hits = hits.unionByName(retrieval.plain_hits(near.drop("rank"), "vector", settings["vector_top_k"]))
     if "clusters" in built:
         ranked = retrieval.rank_clusters(questions, within(built["clusters"], questions), settings["graph_cluster_top_k"])
         hits = retrieval.graph_hits(ranked, within(built["edges"], questions), settings["graph_span_per_cluster"]).unionByName(hits)
-    candidates = retrieval.fuse(settled(hits, "hits"), questions, spans, settings["union_max_candidates"])
+    candidates = retrieval.fuse(settled(hits, "hits"), questions, spans.drop("vector"), settings["union_max_candidates"])
     return retrieval.rerank(candidates, within(built["chapters"], questions), reranker, settings["rerank_top_k"])
 
 

@@ -1,6 +1,7 @@
 """Retrieval meets asked documents only, and the same results as beside no others; small scopes of vectors go together."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -61,3 +62,35 @@ def test_evaluation_searches_the_graph_as_well(spark, monkeypatch):
     assert sources == {"graph", "vector", "bm25"}
     monkeypatch.setattr(graph, "cluster_type", lambda *_: F.lit("location"))
     assert clusters.isdisjoint(hits()[1])
+
+
+def carrying(df, column):
+    """How many exchanges of df's plan carry a column."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    told = df._jdf.queryExecution().explainString(mode)
+    return sum(f"{column}#" in text.split("\n\n")[0] for text in re.split(r"\n\(\d+\) Exchange", told)[1:])
+
+
+def test_vectors_move_once_to_find_centers_and_once_to_score_members(spark, monkeypatch):
+    moved = {}
+    keep = ask.settled
+
+    def counted(df, name):
+        moved[name] = carrying(df, "vector")
+        return keep(df, name)
+
+    monkeypatch.setattr(ask, "settled", counted)
+    ask.with_graph(ask.build(docs(spark, 4)))
+    assert (moved["centers"], moved["members"]) == (1, 1)
+
+
+def test_vectors_that_ask_for_each_other(spark):
+    rnd = random.Random(9)
+    rows = [(f"s{s}", f"v{s}_{k}", [rnd.gauss(0, 1) for _ in range(4)]) for s in range(30) for k in range(40 if s == 7 else 1 + s % 5)]
+    v = spark.createDataFrame(rows, "scope string, id string, vector array<double>")
+    want = index.nearest(v.withColumnRenamed("id", "of"), v, ["scope"], "of", "id", 3, block=16, others=True)
+    want = index.top_k(want, ["of"], 3, [F.desc("score"), F.asc("id")]).select("scope", "of", "id", "score").collect()
+    got = index.nearest_others(v, ["scope"], "of", "id", 3, block=16)
+    got = index.top_k(got, ["of"], 3, [F.desc("score"), F.asc("id")]).select("scope", "of", "id", "score").collect()
+    assert got and sorted(got) == sorted(want)
+    assert index.nearest_others(v.limit(0), ["scope"], "of", "id", 3).count() == 0
