@@ -1,8 +1,8 @@
 """Density clusters of vectors: core distances, a minimum spanning tree over mutual reachability, flat views of it.
 
 The mutual reachability of two points is the greatest of their distance and both core distances. All vectors of a
-scope meet once, in pairs of blocks, and a pair of blocks sends on no more than a spanning tree of its own points. An
-edge outside the tree of its pair is the heaviest of a cycle, so the least spanning tree lies within these trees, and
+scope meet once, in pairs of blocks: a block alone sends on a spanning tree of its own points, two blocks one of the edges
+between them. An edge outside these trees is the heaviest of a cycle, so the least spanning tree lies within them, and
 Boruvka rounds over edges alone find it: every component takes its least edge, components that are joined become one,
 and edges between two components shrink to the least. Rounds halve the components, whatever the size of a scope.
 
@@ -20,11 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settled
-from .index import SALTS, nearest, top_k
+from .index import SALTS, euclid, nearest, top_k
 
-#: Points a block holds about; a pair's tree takes memory in proportion to them.
+#: Points a block holds about; a pair's distances are held at a time.
 BLOCK = 2048
-DIGITS = 9
 
 
 def usable(points: DataFrame, scope: list[str], id_col: str) -> DataFrame:
@@ -44,24 +43,31 @@ def core_distances(rows: DataFrame, scope: list[str], id_col: str, samples: int,
     return rows.join(kept, [*by, id_col], "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
 
 
-def block_tree(rank: np.ndarray, core: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(w, i, j): a least spanning tree of one pair's points, rows of distances made one at a time; ties by rank."""
+def block_tree(rank: np.ndarray, core: np.ndarray, x: np.ndarray, left: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(w, i, j): a least spanning tree of points, or of the edges between the first `left` of them and the rest; ties by rank."""
     n = len(x)
+    reach = lambda a, b: np.maximum(np.maximum(euclid(x[a], x[b]), core[a][:, None]), core[b][None, :])
+    low, high = slice(0, left), slice(left, n)
+    there = reach(low, high) if left else reach(high, high)
+    back = np.ascontiguousarray(there.T) if left else there
     best, source = np.full(n, np.inf), np.zeros(n, np.int64)
     tie = np.full(n, np.iinfo(np.int64).max)
     out = np.zeros(n, bool)
+    open_ = np.full(n, np.inf)  # best, without the points that are in the tree
     weights, froms, tos = np.zeros(n - 1), np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64)
     now = 0
     for step in range(n - 1):
-        out[now] = True
-        gap = x - x[now]
-        w = np.maximum(np.round(np.sqrt((gap * gap).sum(1)), DIGITS), np.maximum(core, core[now]))
-        pair = np.minimum(rank, rank[now]) * n + np.maximum(rank, rank[now])
-        better = ~out & ((w < best) | ((w == best) & (pair < tie)))
-        best[better], source[better], tie[better] = w[better], now, pair[better]
-        open_ = np.where(out, np.inf, best)
+        out[now], open_[now] = True, np.inf
+        side, w = (high, there[now]) if now < left or not left else (low, back[now - left])
+        at = np.flatnonzero((w <= best[side]) & ~out[side])
+        if len(at):
+            w, at = w[at], at + side.start
+            pair = np.minimum(rank[at], rank[now]) * n + np.maximum(rank[at], rank[now])
+            better = (w < best[at]) | (pair < tie[at])
+            at, w = at[better], w[better]
+            best[at], open_[at], source[at], tie[at] = w, w, now, pair[better]
         least = np.flatnonzero(open_ == open_.min())
-        now = int(least[np.argmin(tie[least])])
+        now = int(least[np.argmin(tie[least])]) if len(least) > 1 else int(least[0])
         weights[step], froms[step], tos[step] = best[now], source[now], now
     return weights, froms, tos
 
@@ -81,8 +87,9 @@ def block_trees(rows: DataFrame, scope: list[str], id_col: str, block: int = BLO
     left = packed.select(*by, F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"), F.col("points").alias("p"))
     right = packed.select(*by, F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), F.col("points").alias("q"))
     right = right.withColumn("q", F.when(F.col("low") < F.col("high"), F.col("q")).otherwise(F.slice("q", 1, 0)))
-    met = left.join(right, [*by, "low", "high"]).select(*scope, F.concat("p", "q").alias("points"))
-    met = met.select(*scope, F.transform("points", lambda r: r["id"]).cast(f"array<{kind}>").alias("ids"), F.transform("points", lambda r: r["core"]).alias("core"), F.transform("points", lambda r: r["v"]).alias("vectors"))
+    first = F.when(F.col("low") < F.col("high"), F.size("p")).otherwise(0).alias("left")
+    met = left.join(right, [*by, "low", "high"]).select(*scope, first, F.concat("p", "q").alias("points"))
+    met = met.select(*scope, "left", F.transform("points", lambda r: r["id"]).cast(f"array<{kind}>").alias("ids"), F.transform("points", lambda r: r["core"]).alias("core"), F.transform("points", lambda r: r["v"]).alias("vectors"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -90,7 +97,7 @@ def block_trees(rows: DataFrame, scope: list[str], id_col: str, block: int = BLO
                 ids = np.asarray(r["ids"])
                 rank = np.empty(len(ids), np.int64)
                 rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-                w, i, j = block_tree(rank, np.asarray(r["core"], float), np.stack(r["vectors"]))
+                w, i, j = block_tree(rank, np.asarray(r["core"], float), np.stack(r["vectors"]), r["left"])
                 first = rank[i] < rank[j]
                 yield pd.DataFrame({**{c: [r[c]] * len(w) for c in scope}, "w": w, "a": ids[np.where(first, i, j)], "b": ids[np.where(first, j, i)]})
 

@@ -17,6 +17,8 @@ from ..sources.scratch import settled
 SALTS = 8
 #: Differences of components that a task holds at a time.
 GAPS = 1 << 20
+#: Digits that scores and distances are rounded to.
+DIGITS = 9
 
 
 def bm25_text(summary: Column, entities: Column, key_quote: Column) -> Column:
@@ -106,6 +108,29 @@ def _packed(rows: DataFrame, sizes: DataFrame, scope: list[str], id_col: str, na
     return pairs.withColumn("group", group).drop("n_q", "n_c")
 
 
+def euclid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[x, y] distances rounded to DIGITS: from a matrix product, and from the differences where its error could tell.
+
+    The error of a squared distance is below `slack`; a distance that it could carry over a rounding step, as that
+    of vectors nearly alike, is made anew.
+    """
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    slack = 8 * (x.shape[1] + 4) * np.finfo(float).eps * (xx.max(initial=0.0) + yy.max(initial=0.0))
+    slack = slack if np.isfinite(slack) else np.inf
+    out = np.empty((len(x), len(y)))
+    step, most = max(1, GAPS // max(1, len(y))), max(1, GAPS // max(1, x.shape[1]))
+    for k in range(0, len(x), step):
+        d = np.sqrt(np.maximum(xx[k : k + step, None] + yy[None, :] - 2 * (x[k : k + step] @ y.T), 0.0))
+        scaled = d * 10.0**DIGITS
+        near = np.abs(scaled - np.floor(scaled) - 0.5) * d <= slack * 10.0**DIGITS + 1e-6 * d * (1 + d)
+        out[k : k + step] = np.round(d, DIGITS)
+        i, j = np.nonzero(near | ~np.isfinite(d) | (d * d <= 4 * slack))
+        for n in range(0, len(i), most):
+            gaps = x[i[n : n + most] + k] - y[j[n : n + most]]
+            out[i[n : n + most] + k, j[n : n + most]] = np.round(np.sqrt((gaps * gaps).sum(1)), DIGITS)
+    return out
+
+
 def _scores(metric: str, a: list, b: list) -> np.ndarray:
     """[a, b] similarities; vectors of unlike length, and under cosine zero ones, are 0 to each other."""
     sizes_a, sizes_b = (np.array([len(v) for v in x]) for x in (a, b))
@@ -118,28 +143,32 @@ def _scores(metric: str, a: list, b: list) -> np.ndarray:
                 x, y = (np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0) for m in (x, y))
             if metric in ("cosine", "dot"):
                 got = x @ y.T
+            elif metric == "euclid":
+                got = -euclid(x, y)
             else:
                 got = np.empty((len(i), len(j)))
                 step = max(1, GAPS // (len(j) * int(d)))
                 for k in range(0, len(i), step):
-                    gaps = x[k : k + step, None, :] - y[None, :, :]
-                    got[k : k + step] = -np.sqrt((gaps**2).sum(2)) if metric == "euclid" else -np.abs(gaps).sum(2)
+                    got[k : k + step] = -np.abs(x[k : k + step, None, :] - y[None, :, :]).sum(2)
             out[np.ix_(i, j)] = got
     return out
 
 
 def _best(q: np.ndarray, q_vectors: list, c: np.ndarray, c_vectors: list, k: int, metric: str, others: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, candidate ids, scores): the k nearest candidates of each query."""
-    s = np.round(_scores(metric, q_vectors, c_vectors), 9) + 0.0
+    s = np.round(_scores(metric, q_vectors, c_vectors), DIGITS) + 0.0
     by_id = np.argsort(c, kind="stable")
     s, c = s[:, by_id], c[by_id]
+    s[np.isnan(s)] = -np.inf
     if others:
         s[q[:, None] == c[None, :]] = -np.inf
-    first = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(q)), first.shape[1])
-    score = s[rows, first.ravel()]
-    there = np.isfinite(score)
-    return q[rows][there], c[first.ravel()][there], score[there]
+    least = np.partition(s, len(c) - k, axis=1)[:, len(c) - k] if k < len(c) else np.full(len(q), -np.inf)
+    rows, at = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    score = s[rows, at]
+    order = np.lexsort((-score, rows))  # equal scores stay in the order of ids
+    rows, at, score = rows[order], at[order], score[order]
+    first = (np.arange(len(rows)) - np.searchsorted(rows, rows) < k) & np.isfinite(score)
+    return q[rows[first]], c[at[first]], score[first]
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, scope: list[str], query_id: str, id_col: str, k: int, metric: str = "cosine", block: int = 1024, others: bool = False) -> DataFrame:

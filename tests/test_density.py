@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import density
+from folioscope.operators import density, index
 
 TYPES = "label int, vec_id long, vector array<double>"
 
@@ -102,3 +102,26 @@ def test_unusable_vectors_repeated_rows_and_empty_tables(spark):
     assert density.params_hash(3, 1.0, 2) != density.params_hash(3, 1.0, 3)
     with pytest.raises(ValueError):
         density.views(core, tree, ["label"], "vec_id", [(1.0, 1)], 4)
+
+
+def test_distances_by_products_are_those_by_differences():
+    rnd = np.random.default_rng(3)
+    for scale in (1e-6, 1.0, 1e5):
+        x, y = (rnd.normal(size=(n, 64)) * scale for n in (90, 70))
+        x[:20] = y[0]  # copies
+        x[20:40] = y[1] + rnd.normal(size=(20, 64)) * 1e-9 * scale  # nearly copies
+        want = np.round(np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)), 9)
+        assert np.array_equal(index.euclid(x, y), want), scale
+
+
+def test_two_blocks_meet_by_the_edges_between_them():
+    rnd = np.random.default_rng(4)
+    x, core = np.round(rnd.normal(size=(70, 3)), 1), np.round(rnd.uniform(0, 0.5, 70), 1)  # with ties
+    rank = rnd.permutation(70)
+    w, i, j = density.block_tree(rank, core, x, 40)
+    assert len(w) == 69 and all((a < 40) != (b < 40) for a, b in zip(i, j, strict=True))
+    m = np.maximum(np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9), np.maximum(core[:, None], core[None]))
+    m[:40, :40], m[40:, 40:] = np.inf, np.inf
+    order = np.argsort(rank)
+    want = sorted((v, a, b) for v, a, b in kruskal(range(70), m[np.ix_(order, order)]))
+    assert sorted((v, *sorted((int(rank[a]), int(rank[b])))) for v, a, b in zip(w, i, j, strict=True)) == want
