@@ -17,6 +17,8 @@ from ..sources.scratch import settled
 SALTS = 8
 #: Differences of components that a task holds at a time.
 GAPS = 1 << 20
+#: Distances that are worked on at a time, few enough for a core's cache.
+NEAR = 1 << 16
 #: Digits that scores and distances are rounded to.
 DIGITS = 9
 
@@ -118,13 +120,15 @@ def euclid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     slack = 8 * (x.shape[1] + 4) * np.finfo(float).eps * (xx.max(initial=0.0) + yy.max(initial=0.0))
     slack = slack if np.isfinite(slack) else np.inf
     out = np.empty((len(x), len(y)))
-    step, most = max(1, GAPS // max(1, len(y))), max(1, GAPS // max(1, x.shape[1]))
+    step, most = max(1, NEAR // max(1, len(y))), max(1, GAPS // max(1, x.shape[1]))
     for k in range(0, len(x), step):
-        d = np.sqrt(np.maximum(xx[k : k + step, None] + yy[None, :] - 2 * (x[k : k + step] @ y.T), 0.0))
+        square = np.maximum(xx[k : k + step, None] + yy[None, :] - 2 * (x[k : k + step] @ y.T), 0.0)
+        d = np.sqrt(square)
         scaled = d * 10.0**DIGITS
-        near = np.abs(scaled - np.floor(scaled) - 0.5) * d <= slack * 10.0**DIGITS + 1e-6 * d * (1 + d)
-        out[k : k + step] = np.round(d, DIGITS)
-        i, j = np.nonzero(near | ~np.isfinite(d) | (d * d <= 4 * slack))
+        steps = np.rint(scaled)
+        out[k : k + step] = steps / 10.0**DIGITS
+        near = (0.5 - np.abs(scaled - steps)) * d <= slack * 10.0**DIGITS + 1e-6 * (d + square)
+        i, j = np.nonzero(near | ~(square < np.inf) | (square <= 4 * slack))
         for n in range(0, len(i), most):
             gaps = x[i[n : n + most] + k] - y[j[n : n + most]]
             out[i[n : n + most] + k, j[n : n + most]] = np.round(np.sqrt((gaps * gaps).sum(1)), DIGITS)
@@ -150,15 +154,16 @@ def _scores(metric: str, a: list, b: list) -> np.ndarray:
                 step = max(1, GAPS // (len(j) * int(d)))
                 for k in range(0, len(i), step):
                     got[k : k + step] = -np.abs(x[k : k + step, None, :] - y[None, :, :]).sum(2)
+            if got.shape == out.shape:
+                return got
             out[np.ix_(i, j)] = got
     return out
 
 
 def _best(q: np.ndarray, q_vectors: list, c: np.ndarray, c_vectors: list, k: int, metric: str, others: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, candidate ids, scores): the k nearest candidates of each query."""
-    s = np.round(_scores(metric, q_vectors, c_vectors), DIGITS) + 0.0
     by_id = np.argsort(c, kind="stable")
-    s, c = s[:, by_id], c[by_id]
+    s, c = np.round(_scores(metric, q_vectors, [c_vectors[k] for k in by_id]), DIGITS) + 0.0, c[by_id]
     s[np.isnan(s)] = -np.inf
     if others:
         s[q[:, None] == c[None, :]] = -np.inf
